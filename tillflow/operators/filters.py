@@ -64,6 +64,6 @@ def select_orders(orders: DataFrame, selection: Selection = Selection()) -> Data
     return orders.transform(filter_members, selection).transform(filter_date_range, selection)
 
 
-def nothing_selected(selected: DataFrame) -> bool:
-    """True when the selection leaves no row; an action that stops at the first row found."""
-    return selected.isEmpty()
+def is_empty(selected: DataFrame) -> DataFrame:
+    """One row telling whether the selection leaves no row; reads no further than one row."""
+    return selected.limit(1).agg((F.count("*") == 0).alias("is_empty"))
