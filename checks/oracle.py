@@ -456,7 +456,7 @@ UNION ALL SELECT 'order_id is null', row_id, 1 FROM {_BROKEN} WHERE order_id IS
     "dedup_ignoring_row_id": on_clean(_portable(BASE, "cleaned")),
     "duplicate_rows": _report("duplicate_rows"),
     "missing_values": _missing("missing", "missing", "true"),
-    "missing_percent": _missing(half_even("missing / n * 100", 2), "missing_percent", "missing > 0"),
+    "missing_percent": _missing("CAST(printf('%.2f', missing / n * 100) AS DOUBLE)", "missing_percent", "missing > 0"),
     **{name: _report(name) for name in _INVALID},
     "row_counts": _report("source_rows", "rows_after_cleaning"),
     "quality_report": _report("source_rows", "rows_after_cleaning", "duplicate_rows", *_INVALID),

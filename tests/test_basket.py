@@ -1,0 +1,51 @@
+from collections import Counter
+from itertools import combinations
+
+from checks.workspace import workspace
+from tests.conftest import SMALL
+from tillflow.operators.basket import basket_pairs, top_basket_pairs
+
+
+def brute_force(rows):
+    baskets = {}
+    for order, item in rows:
+        if order is not None and item is not None:
+            baskets.setdefault(order, set()).add(item)
+    pairs = Counter()
+    for order in sorted(baskets):
+        pairs.update(combinations(sorted(baskets[order]), 2))
+    return pairs
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "order_id string, sub_category string")
+
+
+def test_ties_repeats_and_missing_items(spark):
+    rows = [("o2", "a"), ("o2", "z"), ("o1", "m"), ("o1", "k"), ("o1", "k"), ("o3", "a"), ("o3", None), (None, "a"),
+            ("o4", "b"), ("o4", "a"), ("o4", "c"), ("o5", "c"), ("o5", "b")]
+    pairs = brute_force(rows)
+    got = [tuple(r) for r in top_basket_pairs(frame(spark, rows)).collect()]
+    assert got == [(f"{a} & {b}", n) for (a, b), n in pairs.most_common(15)]
+    assert got[0] == ("b & c", 2) and got[1] == ("k & m", 1)
+
+
+def test_whole_table_against_brute_force(spark):
+    selected = workspace(spark, SMALL).selected()
+    pairs = brute_force(selected.select("order_id", "sub_category").collect())
+    assert {(r.item_a, r.item_b): r.order_count for r in basket_pairs(selected).collect()} == dict(pairs)
+    assert [tuple(r) for r in top_basket_pairs(selected).collect()] == [
+        (f"{a} & {b}", n) for (a, b), n in pairs.most_common(15)
+    ]
+
+
+def test_one_order_with_a_third_of_all_lines(spark):
+    df = spark.range(30_000, numPartitions=8).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('o', id div 4)) AS order_id", "concat('item', id % 40) AS sub_category"
+    )
+    pairs = brute_force([tuple(r) for r in df.collect()])
+    assert {(r.item_a, r.item_b): r.order_count for r in basket_pairs(df).collect()} == dict(pairs)
+
+
+def test_no_pairs(spark):
+    assert top_basket_pairs(frame(spark, [("o1", "a"), ("o2", "b")])).collect() == []

@@ -14,10 +14,9 @@ def basket_pairs(selected: DataFrame) -> DataFrame:
     longer than the vocabulary, and its pairs are generated one by one, never as one array.
     """
     lines = selected.where("order_id IS NOT NULL AND sub_category IS NOT NULL")
-    items = lines.select("order_id", "sub_category").distinct()
     baskets = (
-        items.groupBy("order_id")
-        .agg(F.array_sort(F.collect_list("sub_category")).alias("basket"))
+        lines.groupBy("order_id")
+        .agg(F.array_sort(F.collect_set("sub_category")).alias("basket"))
         .where(F.size("basket") > 1)
         .groupBy("basket")
         .agg(F.count("*").alias("orders"), F.min("order_id").alias("first_order"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillflow.functions import half_even, normalize_header, null_if_token, parse_date, parse_number, strip
+from tillflow.functions import nearest, normalize_header, null_if_token, parse_date, parse_number, strip
 from tillflow.operators.features import CLEANING_FEATURES, add_features
 from tillflow.schema import BASE_TYPES, DATE_COLUMNS, RAW_NUMERIC_COLUMNS, TRIMMED_COLUMNS
 
@@ -114,7 +114,7 @@ def quality_report(folded: DataFrame) -> DataFrame:
         "missing_values",
         F.transform_values(
             F.map_filter("missing_values", lambda _, n: n > 0),
-            lambda _, n: half_even(n / rows * 100, 2),
+            lambda _, n: nearest(n / rows * 100, 2),
         ).alias("missing_percent"),
         *rules,
     )

@@ -30,7 +30,7 @@ def _cut_points(df: DataFrame, metric: str, ranges: int) -> tuple[list, list[int
     """
     shares = [i / ranges for i in range(1, ranges)] or [0.5]
     quantiles, values, nulls = df.agg(
-        F.percentile_approx(metric, shares, max(1000, 10 * ranges)),
+        F.percentile_approx(metric, shares, max(1000, 4 * ranges)),
         F.count(metric),
         F.count_if(F.col(metric).isNull()),
     ).first()
@@ -53,18 +53,28 @@ def _literals(values: list) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _range_number(metric: str, cuts: list) -> Column:
-    """Ascending range number: odd for a cut point itself, even for the open range before it.
+def _place(df: DataFrame, metric: str, cuts: list, spreads: list[int], keys: Sequence[str]) -> DataFrame:
+    """Adds ``_range``, ascending, and ``_part``, the part of the range that a row goes to.
 
-    All rows in an odd range tie. A value frequent enough to unbalance the ranges is itself a cut
-    point. NULLs tie too and, as in ``DESC`` order of the warehouse's SQL, come above everything.
+    A range number is odd for a cut point itself and even for the open range before it. All rows in
+    an odd range tie. A value frequent enough to unbalance the ranges is itself a cut point. NULLs
+    tie too and, as in ``DESC`` order of the warehouse's SQL, come above everything.
     """
-    value, top = F.col(metric), F.lit(2 * len(cuts) + 1)
-    if not cuts:
-        return F.when(value.isNull(), top).otherwise(0)
-    below = _cuts_below(value, cuts)
-    on_cut = F.coalesce(F.get(_literals(cuts), below) == value, F.lit(False))
-    return F.when(value.isNull(), top).otherwise(2 * below + on_cut.cast("int"))
+    value, below = F.col(metric), F.col("_below")
+    if cuts:
+        df = df.withColumn("_below", _cuts_below(value, cuts))
+        on_cut = F.coalesce(F.get(_literals(cuts), below) == value, F.lit(False))
+        number = 2 * below + on_cut.cast("int")
+    else:
+        number = F.lit(0)
+    number = F.when(value.isNull(), F.lit(2 * len(cuts) + 1)).otherwise(number)
+    part = F.pmod(F.xxhash64(*keys), F.get(_literals(spreads), F.col("_range"))).cast("int")
+    # Declared non-null, as Spark would otherwise evaluate both again in a filter before the join.
+    return (
+        df.withColumn("_range", F.coalesce(number, F.lit(0)))
+        .withColumn("_part", F.coalesce(part, F.lit(0)))
+        .drop("_below")
+    )
 
 
 def add_rank(
@@ -92,9 +102,6 @@ def add_rank(
 
     # A struct compares NULL fields as equal, so a NULL partition key is an ordinary one.
     owner = {"_owner": F.struct(*[F.col(c) for c in partition_by])} if partition_by else {}
-    parts = F.get(_literals(spreads), F.col("_range"))
-    places = {**owner, "_range": _range_number(metric, cuts)}
-    part = F.pmod(F.xxhash64(*keys), parts).cast("int")
 
     # At most two ranges per cut point, and as many rows as parts, whatever the size of df.
     above = (
@@ -103,18 +110,19 @@ def add_rank(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        settled.withColumns(places)
+        _place(settled, metric, cuts, spreads, keys)
+        .withColumns(owner)
         .groupBy(*owner, "_range")
         .agg(F.count("*").alias("_rows"))
         .withColumn("_above", F.coalesce(F.sum("_rows").over(above), F.lit(0)))
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.get(_literals(spreads), F.col("_range")) - 1)))
         .drop("_rows")
     )
     place = [*owner, "_range", "_part"]
     inside = Window.partitionBy(*place).orderBy(F.col(metric).desc_nulls_first())
     return (
-        df.withColumns(places)
-        .withColumn("_part", part)
+        _place(df, metric, cuts, spreads, keys)
+        .withColumns(owner)
         .withColumn("_inside", F.rank().over(inside))
         .join(offsets, place)
         .select(*df.columns, (F.col("_above") + F.col("_inside")).alias(rank_name))

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "16g") -> SparkSession:
-    spark = (
+def local_session(
+    cores: int | str = "*",
+    shuffle_partitions: int = 8,
+    memory: str = "16g",
+    shared_folder: str | None = None,
+) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tillflow")
         .config("spark.driver.memory", memory)
@@ -14,7 +19,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
-        .getOrCreate()
     )
+    if shared_folder:
+        builder = builder.config("spark.checkpoint.dir", shared_folder)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
