@@ -36,9 +36,12 @@ def percent(part: str, whole: str) -> str:
 
 
 LINES = """
-lines AS (
-  SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
-      l_extendedprice, l_quantity, l_discount) AS row_id,
+items AS (
+  SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
+    l_extendedprice, l_quantity, l_discount) AS row_id
+  FROM lineitem
+), lines AS (
+  SELECT row_id,
     'O-' || o_orderkey AS order_id,
     CAST(o_orderdate AS DATE) AS order_date,
     CAST(o_orderdate AS DATE) + CAST(
@@ -56,7 +59,7 @@ lines AS (
     CAST(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - 4 * CAST(l_discount AS DECIMAL(5,2)))
       - CAST(l_quantity AS INTEGER) * CAST(p_retailprice AS DECIMAL(12,2)) * CAST(0.5 AS DECIMAL(2,1))
       AS DECIMAL(12,2)) AS DECIMAL(18,4)) AS profit
-  FROM lineitem
+  FROM items
   JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey

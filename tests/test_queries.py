@@ -7,6 +7,7 @@ from checks import catalog, oracle
 from checks.compare import connect, difference
 from checks.workspace import workspace
 from tests.conftest import MEDIUM, SMALL
+from tillflow.operators import ranking
 
 NAMES = list(catalog.builds())
 EXPECTED_BANDS = {  # known totals at the medium scale
@@ -54,8 +55,18 @@ def test_detail_lines_are_not_gathered_in_one_task(spark):
     assert "Window" not in plan and "Exchange" not in plan.split("Subquery")[0]
 
 
-@pytest.mark.parametrize("partitions", [1, 4, 64])
-@pytest.mark.parametrize("name", ["vw_customer_summary", "segment_customer_rank", "product_double_rank", "rfm_segment", "basket_pairs"])
+RANKED = ["vw_customer_summary", "vw_product_performance", "segment_customer_rank", "product_double_rank"]
+
+
+@pytest.mark.parametrize("name", [*RANKED, *(f"{n}_refreshed" for n in RANKED)])
+def test_ranks_over_many_ranges(spark, duck, monkeypatch, name):
+    """As on a large table: the value range is split instead of sorted in one task."""
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 10)
+    assert difference(spark, duck, SMALL, name) is None
+
+
+@pytest.mark.parametrize("partitions", [1, 64])
+@pytest.mark.parametrize("name", ["vw_product_performance", "rfm_segment", "basket_pairs", "quality_report"])
 def test_results_do_not_depend_on_partitioning(spark, duck, conf, name, partitions):
     conf(spark__sql__shuffle__partitions=partitions)
     assert difference(spark, duck, SMALL, name) is None

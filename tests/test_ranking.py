@@ -28,7 +28,7 @@ def table(spark, kind, n=5000):
 KINDS = ["unique", "ties", "hot_value", "hot_null", "one_value", "all_null", "extremes"]
 
 
-@pytest.mark.parametrize("ranges", [1, 2, 7, 64])
+@pytest.mark.parametrize("ranges", [1, 2, 64])
 @pytest.mark.parametrize("kind", KINDS)
 def test_rank_equals_plain_window(spark, kind, ranges):
     df = table(spark, kind)
@@ -63,7 +63,7 @@ def test_work_is_even_whatever_the_values(spark, kind):
 def test_rank_does_not_depend_on_partitioning(spark, conf, partitions):
     conf(spark__sql__shuffle__partitions=partitions)
     df = table(spark, "hot_value", 2000).orderBy(F.rand(partitions))
-    both = add_rank(df, "v", "r", keys=["id"]).join(df.select("id", plain_rank(df).alias("x")), "id")
+    both = add_rank(df, "v", "r", keys=["id"], ranges=9).join(df.select("id", plain_rank(df).alias("x")), "id")
     assert both.where("r <> x").count() == 0
 
 

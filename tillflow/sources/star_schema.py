@@ -21,12 +21,12 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order line with the columns of a cleaned raw file, ``row_id`` included.
 
     Equi-joins without hints: Spark broadcasts a side whose measured size allows it and shuffles
-    the others. ``row_id`` numbers the lines in key order.
+    the others. ``row_id`` numbers the line items in key order; only their own columns are sorted.
     """
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    items = number_rows(read("lineitem").select(*_LINE_KEY), [F.col(c).asc() for c in _LINE_KEY], "row_id")
     joined = (
-        read("lineitem")
-        .join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        items.join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -65,6 +65,4 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
         "discount": rate,
         "profit": profit,
     }
-    lines = joined.select(*_LINE_KEY, *[v.cast(BASE_TYPES[c]).alias(c) for c, v in columns.items()])
-    numbered = number_rows(lines, [F.col(c).asc() for c in _LINE_KEY], "row_id")
-    return numbered.select(*BASE_TYPES)
+    return joined.select("row_id", *[v.cast(BASE_TYPES[c]).alias(c) for c, v in columns.items()])
