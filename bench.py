@@ -13,6 +13,7 @@ import time
 
 from checks import catalog
 from checks.workspace import Workspace
+from tillflow.scratch import discard
 from tillflow.session import local_session
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -45,6 +46,7 @@ def main() -> None:
     for name in HEADLINES:
         seconds[name] = round(statistics.median(run(builds[name], workspace) for _ in range(RUNS)), 3)
 
+    discard(spark)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({
         "metric": "sum of median query seconds", "value": total, "unit": "sec", "queries": seconds,

@@ -27,6 +27,10 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
+# Spark type -> DuckDB type
+SAME_TYPE = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def _normal(value):
     if isinstance(value, bool) or value is None:
         return value
@@ -44,9 +48,10 @@ def difference(spark: SparkSession, connection: duckdb.DuckDBPyConnection, folde
     mine = _rows(result.columns, result.collect())
     statement = connection.execute(oracle.statements()[name])
     names = [d[0] for d in statement.description]
+    types = sorted((d[0], str(d[1])) for d in statement.description)
     theirs = _rows(names, statement.fetchall())
-    if sorted(names) != sorted(result.columns):
-        return f"columns {sorted(result.columns)} != {sorted(names)}"
+    if sorted((n, SAME_TYPE.get(t, t)) for n, t in result.dtypes) != types:
+        return f"columns {sorted(result.dtypes)} != {types}"
     if len(mine) != len(theirs):
         return f"{len(mine)} rows != {len(theirs)} rows"
     wrong = [(a, b) for a, b in zip(mine, theirs) if a != b]

@@ -147,6 +147,7 @@ def _typed(double: str, dtype: str) -> str:
 
 
 _WAREHOUSE_SQL = FEATURE_SQL | {
+    "postal_code": "CAST(postal_code AS INTEGER)",
     "sales": "CAST(sales AS DECIMAL(12,2))",
     "quantity": "CAST(quantity AS INTEGER)",
     "discount": "CAST(discount AS DECIMAL(5,2))",

@@ -1,5 +1,7 @@
 import datetime as dt
+import shutil
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +148,18 @@ def test_year_bounds_skip_folders(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(order_year" in plan and "In(region" not in plan.split("PartitionFilters")[0]
     assert "PushedFilters: [" in plan and "region" in plan.split("PushedFilters")[1]
     assert "product_name" not in plan.split("ReadSchema")[1]
+
+
+def test_discard_deletes_only_this_application(spark, tmp_path):
+    from tillflow import scratch
+
+    kept = scratch.settle(spark.range(3), "kept")
+    folder = Path(scratch.new_path(spark, "x")).parent
+    other = folder.parent / "other"
+    other.mkdir(exist_ok=True)
+    assert kept.count() == 3 and folder.is_dir()
+    moved = folder.parent / "copy"
+    shutil.copytree(folder, moved)
+    scratch.discard(spark)
+    assert not folder.exists() and other.is_dir()
+    shutil.copytree(moved, folder)  # other tests still read from it

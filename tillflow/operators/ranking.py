@@ -99,7 +99,7 @@ def add_rank(
         ranges = min(MAX_RANGES, ceil(settled.count() / ROWS_PER_RANGE))
     if ranges <= 1:  # a counted quarter of a million rows at most: one task sorts them faster
         order = Window.partitionBy(*partition_by).orderBy(F.col(metric).desc_nulls_first())
-        return df.withColumn(rank_name, F.rank().over(order))
+        return df.withColumn(rank_name, F.rank().over(order).cast("long"))
     cuts, spreads = _cut_points(settled, metric, ranges)
 
     # A struct compares NULL fields as equal, so a NULL partition key is an ordinary one.

@@ -40,7 +40,8 @@ def segment_customer_rank(orders: DataFrame) -> DataFrame:
     keys = ("segment", "customer_name")
     customers = settle(orders.groupBy(*keys).agg(sales_sum(), profit_sum()), "segment-customers")
     ranked = add_rank(customers, "total_sales", "customer_rank", keys=keys, partition_by=("segment",))
-    return ranked.orderBy(F.asc_nulls_last("segment"), _BY_SALES("total_sales"))
+    # The name lets the sort split a run of equal totals.
+    return ranked.orderBy(F.asc_nulls_last("segment"), _BY_SALES("total_sales"), "customer_name")
 
 
 def product_double_rank(orders: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def product_double_rank(orders: DataFrame) -> DataFrame:
     products = settle(orders.groupBy(*keys).agg(sales_sum(), profit_sum()), "products")
     by_sales = add_rank(products, "total_sales", "sales_rank", keys=keys)
     both = add_rank(by_sales, "total_profit", "profit_rank", keys=keys, settled=products)
-    return both.orderBy(_BY_SALES("total_sales"))
+    return both.orderBy(_BY_SALES("total_sales"), *keys)
 
 
 def shipping_efficiency(orders: DataFrame) -> DataFrame:

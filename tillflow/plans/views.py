@@ -50,28 +50,25 @@ def monthly_sales(orders: DataFrame) -> DataFrame:
     ).orderBy(*calendar_order())
 
 
-def _ranked_dimension(orders: DataFrame, key: str, metric: str, rank_name: str) -> DataFrame:
-    # One row per value of a small dimension, so one task may rank them.
-    ranked = Window.orderBy(F.col(metric).desc_nulls_first())
-    return orders.groupBy(key).agg(*core_metrics()).withColumn(rank_name, F.rank().over(ranked))
+def _ranked(orders: DataFrame, keys: tuple[str, ...], metric: str, rank_name: str) -> DataFrame:
+    groups = settle(orders.groupBy(*keys).agg(*core_metrics()), rank_name)
+    return add_rank(groups, metric, rank_name, keys=keys)
 
 
 def region_performance(orders: DataFrame) -> DataFrame:
-    return _ranked_dimension(orders, "region", "total_sales", "sales_rank")
+    return _ranked(orders, ("region",), "total_sales", "sales_rank")
 
 
 def category_performance(orders: DataFrame) -> DataFrame:
-    return _ranked_dimension(orders, "category", "total_profit", "profit_rank")
+    return _ranked(orders, ("category",), "total_profit", "profit_rank")
 
 
 def customer_summary(orders: DataFrame) -> DataFrame:
-    customers = settle(orders.groupBy(*CUSTOMER_KEYS).agg(*core_metrics()), "customer-summary")
-    return add_rank(customers, "total_sales", "sales_rank", keys=CUSTOMER_KEYS)
+    return _ranked(orders, CUSTOMER_KEYS, "total_sales", "sales_rank")
 
 
 def product_performance(orders: DataFrame) -> DataFrame:
-    products = settle(orders.groupBy(*PRODUCT_KEYS).agg(*core_metrics()), "product-performance")
-    return add_rank(products, "total_profit", "profit_rank", keys=PRODUCT_KEYS)
+    return _ranked(orders, PRODUCT_KEYS, "total_profit", "profit_rank")
 
 
 def shipping_analysis(orders: DataFrame) -> DataFrame:

@@ -37,3 +37,10 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete what this application has settled. Results that read from it must be done."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(new_path(spark, "x")).getParent()
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
