@@ -88,7 +88,8 @@ def test_null_tokens(spark):
 )
 def test_number_text(spark, text, number):
     df = spark.createDataFrame([(text,)], "v string")
-    assert df.select(parse_number(F.col("v"), T.DecimalType(18, 4))).first()[0] == number
+    row = df.select(parse_number(F.col("v"), T.DecimalType(18, 4)), parse_number(F.col("v"), T.DoubleType())).first()
+    assert row[0] == number and row[1] == (float(text) if len(text) == 30 else number)
 
 
 def test_integer_text(spark):
@@ -97,8 +98,9 @@ def test_integer_text(spark):
 
 
 def test_strip_takes_unicode_space_and_keeps_blank(spark):
-    df = spark.createDataFrame([("\xa0 a b \t",), ("   ",), (None,)], "v string")
-    assert [r[0] for r in df.select(strip(F.col("v"))).collect()] == ["a b", "", None]
+    texts = ["\xa0 a b \t", "   ", None, "\u3000\x1cx\u2028", "caf\xe9"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    assert [r[0] for r in df.select(strip(F.col("v"))).collect()] == [t if t is None else t.strip() for t in texts]
 
 
 def test_dates(raw):

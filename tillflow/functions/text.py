@@ -6,11 +6,11 @@ from pyspark.sql import Column, functions as F, types as T
 
 from tillflow.schema import NA_TOKENS
 
-# Plain or scientific decimal notation. Anything else that a cast would take ("nan", "inf",
-# "1d") is not a number here.
+# A cast to a decimal type takes plain and scientific notation only. A cast to double would also
+# take "nan", "inf" and "1d", so its text has to look like a number first.
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-# Unicode white space and the four ASCII separators.
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Every white space character of Unicode, which plain trimming (blanks only) would miss.
+_WHITE_SPACE = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
 
 
 def normalize_header(name: str) -> str:
@@ -23,11 +23,12 @@ def null_if_token(value: Column) -> Column:
 
 
 def parse_number(value: Column, dtype: T.DataType) -> Column:
-    number = F.when(value.rlike(_NUMBER), F.trim(value))
+    if isinstance(dtype, T.DecimalType):
+        return value.try_cast(dtype)
     if isinstance(dtype, T.IntegralType):
         # "2.0" is an integer in decimal notation; a direct cast would refuse it.
-        number = number.try_cast(T.DecimalType(38, 4))
-    return number.try_cast(dtype)
+        return value.try_cast(T.DecimalType(38, 4)).try_cast(dtype)
+    return F.when(value.rlike(_NUMBER), value).try_cast(dtype)
 
 
 def parse_date(value: Column, pattern: str) -> Column:
@@ -35,4 +36,4 @@ def parse_date(value: Column, pattern: str) -> Column:
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, _EDGE_SPACE, "")
+    return F.btrim(value, F.lit(_WHITE_SPACE))
