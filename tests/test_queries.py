@@ -55,7 +55,7 @@ def test_detail_lines_are_not_gathered_in_one_task(spark):
     assert "Window" not in plan and "Exchange" not in plan.split("Subquery")[0]
 
 
-RANKED = ["vw_customer_summary", "vw_product_performance", "segment_customer_rank", "product_double_rank"]
+RANKED = ["vw_customer_summary", "vw_product_performance", "segment_customer_rank", "product_double_rank", "rfm_scores"]
 
 
 @pytest.mark.parametrize("name", [*RANKED, *(f"{n}_refreshed" for n in RANKED)])

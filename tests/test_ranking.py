@@ -86,12 +86,14 @@ def test_row_numbers(spark, conf, kind):
     assert [(r.v, r.id) for r in rows] == sorted((r.v, r.id) for r in rows)
 
 
-def test_rows_at_positions(spark, conf):
+@pytest.mark.parametrize("in_one_task", [True, False])
+def test_rows_at_positions(spark, conf, monkeypatch, in_one_task):
     shuffle_without_coalescing(conf)
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 3000 if in_one_task else 2999)
     df = table(spark, "hot_value", 3000)
     expected = sorted((r.v, r.id) for r in df.collect())
     positions = [1, 2, 600, 1200, 1500, 1999, 2999, 3000]
-    found = {r.position: (r.v, r.id) for r in rows_at(df, [F.col("v").asc(), F.col("id").asc()], positions).collect()}
+    found = {r.position: (r.v, r.id) for r in rows_at(df, [F.col("v").asc(), F.col("id").asc()], positions, 3000).collect()}
     assert found == {p: expected[p - 1] for p in positions}
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from tests.conftest import SMALL
-from tillflow.operators import rfm
+from tillflow.operators import ranking, rfm
 
 D0 = dt.date(2020, 1, 1)
 
@@ -45,7 +45,8 @@ def test_scores_match_quantiles_of_ranks(warehouse, n):
 
 
 @pytest.mark.parametrize("partitions", [1, 5])
-def test_scores_with_several_sort_ranges(warehouse, conf, partitions):
+def test_scores_with_several_sort_ranges(warehouse, conf, monkeypatch, partitions):
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 1)
     conf(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions=partitions)
     base = rfm.rfm_base(orders_of(warehouse, 60))
     want = {r.customer_id: (r.r_score, r.f_score, r.m_score) for r in expected(base).itertuples()}

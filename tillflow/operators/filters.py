@@ -48,7 +48,7 @@ def filter_members(orders: DataFrame, selection: Selection) -> DataFrame:
 
 def filter_date_range(orders: DataFrame, selection: Selection) -> DataFrame:
     """Both ends inclusive. The year bounds follow from the dates and let Spark skip partitions."""
-    orders = orders.where(F.col("order_date").isNotNull())
+    orders = orders.where(F.col("order_date").isNotNull() & F.col("order_year").isNotNull())
     if selection.start is not None:
         orders = orders.where(
             (F.col("order_date") >= F.lit(selection.start)) & (F.col("order_year") >= selection.start.year)

@@ -159,11 +159,16 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     )
 
 
-def rows_at(df: DataFrame, order: Sequence[Column], positions: Sequence[int]) -> DataFrame:
-    """The rows at the given 1-based positions of a total order, with ``position``."""
+def rows_at(df: DataFrame, order: Sequence[Column], positions: Sequence[int], rows: int) -> DataFrame:
+    """The rows at the given 1-based positions of a total order, with ``position``.
+
+    ``rows`` is the counted size of ``df``: few rows are numbered in one task, more are sorted by
+    range and looked up by the task and position that they were written at.
+    """
+    if rows <= ROWS_PER_RANGE:
+        numbered = df.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
+        return numbered.where(F.col("position").isin(*positions))
     laid, starts = _lay_out(df, order)
-    if not starts:
-        return df.withColumn("position", F.lit(0).cast("long")).limit(0)
     befores = [before for _, before in starts]
     slots = {}
     for position in positions:

@@ -69,7 +69,7 @@ def rfm_scores(base: DataFrame) -> DataFrame:
     ).select("m.metric", "m.value", *CUSTOMER)
     order = [F.col(c).asc() for c in ("metric", "value", *CUSTOMER)]
     ends = [i * n + end for i in range(len(metrics)) for end in quintile_ends(n)]
-    found = {r["position"]: r for r in rows_at(tall, order, ends).collect()}  # at most 12 rows
+    found = {r["position"]: r for r in rows_at(tall, order, ends, len(metrics) * n).collect()}  # at most 12 rows
 
     def bin_of(i: int, metric: str) -> Column:
         mine = F.struct(F.col(metric).cast("decimal(38,2)"), *[F.col(c) for c in CUSTOMER])

@@ -92,7 +92,10 @@ VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def register_views(orders: DataFrame) -> list[str]:
-    """Make every view available to ``spark.sql``; returns their names."""
+    """Make every view available to ``spark.sql``; returns their names.
+
+    The ranked views read groups settled now: register again after a refresh of the table.
+    """
     for name, view in VIEWS.items():
         view(orders).createOrReplaceTempView(name)
     return list(VIEWS)
