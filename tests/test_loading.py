@@ -107,6 +107,18 @@ def test_processed_round_trip(spark, tmp_path, file_format):
     assert sorted(back.collect(), key=lambda r: r.row_id) == sorted(rows.collect(), key=lambda r: r.row_id)
 
 
+def test_processed_text_as_other_tools_write_it(spark, tmp_path):
+    """Whole numbers as floats, capitalised flags, other column order, empty and spelled-out missing values."""
+    (tmp_path / "processed.csv").write_text(
+        "weekend_flag,order_year,sales,order_date,row_id,discount_band,profit_margin,postal_code\n"
+        "True,2016.0,261.96,2016-11-08,1,low,0.16,42420.0\n"
+        "False,,,,2,,nan,NaN\n"
+    )
+    first, second = csv_files.read_processed(spark, str(tmp_path / "processed.csv"), "csv").orderBy("row_id").collect()
+    assert tuple(first) == (True, 2016, Decimal("261.96"), dt.date(2016, 11, 8), 1, "low", 0.16, 42420)
+    assert tuple(second) == (False, None, None, None, 2, None, None, None)
+
+
 def test_orders_come_from_the_first_source_there_is(spark, tmp_path):
     raw = write_rows(tmp_path / "raw.csv", [{"Row ID": "5"}])
     processed, absent = str(tmp_path / "processed"), str(tmp_path / "absent.csv")

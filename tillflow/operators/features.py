@@ -15,6 +15,18 @@ def _double(name: str) -> Column:
     return F.col(name).cast("double")
 
 
+# English month names, whatever the session's locale.
+MONTHS = (
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November",
+    "December",
+)
+
+
+def _month_name() -> Column:
+    # Not element_at: Spark 4.1 takes a NULL position in a constant array for 0.
+    return F.get(F.array(*[F.lit(m) for m in MONTHS]), F.month("order_date") - 1)
+
+
 def _shipping_days() -> Column:
     return clip(F.datediff("ship_date", "order_date"), low=0)
 
@@ -47,7 +59,7 @@ FEATURES: dict[str, tuple[frozenset[str], Callable[[], Column]]] = {
     "profit_margin": (frozenset({"profit", "sales"}), _profit_margin),
     "order_year": (frozenset({"order_date"}), lambda: F.year("order_date")),
     "order_month": (frozenset({"order_date"}), lambda: F.month("order_date")),
-    "order_month_name": (frozenset({"order_date"}), lambda: F.date_format("order_date", "MMMM")),
+    "order_month_name": (frozenset({"order_date"}), _month_name),
     "order_quarter": (frozenset({"order_date"}), lambda: F.quarter("order_date")),
     "revenue_per_unit": (frozenset({"sales", "quantity"}), _revenue_per_unit),
     "discount_percentage": (frozenset({"discount"}), lambda: F.col("discount") * 100),
