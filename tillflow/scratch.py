@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tillflow-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
+    """Folder named by ``spark.checkpoint.dir``; where that is unset, one beside the tables of the session's warehouse,
+    which all executors share as well. The rule is the same on every master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
