@@ -4,11 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillflow.llm import decontaminate, simhash
+from tillflow.llm import cotraining, decontaminate, packing, quality_rules, simhash, token_counts
 from tillflow.llm.shared import read_table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    """Where the public tokenizer's file lies on the driver; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def clean_label() -> Column:
+    """A document worth keeping: labelled as of good quality and not as toxic."""
+    return (F.col("quality") > 0) & (F.coalesce(F.col("toxic"), F.lit(0)) < 1)
+
+
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_report(read_table(spark, folder, "documents"), tokenizer_path())
+
+
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return quality_rules.quality_report(docs, quality_rules.train(docs, read_table(spark, folder, "labels")))
+
 
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
@@ -18,8 +41,23 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicate_components(read_table(spark, folder, "documents"))
 
 
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read_table(spark, folder, "documents"), tokenizer_path())
+
+
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return cotraining.score_documents(docs, cotraining.train(docs, read_table(spark, folder, "labels"), clean_label()))
+
+
+QUERIES = (
+    op2_token_counts, op3_quality_rules, op5_benchmark_decontamination, op6_simhash_near_dedup, op8_packing,
+    op10_quality_classifier,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_benchmark_decontamination, op6_simhash_near_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tillflow.scratch import settle
 
-__all__ = ["add_python_columns", "packed", "read_table", "settle", "share_of", "text_bytes", "unpacked"]
+__all__ = ["add_python_columns", "packed", "read_table", "settle", "share_of", "text_bytes", "unpacked", "worker_cache"]
 
 ROW = "_row"
 
@@ -81,3 +83,14 @@ def _arrow_type(dtype: T.DataType) -> pa.DataType:
 def share_of(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on ``key`` only: which rows a sample of a stated share takes."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def worker_cache(name: str, make: Callable[[], dict]) -> dict:
+    """A dictionary that lives as long as Spark reuses this Python worker, for values that depend on their key only.
+
+    Tasks of the same worker then need not work out again what an earlier one has. The user bounds its size.
+    """
+    home = sys.modules.setdefault("_tillflow_worker", ModuleType("_tillflow_worker"))
+    if not hasattr(home, name):
+        setattr(home, name, make())
+    return getattr(home, name)
