@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillflow.llm import cotraining, decontaminate, packing, quality_rules, simhash, token_counts
+from tillflow.llm import cotraining, decontaminate, packing, quality_rules, simhash, suffix_tree, token_counts
 from tillflow.llm.shared import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def clean_label() -> Column:
     return (F.col("quality") > 0) & (F.coalesce(F.col("toxic"), F.lit(0)) < 1)
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.language_model_scores(read_table(spark, folder, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_report(read_table(spark, folder, "documents"), tokenizer_path())
 
@@ -51,8 +55,8 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = (
-    op2_token_counts, op3_quality_rules, op5_benchmark_decontamination, op6_simhash_near_dedup, op8_packing,
-    op10_quality_classifier,
+    op1_lm_scoring, op2_token_counts, op3_quality_rules, op5_benchmark_decontamination, op6_simhash_near_dedup,
+    op8_packing, op10_quality_classifier,
 )
 
 
