@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillflow.llm import cotraining, decontaminate, packing, quality_rules, simhash, suffix_tree, token_counts
+from tillflow.llm import (
+    chat_perspectives, cotraining, decontaminate, language_id, packing, quality_rules, sharding, simhash, suffix_tree,
+    token_counts,
+)
 from tillflow.llm.shared import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,6 +40,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_report(docs, quality_rules.train(docs, read_table(spark, folder, "labels")))
 
 
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign_shards(read_table(spark, folder, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -45,18 +52,26 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicate_components(read_table(spark, folder, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_perspectives.perspective_report(read_table(spark, folder, "conversations"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read_table(spark, folder, "documents"), tokenizer_path())
 
 
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(read_table(spark, folder, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return cotraining.score_documents(docs, cotraining.train(docs, read_table(spark, folder, "labels"), clean_label()))
 
 
 QUERIES = (
-    op1_lm_scoring, op2_token_counts, op3_quality_rules, op5_benchmark_decontamination, op6_simhash_near_dedup,
-    op8_packing, op10_quality_classifier,
+    op1_lm_scoring, op2_token_counts, op3_quality_rules, op4_sharding, op5_benchmark_decontamination,
+    op6_simhash_near_dedup, op7_chat_formatting, op8_packing, op9_language_id, op10_quality_classifier,
 )
 
 
@@ -65,4 +80,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can state the result; the other queries are tested against brute force."""
+    return {op7_chat_formatting.__name__: chat_perspectives.oracle()}
