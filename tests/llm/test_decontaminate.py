@@ -1,0 +1,92 @@
+import hashlib
+import re
+
+import pytest
+
+from tests.llm.conftest import DOCUMENT, ODD_ROWS
+from tillflow.llm import decontaminate
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute(docs, items):
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        size = min(10, len(w))
+        for i in range(len(w) - size + 1 if size else 0):
+            windows.setdefault(tuple(w[i : i + size]), set()).add(item)
+    sizes = {len(k) for k in windows}
+    out = []
+    for doc, text in docs:
+        w, hit, owners = words(text), set(), set()
+        for size in sizes:
+            for i in range(len(w) - size + 1):
+                found = windows.get(tuple(w[i : i + size]))
+                if found:
+                    hit.update(range(i, i + size))
+                    owners |= {str(x) for x in found if x is not None}
+        digest = hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest()
+        out.append((str(doc), len(w), len(hit), len(owners), digest, bool(hit)))
+    return sorted(out)
+
+
+def found(docs, benchmark, **options):
+    result = decontaminate.contamination(docs, benchmark, **options).collect()
+    return sorted((str(r[0]), *tuple(r)[1:]) for r in result)
+
+
+ITEMS = [
+    (1, "the lazy dog"), (2, "Œuvre déjà vue"), (3, None), (4, ""), (5, "!!!"), (None, "1234"), (2, "Œuvre déjà vue"),
+    (6, "and the rest of it word5 and the rest of it word6 and the rest"), (7, "never in any document at all"),
+]
+
+
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 40])
+def test_odd_rows(spark, odd, block_bytes):
+    benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert found(odd, benchmark, block_bytes=block_bytes) == brute([r[:2] for r in ODD_ROWS], ITEMS)
+
+
+def test_corpus(table):
+    docs, benchmark = table("documents", "sf0.01"), table("benchmark", "sf0.01")
+    assert found(docs, benchmark) == brute(
+        [(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in benchmark.collect()]
+    )
+
+
+def test_empty_tables(spark, odd, none):
+    benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert found(none, benchmark) == []
+    assert all(r[5] is False for r in found(odd, benchmark.where("false")))
+    assert decontaminate.decontaminate(none, benchmark).columns == none.columns
+
+
+def test_spans_are_cut_until_nothing_is_left(spark):
+    leak = "one two three four five six seven eight nine ten"
+    rest = " ".join(f"w{i}" for i in range(40))
+    benchmark = spark.createDataFrame([(1, leak), (2, "w19 w20x w21x")], "item_id long, text string")
+    texts = {
+        1: f"{rest} {leak}. {rest}",  # cut
+        2: f"{rest}",  # clean
+        3: f"{leak}, {leak}",  # nothing else: goes
+        4: f"{rest} one two three four five {leak} six seven eight nine ten {rest}",  # the cut brings a window together
+        5: None, 6: "",
+    }
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in texts.items()], DOCUMENT)
+    kept = {r.doc_id: r for r in decontaminate.decontaminate(docs, benchmark).collect()}
+    assert set(kept) == {1, 2, 4, 5, 6}
+    assert kept[2].text == rest and kept[5].text is None and kept[6].text == ""
+    assert words(kept[1].text) == rest.split() * 2 and words(kept[4].text) == rest.split() * 2
+    assert kept[1].n_chars == len(kept[1].text)
+
+
+def test_extra_columns_stay(spark, odd):
+    benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
+    clean = decontaminate.decontaminate(odd, benchmark)
+    assert clean.columns == odd.columns
+    assert all(not r.contaminated for r in decontaminate.contamination(clean, benchmark).collect())

@@ -1,0 +1,111 @@
+import random
+
+import numpy as np
+import xxhash
+
+from tests.llm.conftest import DOCUMENT, ODD_ROWS
+from tillflow.llm import simhash
+from tillflow.llm.graph import component_labels
+
+
+def brute_fingerprint(text):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def brute_components(pairs, values):
+    parent = {v: v for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {v: find(v) for v in values}
+
+
+def expected(rows):
+    prints = [(r[0], brute_fingerprint(r[1])) for r in rows]
+    values = sorted({p for _, p in prints})
+    array = np.array(values, np.uint64)
+    pairs = [(values[i], values[j]) for i in range(len(values)) for j in i + 1 + np.flatnonzero(np.bitwise_count(array[i + 1 :] ^ array[i]) <= 2)]
+    roots = brute_components(pairs, values)
+    low = {}
+    for i, p in prints:
+        if i is not None:
+            low[roots[p]] = min(low.get(roots[p], i), i)
+    return sorted((str(i), f"{p:016x}", str(low.get(roots[p]))) for i, p in prints)
+
+
+def found(docs):
+    return sorted((str(a), b, str(c)) for a, b, c in simhash.near_duplicate_components(docs).collect())
+
+
+def test_odd_rows(odd):
+    assert found(odd) == expected(ODD_ROWS)
+
+
+def test_near_copies(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(500)]
+    made = []
+    for i in range(120):
+        text = [rng.choice(vocabulary) for _ in range(300)]
+        made.append(text)
+        for _ in range(i % 4):
+            changed = list(made[-1])
+            changed[rng.randrange(300)] = "changed"
+            made.append(changed)
+    rows = [(i, " ".join(t), "en", "a", 1) for i, t in enumerate(made)]
+    result = expected(rows)
+    assert len({c for _, _, c in result}) < len(rows) - 20  # some copies are within two bits
+    assert found(spark.createDataFrame(rows, DOCUMENT)) == result
+
+
+def test_links_of_chosen_fingerprints(spark):
+    """Flips of known numbers of bits, chains among them, against all pairs."""
+    rng = random.Random(7)
+    values = set()
+    for _ in range(60):
+        value = rng.getrandbits(64)
+        values.add(value)
+        for _ in range(5):
+            value ^= sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 2, 3])))
+            values.add(value)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    distinct = spark.createDataFrame([(v,) for v in signed], "fingerprint long")
+    links = simhash.fingerprint_links(distinct)
+    labels = {r.node: r.label for r in component_labels(links).collect()}
+    array = np.array(signed, np.int64).view(np.uint64)
+    pairs = [(signed[i], signed[i + 1 + j]) for i in range(len(signed)) for j in np.flatnonzero(np.bitwise_count(array[i + 1 :] ^ array[i]) <= 2)]
+    roots = brute_components(pairs, signed)
+    assert {v: labels.get(v, v) for v in signed} == roots
+    assert all((a ^ b).bit_count() <= 2 for a, b in [(r.u & (2**64 - 1), r.v & (2**64 - 1)) for r in links.collect()])
+
+
+def test_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "u long, v long")
+    labels = {r.node: r.label for r in component_labels(edges).collect()}
+    assert labels == {i: 0 for i in range(1, 201)} | {501: 500}
+
+
+def test_one_document_of_each_group_stays(odd):
+    kept = simhash.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns
+    groups = {}
+    for i, p, c in simhash.near_duplicate_components(odd).collect():
+        groups.setdefault((p if c is None else c), []).append(i)
+    assert kept.count() == len({c for _, _, c in expected(ODD_ROWS)})
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted({int(c) for _, _, c in expected(ODD_ROWS) if c != "None"})
+
+
+def test_empty_table(none):
+    assert simhash.near_duplicate_components(none).count() == 0
+    assert simhash.drop_near_duplicates(none).count() == 0
