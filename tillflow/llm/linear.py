@@ -56,12 +56,12 @@ def hashed_ngrams(text: str | None) -> list[np.ndarray]:
     w = np.fromiter(map(crc32, words), np.uint32, len(words))
     c = np.frombuffer(raw.encode("utf-32-le"), np.uint32)
     grams = [[w], [w[:-1], w[1:]], [c[:-2], c[1:-1], c[2:]], [c[:-3], c[1:-2], c[2:-1], c[3:]]]
-    return [_distinct(columns).astype(np.int64) + i * DIM for i, columns in enumerate(grams)]
+    return [_distinct(columns).astype(np.int32) + np.int32(i * DIM) for i, columns in enumerate(grams)]
 
 
 def sparse_row(groups: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, values) of a text; all n-grams of a family have the same value."""
-    values = [np.full(len(g), s / (len(g) + SHORT) ** DAMPING) for g, s in zip(groups, SCALES, strict=True)]
+    values = [np.full(len(g), s / (len(g) + SHORT) ** DAMPING, np.float32) for g, s in zip(groups, SCALES, strict=True)]
     return np.concatenate(groups), np.concatenate(values)
 
 
@@ -87,7 +87,7 @@ def fit_text(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     n_good, n_bad = float((labels > 0.5).sum()), float((labels <= 0.5).sum())
     ratio = np.log(good / (n_good + 2)) - np.log(bad / (n_bad + 2))
     ratio[np.abs(ratio) < RARE] = 0.0
-    scaled = [(ids[keep], values[keep] * ratio[ids[keep]]) for ids, values in rows for keep in [ratio[ids] != 0]]
+    scaled = [(ids[keep], (values[keep] * ratio[ids[keep]]).astype(np.float32)) for ids, values in rows for keep in [ratio[ids] != 0]]
     weights, seen, bias, seen_bias = np.zeros(TEXT_DIM), np.full(TEXT_DIM, 1e-6), 0.0, 1e-6
     weight_of = {True: min(10.0, 0.5 * len(labels) / max(1.0, n_good)), False: min(10.0, 0.5 * len(labels) / max(1.0, n_bad))}
     rng = np.random.default_rng(seed)

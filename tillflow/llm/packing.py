@@ -17,7 +17,7 @@ from tillflow.llm.shared import add_python_columns, settle, text_bytes, worker_c
 CAPACITY = 4096
 END_ID = 2
 GROUP_PIECES = 1000  # pieces that are differenced together; bounds a task's memory and time at any size of input
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 19  # pieces that a worker remembers; the often used ones stay when there are more
 _MARK = b"\x1e"
 
 
@@ -38,6 +38,19 @@ class TokenIds:
         self.place: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint16)
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keep the pieces that were used most since the last time, half of the limit at most."""
+        most = CACHED_WORDS // 2
+        least = max(2, int(np.partition(self.uses, -most)[-most]) + 1) if len(self.uses) > most else 2
+        kept = np.flatnonzero(self.uses >= least)
+        words = list(self.place)
+        sizes = self.sizes[kept]
+        ends = np.cumsum(sizes)
+        index = np.arange(int(sizes.sum())) + np.repeat(self.starts[kept] - ends + sizes, sizes)
+        self.place = {words[i]: at for at, i in enumerate(kept.tolist())}
+        self.ids, self.starts, self.sizes, self.uses = self.ids[index], ends - sizes, sizes, np.zeros(len(kept), np.int64)
 
     def _encode(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
@@ -57,10 +70,11 @@ class TokenIds:
         self.ids = np.concatenate([self.ids, joined.astype(np.uint16)])
         self.starts = np.concatenate([self.starts, starts + base])
         self.sizes = np.concatenate([self.sizes, ends - starts])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
     def of(self, texts: Sequence[bytes | None]) -> list[np.ndarray]:
         if len(self.place) > CACHED_WORDS:
-            self.clear()
+            self.forget()
         lowered = [(t or b"").lower() for t in texts]
         whole = [any(s in x for s in self.special) or _MARK in x for x in lowered]
         words = [[] if w else x.split() for x, w in zip(lowered, whole, strict=True)]
@@ -71,6 +85,7 @@ class TokenIds:
                 out.append(self._encode(raw))
                 continue
             at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+            np.add.at(self.uses, at, 1)
             sizes = self.sizes[at]
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0

@@ -14,6 +14,7 @@ from tillflow.scratch import settle
 __all__ = ["add_python_columns", "packed", "read_table", "settle", "share_of", "text_bytes", "unpacked", "worker_cache"]
 
 ROW = "_row"
+ROWS_AT_ONCE = 1024  # rows of an Arrow batch that Python works on at a time; bounds its memory
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,10 +61,12 @@ def add_python_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
-            made = work(*[batch.column(i) for i in reads])
-            arrays = [m if isinstance(m, pa.Array) else pa.array(m, t) for m, t in zip(made, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in positions] + arrays, names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                made = work(*[batch.column(i) for i in reads])
+                arrays = [m if isinstance(m, pa.Array) else pa.array(m, t) for m, t in zip(made, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in positions] + arrays, names=names)
 
     return df.mapInArrow(run, schema)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tillflow.llm.shared import add_python_columns, text_bytes, worker_cache
 
 LIMIT_TOKENS = 2048
-CACHED_WORDS = 1 << 20  # entries that a worker keeps at most
+CACHED_WORDS = 1 << 19  # entries that a worker keeps at most
 
 # The spaces, and the split pattern, that a tokenizer file of this kind has to name.
 SPACES = regex.compile(r"\s+")
