@@ -26,6 +26,16 @@ def test_ids_are_the_library_s(library, texts):
     assert [m.tolist() for m in made] == [library.encode(t.decode(), add_special_tokens=False).ids for t in texts]
 
 
+def test_forgetting_pieces_changes_nothing(library, table, monkeypatch):
+    texts = [(r.text or "").encode() for r in table("documents").limit(60).collect()]
+    expected = [library.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(packing, "CACHED_WORDS", 64)
+    ids_of = packing.TokenIds(library.to_str())
+    assert [ids_of.of([t])[0].tolist() for t in texts] == expected
+    ids_of.forget()
+    assert 0 < len(ids_of.place) <= 32 or not ids_of.place
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 99), min_size=1, max_size=80))
 def test_no_window_exceeds_the_capacity(sizes):
