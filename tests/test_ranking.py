@@ -1,4 +1,4 @@
-import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -28,7 +28,7 @@ def table(spark, kind, n=5000):
 KINDS = ["unique", "ties", "hot_value", "hot_null", "one_value", "all_null", "extremes"]
 
 
-@pytest.mark.parametrize("ranges", [1, 2, 64])
+@pytest.mark.parametrize("ranges", [2, 64])
 @pytest.mark.parametrize("kind", KINDS)
 def test_rank_equals_plain_window(spark, kind, ranges):
     df = table(spark, kind)
@@ -54,9 +54,40 @@ def test_rank_of_nothing(spark):
 def test_work_is_even_whatever_the_values(spark, kind):
     """No sort group is much larger than an even share, also if a third of the rows tie."""
     df, ranges = table(spark, kind, 20_000), 20
-    cuts, spreads = ranking._cut_points(df, "v", ranges)
-    largest = ranking._place(df, "v", cuts, spreads, ["id"]).groupBy("_range", "_part").count().agg(F.max("count")).first()[0]
-    assert largest <= 2 * 20_000 / ranges
+    text = f"WITH {ranking._placed_sql('SELECT * FROM {df}', 'v', ['id'], ranges)} SELECT * FROM _placed"
+    placed = spark.sql(text, df=df)
+    largest = placed.groupBy("_range", "_part").count().agg(F.max("count")).first()[0]
+    assert largest <= 2.5 * 20_000 / ranges
+
+
+def test_building_starts_no_job(spark, warehouse):
+    from tillflow.operators import rfm
+    from tillflow.plans import business, views
+
+    tracker = spark.sparkContext.statusTracker()
+    orders = warehouse(dict(region="R", sales=Decimal(1), order_id="a"))
+    spark.sparkContext.setJobGroup("building", "queries are built")
+    try:
+        for build in (*views.VIEWS.values(), business.segment_customer_rank, business.product_double_rank, rfm.rfm):
+            build(orders)
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_group_rows_never_meet_in_one_task(spark):
+    """Only cut points, ranges and samples do: what goes to a single partition is an aggregate of a bounded sample."""
+    from checks.workspace import workspace
+    from tests.conftest import SMALL
+    from tillflow.plans import business, views
+
+    orders = workspace(spark, SMALL).orders
+    for build in (views.customer_summary, views.product_performance, business.segment_customer_rank, business.product_double_rank):
+        plan = build(orders)._jdf.queryExecution().executedPlan().toString().splitlines()
+        for i, line in enumerate(plan):
+            if "SinglePartition" in line:
+                below = plan[i + 1]
+                assert "_range" in below or "sort_array" in below or "collect_list" in below or "HashAggregate(keys=[]" in below, below
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 64])
@@ -67,12 +98,6 @@ def test_rank_does_not_depend_on_partitioning(spark, conf, partitions):
     assert both.where("r <> x").count() == 0
 
 
-def test_two_level_search_of_cut_points(spark):
-    cuts = sorted(random.Random(1).sample(range(1000), 150))
-    df = spark.range(-5, 1005).withColumn("below", ranking._cuts_below(F.col("id"), cuts))
-    assert all(r.below == sum(c < r.id for c in cuts) for r in df.collect())
-
-
 def shuffle_without_coalescing(conf):
     conf(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions=6)
 
@@ -86,20 +111,11 @@ def test_row_numbers(spark, conf, kind):
     assert [(r.v, r.id) for r in rows] == sorted((r.v, r.id) for r in rows)
 
 
-@pytest.mark.parametrize("in_one_task", [True, False])
-def test_rows_at_positions(spark, conf, monkeypatch, in_one_task):
-    shuffle_without_coalescing(conf)
-    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 3000 if in_one_task else 2999)
+@pytest.mark.parametrize("ranges", [2, 6, 40])
+def test_rows_at_positions(spark, ranges):
     df = table(spark, "hot_value", 3000)
     expected = sorted((r.v, r.id) for r in df.collect())
     positions = [1, 2, 600, 1200, 1500, 1999, 2999, 3000]
-    found = {r.position: (r.v, r.id) for r in rows_at(df, [F.col("v").asc(), F.col("id").asc()], positions, 3000).collect()}
+    wanted = F.array(*[F.lit(p).cast("long") for p in positions])
+    found = {r.position: tuple(r.mark) for r in rows_at(df, "struct(v, id)", ["id"], wanted, ranges).collect()}
     assert found == {p: expected[p - 1] for p in positions}
-
-
-def test_sort_ranges_split_a_hot_value(spark, conf):
-    shuffle_without_coalescing(conf)
-    df = table(spark, "one_value", 6000)
-    _, starts = ranking._lay_out(df, [F.col("v").asc(), F.col("id").asc()])
-    sizes = [b - a for (_, a), (_, b) in zip(starts, [*starts[1:], (None, 6000)])]
-    assert len(sizes) == 6 and max(sizes) < 2000

@@ -1,178 +1,149 @@
 """Exact ranks and positions over tables too large for one task.
 
-``Window.orderBy`` without ``partitionBy`` sorts the whole table in a single task. The operators
-here give the same values from work that is split evenly, also when one value holds a large
-share of the rows.
+``Window.orderBy`` without ``partitionBy`` sorts the whole table in a single task. The operators here give the same
+values from work that is split evenly, also when one value holds a large share of the rows. They are one lazy plan at
+every size: building it starts no job.
 """
 
 from __future__ import annotations
 
-import bisect
-from collections import Counter
 from collections.abc import Sequence
-from math import ceil, isqrt
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tillflow.scratch import settle
 
-ROWS_PER_RANGE = 250_000
-MAX_RANGES = 4096
+SAMPLES_PER_RANGE = 16
 # monotonically_increasing_id(): task number in the upper bits, position in the task below.
 _TASK_BITS = 33
 
 
-def _cut_points(df: DataFrame, metric: str, ranges: int) -> tuple[list, list[int]]:
-    """About evenly spaced values of ``metric``, and into how many parts to spread each range.
+def range_count(spark: SparkSession) -> int:
+    """As many ranges as a shuffle has partitions, which is what a cluster is told about the size of its tables."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    Both affect balance only, never results. A value that several quantiles fall on holds as many
-    shares of the rows; it is spread over as many parts. The last entry is for NULLs.
-    """
-    shares = [i / ranges for i in range(1, ranges)]
-    quantiles, values, nulls = df.agg(
-        F.percentile_approx(metric, shares, max(1000, 4 * ranges)),
-        F.count(metric),
-        F.count_if(F.col(metric).isNull()),
-    ).first()
-    times = Counter(quantiles or [])
-    cuts = sorted(times)
-    spreads = [1]
-    for cut in cuts:
-        spreads += [times[cut], 1]
-    return cuts, [*spreads, 1 + nulls * ranges // max(1, values + nulls)]
-
-
-def _cuts_below(value: Column, cuts: list) -> Column:
-    """Number of cut points below ``value``: first among every n-th cut, then inside one stretch."""
-    step = max(1, isqrt(len(cuts)))
-    skipped = F.size(F.filter(_literals(cuts[step - 1 :: step]), lambda c: c < value)) * step
-    return skipped + F.size(F.filter(F.slice(_literals(cuts), skipped + 1, step), lambda c: c < value))
 
+def _placed_sql(source: str, metric: str, keys: Sequence[str], ranges: int) -> str:
+    """Common table expressions up to ``_placed``: the rows of ``source`` with _value, _range, _part and _parts.
 
-def _literals(values: list) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    Cut points: the rows fall into buckets by a hash of their keys, and of each bucket the row with the smallest other
+    hash is the sample. That is a bounded number of rows that depends on the table only, pre-aggregated in each task, so
+    the plan may evaluate it twice and see the same cuts. They affect balance and never results. A value that several of
+    the evenly spaced picks fall on holds as many shares of the rows, and so is spread over as many parts.
 
-
-def _place(df: DataFrame, metric: str, cuts: list, spreads: list[int], keys: Sequence[str]) -> DataFrame:
-    """Adds ``_range``, ascending, and ``_part``, the part of the range that a row goes to.
-
-    A range number is odd for a cut point itself and even for the open range before it. All rows in
-    an odd range tie. A value frequent enough to unbalance the ranges is itself a cut point. NULLs
-    tie too and, as in ``DESC`` order of the warehouse's SQL, come above everything.
+    Ranges ascend; a number is odd for a cut point itself and even for the open range before it. All rows in an odd range
+    tie. NULLs tie too and, as in ``DESC`` order of the warehouse's SQL, come above everything. The cuts below a value are
+    counted among every n-th cut first, then in one stretch.
     """
-    value, below = F.col(metric), F.col("_below")
-    if cuts:
-        df = df.withColumn("_below", _cuts_below(value, cuts))
-        on_cut = F.coalesce(F.get(_literals(cuts), below) == value, F.lit(False))
-        number = 2 * below + on_cut.cast("int")
-    else:
-        number = F.lit(0)
-    number = F.when(value.isNull(), F.lit(2 * len(cuts) + 1)).otherwise(number)
-    part = F.pmod(F.xxhash64(*keys), F.get(_literals(spreads), F.col("_range"))).cast("int")
-    # Declared non-null, as Spark would otherwise evaluate both again in a filter before the join.
-    return (
-        df.withColumn("_range", F.coalesce(number, F.lit(0)))
-        .withColumn("_part", F.coalesce(part, F.lit(0)))
-        .drop("_below")
-    )
+    key = ", ".join(keys)
+    return f"""
+_source AS ({source}),
+_picked AS (
+  SELECT sort_array(collect_list(s.v)) AS vs, count(*) AS n FROM (
+    SELECT min(struct(xxhash64({key}, 1) AS c, {metric} AS v)) AS s FROM _source
+    GROUP BY pmod(xxhash64({key}), {ranges * SAMPLES_PER_RANGE}))
+), _picks AS (
+  SELECT vs, n, transform(filter(sequence(1, {ranges - 1}), i -> size(vs) > 0), i -> get(vs, int(floor(i * size(vs) / {ranges})))) AS picks
+  FROM _picked
+), _cuts AS (
+  SELECT *, array_distinct(picks) AS cuts, int(greatest(1, floor(sqrt(size(array_distinct(picks)))))) AS step FROM _picks
+), _layout AS (
+  SELECT struct(cuts, step, filter(cuts, (c, i) -> (i + 1) % step = 0) AS coarse,
+    concat(flatten(transform(cuts, v -> array(1, size(filter(picks, p -> p = v))))),
+      array(1, 1 + int(floor((n - size(vs)) * {ranges} / greatest(n, 1))))) AS spreads) AS l
+  FROM _cuts
+), _laid AS (
+  SELECT *, {metric} AS _value, (SELECT l FROM _layout) AS _l FROM _source
+), _skipped AS (
+  SELECT *, size(filter(_l.coarse, c -> c < _value)) * _l.step AS _skip FROM _laid
+), _located AS (
+  SELECT *, coalesce(_skip + size(filter(slice(_l.cuts, _skip + 1, _l.step), c -> c < _value)), 0) AS _below FROM _skipped
+), _ranged AS (
+  SELECT *, coalesce(CASE WHEN _value IS NULL THEN 2 * size(_l.cuts) + 1
+    ELSE 2 * _below + int(coalesce(get(_l.cuts, _below) = _value, false)) END, 0) AS _range
+  FROM _located
+), _placed AS (
+  SELECT * EXCEPT (_l, _skip, _below), get(_l.spreads, _range) AS _parts,
+    coalesce(int(pmod(xxhash64({key}), get(_l.spreads, _range))), 0) AS _part
+  FROM _ranged
+)"""
+
+
+def rank_sql(source: str, metric: str, rank_name: str, keys: Sequence[str], partition_by: Sequence[str] = (), ranges: int = 200) -> str:
+    """``RANK() OVER (PARTITION BY .. ORDER BY metric DESC NULLS FIRST)`` of the query ``source``, evenly distributed.
+
+    ``source`` has one row per ``keys``. Rows are split by value range; a row's rank is the number of rows in higher
+    ranges plus its rank in its own range. A range of tied rows needs no common task: each of them ranks first in it, so
+    it is spread over ``keys``. The one shuffle of the rows serves the window and the join. A partition, which may hold
+    most of the rows, is spread over ranges like the table as a whole.
+    """
+    # A struct compares NULL fields as equal, so a NULL partition key is an ordinary one.
+    owner = f"struct({', '.join(partition_by)})" if partition_by else "0"
+    return f"""WITH {_placed_sql(source, metric, keys, ranges)}, _owned AS (
+  SELECT *, {owner} AS _owner FROM _placed
+), _sizes AS (
+  SELECT _owner, _range, count(*) AS n, max(_parts) AS parts FROM _owned GROUP BY _owner, _range
+), _offsets AS (
+  SELECT _owner, _range, explode(sequence(0, parts - 1)) AS _part, above FROM (
+    SELECT *, coalesce(sum(n) OVER (PARTITION BY _owner ORDER BY _range DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
+    FROM _sizes)
+), _inside AS (
+  SELECT *, rank() OVER (PARTITION BY _owner, _range, _part ORDER BY _value DESC NULLS FIRST) AS inside FROM _owned
+)
+SELECT i.* EXCEPT (_value, _range, _part, _parts, _owner, inside), o.above + i.inside AS {rank_name}
+FROM _inside i JOIN _offsets o ON i._owner = o._owner AND i._range = o._range AND i._part = o._part"""
 
 
 def add_rank(
-    df: DataFrame,
-    metric: str,
-    rank_name: str,
-    keys: Sequence[str],
-    partition_by: Sequence[str] = (),
-    settled: DataFrame | None = None,
-    ranges: int | None = None,
+    df: DataFrame, metric: str, rank_name: str, keys: Sequence[str], partition_by: Sequence[str] = (), ranges: int | None = None,
 ) -> DataFrame:
-    """``RANK() OVER (PARTITION BY .. ORDER BY metric DESC NULLS FIRST)``, evenly distributed.
+    """:func:`rank_sql` of a DataFrame."""
+    spark = df.sparkSession
+    return spark.sql(rank_sql("SELECT * FROM {df}", metric, rank_name, keys, partition_by, ranges or range_count(spark)), df=df)
 
-    ``df`` has one row per ``keys``. Its values are counted before it is ranked; pass ``settled``,
-    a settled table with the same rows, unless ``df`` is one itself. Rows are split by value range;
-    a row's rank is the number of rows in higher ranges plus its rank in its own range. A range of
-    tied rows needs no common task: each of them ranks first in it, so it is spread over ``keys``.
-    The one shuffle of ``df`` serves the window and the join.
-    """
-    settled = df if settled is None else settled
-    if ranges is None:
-        ranges = min(MAX_RANGES, ceil(settled.count() / ROWS_PER_RANGE))
-    if ranges <= 1:  # a counted quarter of a million rows at most: one task sorts them faster
-        order = Window.partitionBy(*partition_by).orderBy(F.col(metric).desc_nulls_first())
-        return df.withColumn(rank_name, F.rank().over(order).cast("long"))
-    cuts, spreads = _cut_points(settled, metric, ranges)
 
-    # A struct compares NULL fields as equal, so a NULL partition key is an ordinary one.
-    owner = {"_owner": F.struct(*[F.col(c) for c in partition_by])} if partition_by else {}
+def rows_at(df: DataFrame, mark: str, keys: Sequence[str], positions: Column, ranges: int | None = None) -> DataFrame:
+    """(position, mark) at the given 1-based positions of the order by the expression ``mark``, which no two rows share.
 
-    # At most two ranges per cut point, and as many rows as parts, whatever the size of df.
-    above = (
-        Window.partitionBy(*owner)
-        .orderBy(F.col("_range").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
+    ``positions`` is an array, small and the same for all rows. Only the ranges that hold a position are sorted.
+    """
+    spark = df.sparkSession
+    text = f"WITH {_placed_sql('SELECT * FROM {df}', mark, keys, ranges or range_count(spark))} SELECT _range, _value FROM _placed"
+    placed = spark.sql(text, df=df)
+    before = F.coalesce(
+        F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    offsets = (
-        _place(settled, metric, cuts, spreads, keys)
-        .withColumns(owner)
-        .groupBy(*owner, "_range")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_above", F.coalesce(F.sum("_rows").over(above), F.lit(0)))
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.get(_literals(spreads), F.col("_range")) - 1)))
-        .drop("_rows")
+    wanted = (
+        placed.groupBy("_range").agg(F.count("*").alias("_rows"))  # two ranges per cut point at most
+        .withColumn("_before", before)
+        .withColumn("_positions", positions)  # as a column: lambdas take no subquery
+        .withColumn("_places", F.filter("_positions", lambda p: (p > F.col("_before")) & (p <= F.col("_before") + F.col("_rows"))))
+        .where(F.size("_places") > 0)
+        .select("_range", "_before", "_places")
     )
-    place = [*owner, "_range", "_part"]
-    inside = Window.partitionBy(*place).orderBy(F.col(metric).desc_nulls_first())
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_value"))
     return (
-        _place(df, metric, cuts, spreads, keys)
-        .withColumns(owner)
-        .withColumn("_inside", F.rank().over(inside))
-        .join(offsets, place)
-        .select(*df.columns, (F.col("_above") + F.col("_inside")).alias(rank_name))
+        placed.join(F.broadcast(wanted), "_range")  # no more rows than positions
+        .withColumn("position", F.col("_before") + inside)
+        .where(F.array_contains(F.col("_places"), F.col("position")))
+        .select("position", F.col("_value").alias("mark"))
     )
 
 
-def _lay_out(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Sort and write ``df`` with a ``_slot`` per row; also the first position of each written task.
+def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``ROW_NUMBER()`` over a total order of the whole table.
 
-    ``order`` must be a total order; Spark then cuts the sort ranges anywhere, also inside a run of
-    equal leading values. Returns (table, [(task number, rows in the tasks before it)]).
+    Runs the sort: it is written once to the shared folder, and a row's number is its place in its task's output plus the
+    rows of the tasks before it. ``order`` must be total; Spark then cuts the sort ranges anywhere, also inside a run of
+    equal leading values.
     """
     laid = settle(df.sort(*order).withColumn("_slot", F.monotonically_increasing_id()), "sorted")
-    sizes = laid.groupBy(F.shiftright("_slot", _TASK_BITS).alias("task")).count().collect()
-    starts, total = [], 0
-    for task, rows in sorted((r["task"], r["count"]) for r in sizes):  # one entry per write task
-        starts.append((task, total))
-        total += rows
-    return laid, starts
-
-
-def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """``ROW_NUMBER()`` over a total order of the whole table."""
-    laid, starts = _lay_out(df, order)
-    spark = df.sparkSession
-    first = spark.createDataFrame(starts, "_task long, _before long")
+    sizes = laid.groupBy(F.shiftright("_slot", _TASK_BITS).alias("_task")).agg(F.count("*").alias("_rows"))
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # one row per write task
+    first = sizes.select("_task", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     in_task = F.col("_slot").bitwiseAND((1 << _TASK_BITS) - 1)
     return (
         laid.withColumn("_task", F.shiftright("_slot", _TASK_BITS))
-        .join(F.broadcast(first), "_task")  # one row per write task
+        .join(F.broadcast(first), "_task")
         .select((F.col("_before") + in_task + 1).alias(name), *df.columns)
     )
-
-
-def rows_at(df: DataFrame, order: Sequence[Column], positions: Sequence[int], rows: int) -> DataFrame:
-    """The rows at the given 1-based positions of a total order, with ``position``.
-
-    ``rows`` is the counted size of ``df``: few rows are numbered in one task, more are sorted by
-    range and looked up by the task and position that they were written at.
-    """
-    if rows <= ROWS_PER_RANGE:
-        numbered = df.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
-        return numbered.where(F.col("position").isin(*positions))
-    laid, starts = _lay_out(df, order)
-    befores = [before for _, before in starts]
-    slots = {}
-    for position in positions:
-        task, before = starts[bisect.bisect_right(befores, position - 1) - 1]
-        slots[(task << _TASK_BITS) + position - 1 - before] = position
-    wanted = df.sparkSession.createDataFrame(list(slots.items()), "_slot long, position long")
-    return laid.where(F.col("_slot").isin(*slots)).join(F.broadcast(wanted), "_slot").select(*df.columns, "position")

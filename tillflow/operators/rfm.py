@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tillflow.functions import total_or_zero
 from tillflow.operators.ranking import rows_at
-from tillflow.scratch import settle
 
 CUSTOMER = ("customer_id", "customer_name", "segment")
 BINS = 5
@@ -34,51 +33,45 @@ def rfm_base(selected: DataFrame) -> DataFrame:
     )
 
 
-def quintile_ends(n: int) -> list[int]:
-    """Last position of bins 1 to 4 when positions 1..n are cut at equal quantiles.
+def quintile_ends(n):
+    """Last position of bins 1 to 4 when positions 1..n are cut at equal quantiles; of a number or a column.
 
     Quantile j of the positions is 1 + (n - 1) * j / 5 and bins are closed on the right. Unlike
     ``ntile``, which evens out group sizes.
     """
+    if isinstance(n, Column):
+        return [F.floor((n - 1) * j / BINS).cast("long") + 1 for j in range(1, BINS)]
     return [1 + (n - 1) * j // BINS for j in range(1, BINS)]
 
 
+def _common_type(base: DataFrame) -> T.DataType:
+    """Holds every metric's values exactly: decimals of the money's own scale, or doubles where money is a double."""
+    money = base.schema["monetary"].dataType
+    return T.DecimalType(38, money.scale) if isinstance(money, T.DecimalType) else T.DoubleType()
+
+
 def rfm_scores(base: DataFrame) -> DataFrame:
     """Adds r_score, f_score and m_score, 1 to 5; equal values are split in customer order.
 
-    A score depends only on whether a customer lies beyond the last row of each bin. Those twelve
-    boundary rows are found by one distributed sort of (metric, value, customer); the scores are
-    then a comparison with constants, with neither a window over all customers nor a join.
+    A score depends only on whether a customer lies beyond the last row of each bin. Those twelve boundary rows of the
+    order by (metric, value, customer) are a scalar subquery; the scores are then a comparison with its fields, with
+    neither a window over all customers nor a join. Values are compared as they are, not rounded.
     """
-    base = settle(base, "customers")
-    n = base.count()
-    if n == 0:
-        return base.withColumns({f"{m}_score": F.lit(None).cast("int") for m in "rfm"})
-
-    metrics = ("recency", "frequency", "monetary")
-    tall = base.select(
-        *CUSTOMER,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("metric"), F.col(m).cast("decimal(38,2)").alias("value"))
-                    for i, m in enumerate(metrics)
-                ]
-            )
-        ).alias("m"),
-    ).select("m.metric", "m.value", *CUSTOMER)
-    order = [F.col(c).asc() for c in ("metric", "value", *CUSTOMER)]
-    ends = [i * n + end for i in range(len(metrics)) for end in quintile_ends(n)]
-    found = {r["position"]: r for r in rows_at(tall, order, ends, len(metrics) * n).collect()}  # at most 12 rows
+    metrics, dtype = ("recency", "frequency", "monetary"), _common_type(base)
+
+    def mark(i: int, metric: str) -> Column:
+        return F.struct(F.lit(i).alias("metric"), F.col(metric).cast(dtype).alias("value"), *[F.col(c) for c in CUSTOMER])
+
+    tall = base.select(F.explode(F.array(*[mark(i, m) for i, m in enumerate(metrics)])).alias("m"))
+    tall = tall.select("m", F.col("m.metric").alias("metric"), *[F.col(f"m.{c}").alias(c) for c in CUSTOMER])
+    customers = base.agg(F.count("*")).scalar()
+    places = [[F.lit(i) * customers + end for end in quintile_ends(customers)] for i in range(len(metrics))]
+    # A single customer is the last of every bin, so places may repeat.
+    ends = rows_at(tall, "m", ["metric", *CUSTOMER], F.array_distinct(F.array(*sum(places, []))))
+    limits = ends.agg(F.map_from_entries(F.collect_list(F.struct("position", "mark")))).scalar()  # 12 rows at most
 
     def bin_of(i: int, metric: str) -> Column:
-        mine = F.struct(F.col(metric).cast("decimal(38,2)"), *[F.col(c) for c in CUSTOMER])
-        beyond = F.lit(1)
-        for end in quintile_ends(n):
-            row = found[i * n + end]
-            limit = F.struct(F.lit(row["value"]).cast("decimal(38,2)"), *[F.lit(row[c]) for c in CUSTOMER])
-            beyond = beyond + (mine > limit).cast("int")
-        return beyond
+        return sum([(mark(i, metric) > F.element_at(limits, place)).cast("int") for place in places[i]], F.lit(1))
 
     bins = [bin_of(i, m) for i, m in enumerate(metrics)]
     return base.withColumns({"r_score": BINS + 1 - bins[0], "f_score": bins[1], "m_score": bins[2]})

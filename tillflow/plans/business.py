@@ -8,7 +8,6 @@ from tillflow.functions import ratio
 from tillflow.operators.ranking import add_rank
 from tillflow.plans.metrics import margin, orders_count, profit_sum, sales_sum
 from tillflow.plans.views import calendar_order
-from tillflow.scratch import settle
 
 _BY_SALES = F.desc_nulls_first
 SLOW_DAYS = 5
@@ -38,7 +37,7 @@ def region_category(orders: DataFrame) -> DataFrame:
 def segment_customer_rank(orders: DataFrame) -> DataFrame:
     """Customers ranked inside their segment. A segment may hold most customers, so it is split."""
     keys = ("segment", "customer_name")
-    customers = settle(orders.groupBy(*keys).agg(sales_sum(), profit_sum()), "segment-customers")
+    customers = orders.groupBy(*keys).agg(sales_sum(), profit_sum())
     ranked = add_rank(customers, "total_sales", "customer_rank", keys=keys, partition_by=("segment",))
     # The name lets the sort split a run of equal totals.
     return ranked.orderBy(F.asc_nulls_last("segment"), _BY_SALES("total_sales"), "customer_name")
@@ -46,9 +45,9 @@ def segment_customer_rank(orders: DataFrame) -> DataFrame:
 
 def product_double_rank(orders: DataFrame) -> DataFrame:
     keys = ("product_name", "category", "sub_category")
-    products = settle(orders.groupBy(*keys).agg(sales_sum(), profit_sum()), "products")
+    products = orders.groupBy(*keys).agg(sales_sum(), profit_sum())
     by_sales = add_rank(products, "total_sales", "sales_rank", keys=keys)
-    both = add_rank(by_sales, "total_profit", "profit_rank", keys=keys, settled=products)
+    both = add_rank(by_sales, "total_profit", "profit_rank", keys=keys)
     return both.orderBy(_BY_SALES("total_sales"), *keys)
 
 

@@ -134,8 +134,9 @@ def weekend(selected: DataFrame) -> DataFrame:
 
 
 def discount_margin_curve(selected: DataFrame) -> DataFrame:
-    """Mean line margin per discount. Sums of decimals are exact; sums of doubles depend on order."""
-    margin = F.col("profit_margin").cast("decimal(6,4)")
+    """Mean line margin per discount. Sums of decimals are exact; sums of doubles depend on order. Sixteen places keep
+    margins of processed files apart, too."""
+    margin = F.col("profit_margin").cast("decimal(20,16)")
     mean = F.sum(margin).cast("double") / F.nullif(F.count(margin), F.lit(0))
     return _grouped(selected, ("discount_percentage",), mean.alias("avg_margin"), _orders()).orderBy(
         "discount_percentage"

@@ -1,101 +1,91 @@
-"""The seven reporting views over the warehouse table."""
+"""The seven reporting views over the warehouse table.
+
+Each is one SQL text over ``{orders}``: a function applies it to a DataFrame, :func:`register_views` to the name of a
+table. A registered view is analysed whenever it is read, so it always shows what the table holds then.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillflow.operators.ranking import add_rank
-from tillflow.plans.metrics import core_metrics, margin, orders_count, profit_sum, sales_sum
-from tillflow.scratch import settle
+from tillflow.operators.ranking import range_count, rank_sql
 
+# Columns of the detail view, and the ship modes that count as priority.
 _DETAIL = (
     "order_id", "order_date", "customer_id", "customer_name", "segment", "region", "category",
     "sub_category", "ship_mode", "sales", "profit", "quantity", "discount", "profit_margin",
     "shipping_days", "weekend_flag", "profitability_flag",
 )
+PRIORITY_MODES = ("First Class", "Same Day")
 CUSTOMER_KEYS = ("customer_id", "customer_name", "segment", "region")
 PRODUCT_KEYS = ("product_id", "product_name", "category", "sub_category")
-PRIORITY_MODES = ("First Class", "Same Day")
+
+# Sums of NULLs and margins without sales stay NULL.
+_CORE = """count(DISTINCT order_id) AS total_orders, sum(sales) AS total_sales, sum(profit) AS total_profit,
+  round(sum(profit) / nullif(sum(sales), 0), 4) AS profit_margin"""
+_BY_MONTH = "ORDER BY order_year NULLS LAST, order_month NULLS LAST"
 
 
 def calendar_order() -> list[Column]:
     return [F.asc_nulls_last("order_year"), F.asc_nulls_last("order_month")]
 
 
-def sales_summary(orders: DataFrame) -> DataFrame:
-    """Detail lines with the grand totals. The totals are scalar subqueries: a window over no
-    partition would move every line to one task."""
-    return orders.select(
-        *_DETAIL,
-        orders.agg(F.sum("sales")).scalar().alias("total_sales_all_rows"),
-        orders.agg(F.sum("profit")).scalar().alias("total_profit_all_rows"),
-    )
-
-
-def monthly_sales(orders: DataFrame) -> DataFrame:
-    """Months with running total and average of up to four months. The windows see one row per month."""
-    monthly = orders.groupBy("order_year", "order_month", "order_month_name").agg(
-        sales_sum(), profit_sum(), orders_count()
-    )
-    months = Window.orderBy(*calendar_order())
-    running = months.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    four = months.rowsBetween(-3, Window.currentRow)
-    return monthly.withColumns(
-        {
-            "running_sales": F.sum("total_sales").over(running),
-            "moving_avg_sales": F.avg("total_sales").over(four),
-        }
-    ).orderBy(*calendar_order())
-
-
-def _ranked(orders: DataFrame, keys: tuple[str, ...], metric: str, rank_name: str) -> DataFrame:
-    groups = settle(orders.groupBy(*keys).agg(*core_metrics()), rank_name)
-    return add_rank(groups, metric, rank_name, keys=keys)
-
-
-def region_performance(orders: DataFrame) -> DataFrame:
-    return _ranked(orders, ("region",), "total_sales", "sales_rank")
-
+def _grouped(keys: tuple[str, ...]) -> str:
+    return f"SELECT {', '.join(keys)}, {_CORE} FROM {{orders}} GROUP BY {', '.join(keys)}"
 
-def category_performance(orders: DataFrame) -> DataFrame:
-    return _ranked(orders, ("category",), "total_profit", "profit_rank")
 
+def _few_ranked(key: str, metric: str, name: str) -> str:
+    """For a key with few values: the window sees one row per value."""
+    return f"SELECT *, CAST(rank() OVER (ORDER BY {metric} DESC NULLS FIRST) AS BIGINT) AS {name} FROM ({_grouped((key,))})"
 
-def customer_summary(orders: DataFrame) -> DataFrame:
-    return _ranked(orders, CUSTOMER_KEYS, "total_sales", "sales_rank")
 
+def view_sql(ranges: int) -> dict[str, str]:
+    """The text of every view over ``{orders}``; customers and products are ranked in so many ranges."""
+    return {
+        # Grand totals are scalar subqueries: a window over no partition would move every line to one task.
+        "vw_sales_summary": f"""SELECT {', '.join(_DETAIL)}, (SELECT sum(sales) FROM {{orders}}) AS total_sales_all_rows,
+  (SELECT sum(profit) FROM {{orders}}) AS total_profit_all_rows FROM {{orders}}""",
+        # The windows see one row per month.
+        "vw_monthly_sales": f"""SELECT *,
+  sum(total_sales) OVER ({_BY_MONTH} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_sales,
+  avg(total_sales) OVER ({_BY_MONTH} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS moving_avg_sales
+FROM (SELECT order_year, order_month, order_month_name, sum(sales) AS total_sales, sum(profit) AS total_profit,
+  count(DISTINCT order_id) AS total_orders FROM {{orders}} GROUP BY order_year, order_month, order_month_name)
+{_BY_MONTH}""",
+        "vw_region_performance": _few_ranked("region", "total_sales", "sales_rank"),
+        "vw_category_performance": _few_ranked("category", "total_profit", "profit_rank"),
+        "vw_customer_summary": rank_sql(_grouped(CUSTOMER_KEYS), "total_sales", "sales_rank", CUSTOMER_KEYS, ranges=ranges),
+        "vw_product_performance": rank_sql(_grouped(PRODUCT_KEYS), "total_profit", "profit_rank", PRODUCT_KEYS, ranges=ranges),
+        "vw_shipping_analysis": f"""SELECT ship_mode, {_CORE}, avg(shipping_days) AS avg_shipping_days,
+  CASE WHEN ship_mode IN {PRIORITY_MODES} THEN 'Priority' ELSE 'Standard' END AS shipping_group
+FROM {{orders}} GROUP BY ship_mode""",
+    }
 
-def product_performance(orders: DataFrame) -> DataFrame:
-    return _ranked(orders, PRODUCT_KEYS, "total_profit", "profit_rank")
 
+def _view(name: str) -> Callable[[DataFrame], DataFrame]:
+    def build(orders: DataFrame) -> DataFrame:
+        spark = orders.sparkSession
+        return spark.sql(view_sql(range_count(spark))[name], orders=orders)
 
-def shipping_analysis(orders: DataFrame) -> DataFrame:
-    group = F.when(F.col("ship_mode").isin(*PRIORITY_MODES), "Priority").otherwise("Standard")
-    return (
-        orders.groupBy("ship_mode")
-        .agg(orders_count(), sales_sum(), profit_sum(), F.avg("shipping_days").alias("avg_shipping_days"), margin())
-        .withColumn("shipping_group", group)
-    )
+    return build
 
 
-VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "vw_sales_summary": sales_summary,
-    "vw_monthly_sales": monthly_sales,
-    "vw_region_performance": region_performance,
-    "vw_category_performance": category_performance,
-    "vw_customer_summary": customer_summary,
-    "vw_product_performance": product_performance,
-    "vw_shipping_analysis": shipping_analysis,
-}
+sales_summary = _view("vw_sales_summary")
+monthly_sales = _view("vw_monthly_sales")
+region_performance = _view("vw_region_performance")
+category_performance = _view("vw_category_performance")
+customer_summary = _view("vw_customer_summary")
+product_performance = _view("vw_product_performance")
+shipping_analysis = _view("vw_shipping_analysis")
 
+VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {name: _view(name) for name in view_sql(2)}
 
-def register_views(orders: DataFrame) -> list[str]:
-    """Make every view available to ``spark.sql``; returns their names.
 
-    The ranked views read groups settled now: register again after a refresh of the table.
-    """
-    for name, view in VIEWS.items():
-        view(orders).createOrReplaceTempView(name)
+def register_views(spark: SparkSession, table: str = "retail_orders") -> list[str]:
+    """Make every view of ``table`` available to ``spark.sql``; returns their names. Nothing is computed before a view is
+    read, and loads of the table show without registering again."""
+    for name, text in view_sql(range_count(spark)).items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS {text.format(orders=table)}")
     return list(VIEWS)
