@@ -10,10 +10,31 @@ from collections.abc import Callable
 
 from checks.catalog import NARROW, NARROW_REPORTS, ORDER_REPORTS, SELECTED_REPORTS
 from checks.workspace import COPY_OFFSET
-from tillflow.operators.rfm import AT_RISK, CHAMPIONS, LOST, LOYAL, NEW
-from tillflow.schema import BASE_TYPES, EXPECTED_COLUMNS, NA_TOKENS, RAW_NUMERIC_COLUMNS, TRIMMED_COLUMNS
 
-BASE = list(BASE_TYPES)
+# Fixed values, stated here again so that a wrong one in the library shows: columns, texts for "no value", labels.
+BASE = (
+    "row_id", "order_id", "order_date", "ship_date", "ship_mode", "customer_id", "customer_name", "segment", "country",
+    "city", "state", "postal_code", "region", "product_id", "category", "sub_category", "product_name", "sales", "quantity",
+    "discount", "profit",
+)
+DERIVED = (
+    "profit_margin", "order_year", "order_month", "order_month_name", "order_quarter", "revenue_per_unit",
+    "discount_percentage", "discount_band", "shipping_days", "weekend_flag", "profitability_flag",
+)
+EXPECTED_COLUMNS = BASE + DERIVED
+NUMBERS = ("postal_code", "sales", "quantity", "discount", "profit")
+TRIMMED = (
+    "ship_mode", "customer_name", "segment", "country", "city", "state", "region", "category", "sub_category", "product_name",
+)
+NO_VALUE = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+CHAMPIONS = "Champions (Highly Active & Loyal)"
+LOYAL = "Loyal Customers (Regular Buyers)"
+AT_RISK = "At Risk (Frequent Buyers, Slipping)"
+LOST = "Hibernating / Lost"
+NEW = "New / Promising Customers"
 
 
 def half_up(part: str, whole: str, digits: int) -> str:
@@ -53,12 +74,12 @@ items AS (
     n_name AS country, CAST(NULL AS VARCHAR) AS city, n_name AS state, CAST(NULL AS BIGINT) AS postal_code,
     r_name AS region, 'P-' || p_partkey AS product_id, p_type AS category, p_brand AS sub_category,
     p_name AS product_name,
-    CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DECIMAL(18,4)) AS sales,
-    CAST(l_quantity AS BIGINT) AS quantity,
+    CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DECIMAL(28,4)) AS sales,
+    CAST(l_quantity AS DECIMAL(18,4)) AS quantity,
     CAST(CAST(l_discount AS DECIMAL(5,2)) * 4 AS DECIMAL(9,4)) AS discount,
     CAST(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - 4 * CAST(l_discount AS DECIMAL(5,2)))
       - CAST(l_quantity AS INTEGER) * CAST(p_retailprice AS DECIMAL(12,2)) * CAST(0.5 AS DECIMAL(2,1))
-      AS DECIMAL(12,2)) AS DECIMAL(18,4)) AS profit
+      AS DECIMAL(12,2)) AS DECIMAL(28,4)) AS profit
   FROM items
   JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey
@@ -92,11 +113,11 @@ originals AS (
   FROM originals WHERE CAST(row_id AS BIGINT) % 50 = 0
 )"""
 
-_TOKENS = ", ".join(f"'{t}'" for t in NA_TOKENS)
+_TOKENS = ", ".join(f"'{t}'" for t in NO_VALUE)
 _NULLED = ", ".join(f"CASE WHEN {c} NOT IN ({_TOKENS}) THEN {c} END AS {c}" for c in BASE)
 _NUMBER = r"'^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$'"
 _SQL_TYPES = {
-    "sales": "DECIMAL(18,4)", "quantity": "BIGINT", "discount": "DECIMAL(9,4)", "profit": "DECIMAL(18,4)",
+    "sales": "DECIMAL(28,4)", "quantity": "DECIMAL(18,4)", "discount": "DECIMAL(9,4)", "profit": "DECIMAL(28,4)",
     "postal_code": "BIGINT", "row_id": "BIGINT",
 }
 
@@ -106,7 +127,7 @@ def _standard(name: str) -> str:
         value = f"CASE WHEN regexp_matches({name}, {_NUMBER}) THEN TRY_CAST({name} AS {_SQL_TYPES[name]}) END"
     elif name in ("order_date", "ship_date"):
         value = f"CAST(try_strptime({name}, '%m/%d/%Y') AS DATE)"
-    elif name in TRIMMED_COLUMNS:
+    elif name in TRIMMED:
         value = f"trim({name})"
     else:
         value = name
@@ -173,7 +194,7 @@ _DATES = {"order_date", "ship_date"}
 
 def _portable(names, source: str) -> str:
     def column(name: str) -> str:
-        if name in _MONEY:
+        if name in _MONEY or (name == "quantity" and not source.startswith("retail")):  # an integer in the warehouse only
             return f"CAST({name} AS DOUBLE) AS {name}"
         return f"CAST({name} AS VARCHAR) AS {name}" if name in _DATES else name
 
@@ -429,7 +450,7 @@ def _view_counts() -> str:
 
 _BROKEN = f"(SELECT row_id % {COPY_OFFSET} AS row_id, CASE WHEN region IS NOT NULL THEN order_id END AS order_id FROM standard)"
 _LOADED = ", ".join(
-    f"CAST({c} AS VARCHAR) AS {c}" if c in _DATES else f"CAST({c} AS DOUBLE) AS {c}" if c in _MONEY else c
+    f"CAST({c} AS VARCHAR) AS {c}" if c in _DATES else f"CAST({c} AS DOUBLE) AS {c}" if c in {*_MONEY, "quantity"} else c
     for c in EXPECTED_COLUMNS
 )
 
@@ -451,12 +472,14 @@ OTHER_SQL = {
     "prepare_for_load": on_enriched_raw(f"SELECT {_LOADED} FROM enriched"),
     "register_views": on_warehouse(_view_counts()),
     "key_checks": on_clean(
-        f"""SELECT 'row_id repeats' AS "check", row_id, count(*) AS rows FROM {_BROKEN} GROUP BY row_id HAVING count(*) > 1
-UNION ALL SELECT 'order_id is null', row_id, 1 FROM {_BROKEN} WHERE order_id IS NULL"""
+        f"""SELECT v.rule AS "check", row_id, v.n AS rows FROM (
+  SELECT row_id, unnest([{{'rule': 'row_id repeats', 'n': CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END}},
+    {{'rule': 'order_id is null', 'n': count(*) FILTER (order_id IS NULL)}}]) AS v
+  FROM {_BROKEN} GROUP BY row_id) WHERE v.n > 0"""
     ),
-    "coerce_numeric": on_clean(_portable(("row_id", *RAW_NUMERIC_COLUMNS), "standard")),
+    "coerce_numeric": on_clean(_portable(("row_id", *NUMBERS), "standard")),
     "coerce_dates": on_clean(_portable(("row_id", "order_date", "ship_date"), "standard")),
-    "trim_text": on_clean(_portable(("row_id", *TRIMMED_COLUMNS), "standard")),
+    "trim_text": on_clean(_portable(("row_id", *TRIMMED), "standard")),
     "dedup_ignoring_row_id": on_clean(_portable(BASE, "cleaned")),
     "duplicate_rows": _report("duplicate_rows"),
     "missing_values": _missing("missing", "missing", "true"),
@@ -482,6 +505,20 @@ UNION ALL SELECT count(*) = 0 FROM retail WHERE region = 'ASIA' AND segment = 'n
 }
 
 
+_FINE = f"""fine AS (
+  SELECT * REPLACE (CAST(10 + CAST(CAST(substr(customer_id, 3) AS BIGINT) * 7919 % 100 AS DECIMAL(18,4)) / 10000 AS DECIMAL(28,4)) AS sales)
+  FROM enriched QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY row_id) = 1
+), selected AS (SELECT * FROM fine WHERE {_ALL_OPTIONS})"""
+ENRICHED_SQL = {
+    "rfm_scores_enriched": _with(LINES, RAW, CLEAN, ENRICHED_RAW, _FINE)(_RFM_SCORES),
+    "discount_margin_curve_enriched": _with(LINES, RAW, CLEAN, ENRICHED_RAW, _selected(_ALL_OPTIONS).replace("FROM retail", "FROM enriched"))(
+        f"""SELECT CAST(discount_percentage AS DOUBLE) AS discount_percentage,
+  CAST(sum({_typed("profit_margin", "DECIMAL(20,16)")}) AS DOUBLE) / nullif(count(profit_margin), 0) AS avg_margin, {O} AS orders
+FROM selected WHERE discount_percentage IS NOT NULL GROUP BY selected.discount_percentage"""
+    ),
+}
+
+
 def statements() -> dict[str, str]:
     all_options, narrow = _selected(_ALL_OPTIONS), _selected(f"{_NARROW_MEMBERS} AND {_NARROW_DATES}")
     on_selected = _with(LINES, WAREHOUSE, all_options)
@@ -489,6 +526,7 @@ def statements() -> dict[str, str]:
     on_refreshed_selected = _with(LINES, RAW, CLEAN, REFRESHED, all_options)
     return {
         **OTHER_SQL,
+        **ENRICHED_SQL,
         **{n: on_warehouse(ORDER_SQL[n]) for n in ORDER_REPORTS},
         **{n: on_selected(SELECTED_SQL[n]) for n in SELECTED_REPORTS},
         **{f"{n}_narrow": on_narrow(SELECTED_SQL[n]) for n in NARROW_REPORTS},

@@ -30,9 +30,9 @@ def conf(spark):
 
 
 ORDER_LINE = dict(zip(RAW_HEADERS, (
-    "1", "CA-2016-152156", "11/8/2016", "11/11/2016", "Second Class", "CG-12520", "Claire Gute", "Consumer",
-    "United States", "Henderson", "Kentucky", "42420", "South", "FUR-BO-10001798", "Furniture", "Bookcases",
-    "Bush Somerset Collection Bookcase", "261.96", "2", "0", "41.9136",
+    "1", "QX-2017-000417", "3/14/2017", "3/17/2017", "Standard Class", "OQ-00031", "Ora Quill", "Corporate",
+    "Norland", "Eastmere", "Highshire", "90417", "North", "TOY-KI-00000077", "Toys", "Kites",
+    "Twin-Line Kite, Blue", "184.50", "3", "0.05", "28.6042",
 )))
 
 

@@ -9,9 +9,10 @@ from checks.workspace import Workspace
 from tests.conftest import MEDIUM, ORDER_LINE, SMALL
 from tillflow.functions import normalize_header, null_if_token, parse_number, strip
 from tillflow.operators import cleaning
+from tillflow.operators.features import engineer_features
 from tillflow.plans.refresh import refresh
 from tillflow.schema import NA_TOKENS
-from tillflow.sources.csv_files import read_raw
+from tillflow.sources.csv_files import malformed_lines, read_raw
 
 
 def write_rows(path, rows, encoding="latin-1"):
@@ -26,9 +27,9 @@ def test_two_copies_become_one_clean_row(spark, tmp_path):
     path = write_rows(tmp_path / "raw.csv", [{"Row ID": "1"}, {"Row ID": "2"}])
     cleaned, report = cleaning.clean_with_report(read_raw(spark, path))
     (row,) = cleaned.collect()
-    assert row.row_id == 1 and row.shipping_days == 3 and row.order_month_name == "November"
+    assert row.row_id == 1 and row.shipping_days == 3 and row.order_month_name == "March"
     assert row.weekend_flag is False and 0 <= row.profit_margin <= 1
-    assert isinstance(cleaned.schema["sales"].dataType, T.DecimalType) and row.profit == Decimal("41.9136")
+    assert isinstance(cleaned.schema["sales"].dataType, T.DecimalType) and row.profit == Decimal("28.6042")
     report = report.first()
     assert (report.source_rows, report.rows_after_cleaning, report.duplicate_rows) == (2, 1, 1)
     assert report.missing_percent == {} and set(report.missing_values.values()) == {0}
@@ -64,6 +65,49 @@ def test_line_break_inside_quotes(spark, tmp_path):
     assert cleaning.clean(read_raw(spark, path, multi_line=True)).first().product_name == "two\nlines"
 
 
+def test_line_break_inside_quotes_through_refresh(spark, tmp_path):
+    path = write_rows(tmp_path / "raw.csv", [{"Product Name": "two\nlines"}, {"Row ID": "2"}])
+    rows, report = refresh(spark, path, str(tmp_path / "out"), multi_line=True)
+    assert {r.product_name for r in rows.collect()} == {"two\nlines", ORDER_LINE["Product Name"]}
+    assert report.first().source_rows == 2
+    # Without the option the two halves are lines with too few fields.
+    with pytest.raises(Exception, match="(?i)malformed"):
+        cleaning.clean(read_raw(spark, path)).collect()
+    assert malformed_lines(spark, path).count() == 2
+
+
+def test_lines_with_other_numbers_of_fields_are_not_cut(spark, tmp_path):
+    path = write_rows(tmp_path / "raw.csv", [{}, {"Row ID": "2"}])
+    with open(path, "a", encoding="latin-1") as file:
+        file.write(",".join(["3", *["x"] * 20, "EXTRA"]) + "\r\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        cleaning.clean(read_raw(spark, path)).select("row_id").collect()
+    (line,) = malformed_lines(spark, path).collect()
+    assert line.line.endswith("EXTRA") and line.file.endswith("raw.csv")
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    write_rows(folder / "a.csv", [{}])
+    swapped = list(ORDER_LINE)
+    i, j = swapped.index("Sales"), swapped.index("Quantity")
+    swapped[i], swapped[j] = swapped[j], swapped[i]
+    with open(folder / "b.csv", "w", newline="", encoding="latin-1") as file:
+        writer = csv.DictWriter(file, swapped)
+        writer.writeheader()
+        writer.writerow(ORDER_LINE)
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        cleaning.clean(read_raw(spark, str(folder))).collect()
+
+
+def test_fractions_and_long_numbers_are_kept(raw):
+    (row,) = cleaning.clean(raw({"Sales": "123456789012345678", "Quantity": "1.5"})).collect()
+    assert row.sales == 123456789012345678 and row.quantity == Decimal("1.5")
+    enriched = engineer_features(cleaning.clean(raw({"Sales": "10", "Quantity": "1.5"})))
+    assert round(enriched.first().revenue_per_unit, 2) == 6.67
+
+
 def test_missing_file_raises(spark, tmp_path):
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         read_raw(spark, str(tmp_path / "absent.csv"))
@@ -166,4 +210,4 @@ def test_refresh_lazy_and_written_agree(spark, tmp_path):
     written, written_report = refresh(spark, path, str(tmp_path / "deep" / "out"))
     assert sorted(lazy.collect()) == sorted(written.collect())
     assert lazy_report.first() == written_report.first()
-    assert (tmp_path / "deep" / "out" / "order_year=2016").is_dir()
+    assert (tmp_path / "deep" / "out" / "order_year=2017").is_dir()

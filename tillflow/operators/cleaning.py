@@ -5,7 +5,9 @@ Invalid rows are counted in the report and kept in the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tillflow.functions import nearest, normalize_header, null_if_token, parse_date, parse_number, strip
 from tillflow.operators.features import CLEANING_FEATURES, add_features
@@ -78,36 +80,36 @@ def clean_with_report(raw: DataFrame, date_format: str = "M/d/yyyy") -> tuple[Da
     return add_features(folded.drop(COPIES), CLEANING_FEATURES), quality_report(folded)
 
 
-def quality_report(folded: DataFrame) -> DataFrame:
-    """One row of row counts, missing values and invalid values, from :func:`fold_copies` output.
+_RULES = {
+    "invalid_sales": (("sales",), lambda: F.col("sales").isNull() | (F.col("sales") < 0)),
+    "invalid_quantity": (("quantity",), lambda: F.col("quantity").isNull() | (F.col("quantity") < 1)),
+    "invalid_discount": (
+        ("discount",), lambda: F.col("discount").isNull() | (F.col("discount") < 0) | (F.col("discount") > 1)
+    ),
+    "invalid_dates": (DATE_COLUMNS, lambda: F.col("order_date").isNull() | F.col("ship_date").isNull()),
+}
+_MISSING = "missing_"
 
-    A single global aggregate: the number of jobs does not grow with the number of columns.
-    """
-    columns = [c for c in folded.columns if c != COPIES]
+
+def report_counts(columns: Sequence[str]) -> list[Column]:
+    """The report's figures as plain aggregates over :func:`fold_copies` output with the given content columns."""
     present = set(columns)
-    rules = {
-        "invalid_sales": ({"sales"}, lambda: F.col("sales").isNull() | (F.col("sales") < 0)),
-        "invalid_quantity": ({"quantity"}, lambda: F.col("quantity").isNull() | (F.col("quantity") < 1)),
-        "invalid_discount": (
-            {"discount"},
-            lambda: F.col("discount").isNull() | (F.col("discount") < 0) | (F.col("discount") > 1),
-        ),
-        "invalid_dates": (set(DATE_COLUMNS), lambda: F.col("order_date").isNull() | F.col("ship_date").isNull()),
-    }
-    counts = folded.agg(
+    return [
         F.coalesce(F.sum(COPIES), F.lit(0)).alias("source_rows"),
         F.count("*").alias("rows_after_cleaning"),
-        F.map_from_arrays(
-            F.array(*[F.lit(c) for c in columns]),
-            F.array(*[F.count_if(F.col(c).isNull()) for c in columns]),
-        ).alias("missing_values"),
+        *[F.count_if(F.col(c).isNull()).alias(f"{_MISSING}{c}") for c in columns],
         *[
-            (F.count_if(rule()) if needs <= present else F.lit(0).cast("long")).alias(name)
-            for name, (needs, rule) in rules.items()
+            (F.count_if(rule()) if present.issuperset(needs) else F.sum(F.lit(0)).cast("long")).alias(name)
+            for name, (needs, rule) in _RULES.items()
         ],
-    )
+    ]
+
+
+def report_from_counts(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row of row counts, missing values and invalid values from one row of :func:`report_counts`."""
+    missing = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"{_MISSING}{c}") for c in columns]))
     rows = F.greatest(F.col("rows_after_cleaning"), F.lit(1))
-    return counts.select(
+    return counts.withColumn("missing_values", missing).select(
         "source_rows",
         "rows_after_cleaning",
         (F.col("source_rows") - F.col("rows_after_cleaning")).alias("duplicate_rows"),
@@ -116,10 +118,19 @@ def quality_report(folded: DataFrame) -> DataFrame:
             F.map_filter("missing_values", lambda _, n: n > 0),
             lambda _, n: nearest(n / rows * 100, 2),
         ).alias("missing_percent"),
-        *rules,
+        *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in _RULES],
     )
 
 
+def quality_report(folded: DataFrame) -> DataFrame:
+    """The report on :func:`fold_copies` output, lazily.
+
+    A single global aggregate: the number of jobs does not grow with the number of columns.
+    """
+    columns = [c for c in folded.columns if c != COPIES]
+    return report_from_counts(folded.agg(*report_counts(columns)), columns)
+
+
 def missing_by_column(report: DataFrame) -> DataFrame:
     """The report's two maps as rows; the percentage is NULL where nothing is missing."""
     return report.select(

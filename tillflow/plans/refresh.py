@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
-from tillflow.operators.cleaning import COPIES, fold_copies, quality_report, standardize
+from tillflow.operators.cleaning import COPIES, fold_copies, quality_report, report_counts, report_from_counts, standardize
 from tillflow.operators.features import engineer_features
-from tillflow.scratch import settle
 from tillflow.sources.csv_files import read_processed, read_raw, write_processed
-from tillflow.sources.warehouse import load_warehouse, scan_warehouse
+from tillflow.sources.warehouse import TABLE, load_warehouse, scan_jdbc, scan_warehouse
+
+
+def _folded(spark: SparkSession, raw_path: str, date_format: str, multi_line: bool) -> DataFrame:
+    return fold_copies(standardize(read_raw(spark, raw_path, multi_line), date_format))
+
+
+def _with_report(folded: DataFrame, write: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], None]) -> DataFrame:
+    """Write the enriched rows and return the quality report, both in one pass.
+
+    The figures are observed on the rows as they are written, in the job's last stage, where Spark counts each task
+    once also if it has to be repeated.
+    """
+    spark, columns = folded.sparkSession, [c for c in folded.columns if c != COPIES]
+    observation, counts = Observation(), report_counts(columns)
+
+    def observed(rows: DataFrame) -> DataFrame:
+        return rows.observe(observation, *counts).drop(COPIES)
+
+    write(engineer_features(folded), observed)
+    seen = observation.get
+    types = folded.agg(*counts).schema
+    row = spark.createDataFrame([tuple(seen.get(f.name) for f in types)], types)
+    return report_from_counts(row, columns)
 
 
 def refresh(
@@ -20,26 +42,41 @@ def refresh(
     output: str | None = None,
     file_format: str = "parquet",
     date_format: str = "M/d/yyyy",
+    multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Read, clean and enrich a raw file; returns the enriched rows and the quality report.
 
-    With ``output`` the enriched rows are written there. The de-duplicated rows are settled first
-    then, as the file and the report both come from them; otherwise both results stay lazy.
+    With ``output`` the enriched rows are written there in one pass over the raw file that also counts for the report,
+    and are read from there. Otherwise both results stay lazy.
     """
-    folded = fold_copies(standardize(read_raw(spark, raw_path), date_format))
-    if output is not None:
-        folded = settle(folded, "cleaned")
-    enriched = engineer_features(folded.drop(COPIES))
-    if output is not None:
-        write_processed(enriched, output, file_format)
-    return enriched, quality_report(folded)
+    folded = _folded(spark, raw_path, date_format, multi_line)
+    if output is None:
+        return engineer_features(folded.drop(COPIES)), quality_report(folded)
+    report = _with_report(folded, lambda rows, observed: write_processed(rows, output, file_format, observed))
+    return read_processed(spark, output, file_format), report
 
 
-def refresh_warehouse(spark: SparkSession, raw_path: str, table: str = "retail_orders") -> DataFrame:
-    """Replace the warehouse table by a raw file's content; returns the quality report."""
-    folded = settle(fold_copies(standardize(read_raw(spark, raw_path))), "cleaned")
-    load_warehouse(engineer_features(folded.drop(COPIES)), table)
-    return quality_report(folded)
+def refresh_warehouse(
+    spark: SparkSession,
+    raw_path: str,
+    table: str = TABLE,
+    path: str | None = None,
+    output: str | None = None,
+    file_format: str = "parquet",
+    date_format: str = "M/d/yyyy",
+    multi_line: bool = False,
+) -> DataFrame:
+    """Replace the warehouse table by a raw file's content; returns the quality report.
+
+    With ``output`` the processed files are made on the way, and the table is loaded from them. Either way the raw file
+    is read once. ``path`` is the folder that holds the table's files.
+    """
+    if output is not None:
+        rows, report = refresh(spark, raw_path, output, file_format, date_format, multi_line)
+        load_warehouse(rows, table, path)
+        return report
+    folded = _folded(spark, raw_path, date_format, multi_line)
+    return _with_report(folded, lambda rows, observed: load_warehouse(rows, table, path, before_write=observed))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -58,18 +95,23 @@ def load_orders(
     processed: str | None = None,
     raw: Sequence[str] = (),
     file_format: str = "parquet",
+    date_format: str = "M/d/yyyy",
+    multi_line: bool = False,
+    database: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Orders from the first source there is: warehouse table, processed files, raw file.
+    """Orders from the first source there is: database, warehouse table, processed files, raw file.
 
-    From a raw file the processed files are made first, if their path is given. Only a source that
+    ``database`` holds the options of :func:`~tillflow.sources.warehouse.jdbc_read_options`; a database that is named has to
+    answer. From a raw file the processed files are made first, if their path is given. Only a source that
     does not exist is passed over; any other failure is raised.
     """
+    if database is not None:
+        return scan_jdbc(spark, database)
     if table is not None and spark.catalog.tableExists(table):
         return scan_warehouse(spark, table)
     if processed is not None and _exists(spark, processed):
         return read_processed(spark, processed, file_format)
     for path in raw:
         if _exists(spark, path):
-            enriched, _ = refresh(spark, path, processed, file_format)
-            return enriched if processed is None else read_processed(spark, processed, file_format)
+            return refresh(spark, path, processed, file_format, date_format, multi_line)[0]
     raise FileNotFoundError(f"No order source found: table={table}, processed={processed}, raw={list(raw)}")

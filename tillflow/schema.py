@@ -21,7 +21,8 @@ NA_TOKENS = (
 _DATE, _TEXT, _INT, _LONG = T.DateType(), T.StringType(), T.IntegerType(), T.LongType()
 _FLAG, _RATIO = T.BooleanType(), T.DoubleType()
 
-# name -> type after cleaning: money keeps the four decimals of the raw file.
+# Name -> type after cleaning. Money keeps the four decimals of the raw file, quantities their fractions; the
+# types are wide, so that no plausible number is lost.
 BASE_TYPES: dict[str, T.DataType] = {
     "row_id": _LONG,
     "order_id": _TEXT,
@@ -40,12 +41,13 @@ BASE_TYPES: dict[str, T.DataType] = {
     "category": _TEXT,
     "sub_category": _TEXT,
     "product_name": _TEXT,
-    "sales": T.DecimalType(18, 4),
-    "quantity": _LONG,
+    "sales": T.DecimalType(28, 4),
+    "quantity": T.DecimalType(18, 4),
     "discount": T.DecimalType(9, 4),
-    "profit": T.DecimalType(18, 4),
+    "profit": T.DecimalType(28, 4),
 }
 
+# The derived columns and their types.
 CLEAN_TYPES: dict[str, T.DataType] = {
     **BASE_TYPES,
     "profit_margin": _RATIO,
@@ -63,7 +65,7 @@ CLEAN_TYPES: dict[str, T.DataType] = {
 
 EXPECTED_COLUMNS = tuple(CLEAN_TYPES)
 
-# Typed warehouse table. row_id is 64-bit: a 100 TB table has more than 2^31 order lines.
+# Types of the warehouse table. row_id is 64-bit: a 100 TB table has more than 2^31 order lines.
 WAREHOUSE_TYPES: dict[str, T.DataType] = {
     **CLEAN_TYPES,
     "postal_code": _INT,
@@ -80,18 +82,17 @@ WAREHOUSE_SCHEMA = T.StructType(
     [T.StructField(name, dtype, True) for name, dtype in WAREHOUSE_TYPES.items()]
 )
 
-DATE_COLUMNS = ("order_date", "ship_date")
-FLAG_COLUMNS = ("weekend_flag", "profitability_flag")
-# Coerced to numbers while cleaning; every other raw column stays text or becomes a date.
-RAW_NUMERIC_COLUMNS = ("sales", "quantity", "discount", "profit", "postal_code")
+
+
+def _names(types: dict[str, T.DataType], *kinds: type[T.DataType]) -> tuple[str, ...]:
+    return tuple(name for name, dtype in types.items() if isinstance(dtype, kinds))
+
+
+DATE_COLUMNS = _names(CLEAN_TYPES, T.DateType)
+FLAG_COLUMNS = _names(CLEAN_TYPES, T.BooleanType)
+# Coerced to numbers while cleaning, the row id apart; every other raw column stays text or becomes a date.
+RAW_NUMERIC_COLUMNS = tuple(c for c in _names(BASE_TYPES, T.NumericType) if c != "row_id")
 # Descriptive text is trimmed; identifiers are left as they are.
-TRIMMED_COLUMNS = (
-    "customer_name", "segment", "country", "city", "state", "region", "category",
-    "sub_category", "product_name", "ship_mode",
-)
+TRIMMED_COLUMNS = tuple(c for c in _names(BASE_TYPES, T.StringType) if not c.endswith("_id"))
 # Coerced to numbers before a load.
-LOAD_NUMERIC_COLUMNS = (
-    "row_id", "postal_code", "sales", "quantity", "discount", "profit", "profit_margin",
-    "order_year", "order_month", "order_quarter", "revenue_per_unit",
-    "discount_percentage", "shipping_days",
-)
+LOAD_NUMERIC_COLUMNS = _names(CLEAN_TYPES, T.NumericType)

@@ -33,8 +33,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, wherever Spark can write one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession) -> None:
-    """Delete what this application has settled. Results that read from it must be done."""
-    context = spark.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(new_path(spark, "x")).getParent()
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    """Delete what this application has settled. Results that read from it must be done; tables lie elsewhere."""
+    delete(spark, new_path(spark, "x").rsplit("/", 1)[0])

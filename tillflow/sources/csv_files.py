@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tillflow.functions import null_if_token, parse_number
@@ -10,21 +12,38 @@ from tillflow.schema import CLEAN_TYPES
 RAW_ENCODING = "ISO-8859-1"
 
 
-def read_raw(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
-    """Every column as text, named by the header row. A missing path raises.
-
-    Only the header is looked at before the job runs. ``multi_line`` accepts line breaks inside
-    quotes, at the price of one task per file.
-    """
+def _raw_options(spark: SparkSession, multi_line: bool):
     return (
         spark.read.option("header", True)
         .option("encoding", RAW_ENCODING)
         .option("escape", '"')  # a doubled quote inside quotes, not a backslash
         .option("multiLine", multi_line)
-        .csv(path)
+        .option("enforceSchema", False)  # every file's header is compared with the first one's
+        .option("columnPruning", False)  # whole lines are parsed, so that a wrong number of fields shows
     )
 
 
+def read_raw(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """Every column as text, named by the header row. A missing path raises.
+
+    Only the header is looked at before the job runs. The job fails on a file whose header differs in names or order, and
+    on a line with more or fewer fields than the header, so no value can end up in another column or be cut off; see
+    :func:`malformed_lines`. ``multi_line`` accepts line breaks inside quotes, at the price of one task per file;
+    without it they make such lines.
+    """
+    return _raw_options(spark, multi_line).option("mode", "FAILFAST").csv(path)
+
+
+def malformed_lines(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """(file, line) of the lines that :func:`read_raw` fails on for their number of fields."""
+    header = _raw_options(spark, multi_line).csv(path).schema
+    kept = T.StructType([*header.fields, T.StructField("_line", T.StringType())])
+    lines = _raw_options(spark, multi_line).schema(kept).option("columnNameOfCorruptRecord", "_line").option("enforceSchema", True).csv(path)
+    # Spark refuses to read that column alone; no character of the first one keeps it company.
+    line = F.concat_ws("", F.col("_line"), F.substring(lines[0], 1, 0))
+    return lines.select(F.input_file_name().alias("file"), line.alias("line")).where(F.col("line") != "")
+
+
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """Overwrite ``path`` with CSV files that have a header; text keeps its edge spaces."""
     (
@@ -38,15 +57,20 @@ def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     )
 
 
-def write_processed(df: DataFrame, path: str, file_format: str = "parquet") -> None:
+def write_processed(
+    df: DataFrame, path: str, file_format: str = "parquet", before_write: Callable[[DataFrame], DataFrame] | None = None
+) -> None:
     """Overwrite ``path`` with the enriched table, as one folder per year of parquet, or as CSV.
 
-    ``rebalance`` lets Spark size the files and split a year that holds most of the rows.
+    ``rebalance`` lets Spark size the files and split a year that holds most of the rows. ``before_write`` is applied
+    after it, to the rows as they are written.
     """
+    rows = df if file_format == "csv" else df.hint("rebalance", "order_year")
+    rows = before_write(rows) if before_write else rows
     if file_format == "csv":
-        write_csv(df, path)
+        write_csv(rows, path)
         return
-    df.hint("rebalance", "order_year").write.mode("overwrite").partitionBy("order_year").parquet(path)
+    rows.write.mode("overwrite").partitionBy("order_year").parquet(path)
 
 
 def _typed(name: str) -> Column:

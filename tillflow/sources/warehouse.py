@@ -2,43 +2,95 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillflow.operators.loading import key_violations, to_warehouse
-from tillflow.schema import EXPECTED_COLUMNS
-from tillflow.scratch import new_path
+from tillflow.operators.loading import key_violations, prepare_for_load, summarize_violations, to_warehouse
+from tillflow.schema import EXPECTED_COLUMNS, WAREHOUSE_TYPES
+from tillflow.scratch import delete
 
 TABLE = "retail_orders"
+_FOLDER_PROPERTY = "tillflow.folder"
+
+
+def _current_folder(spark: SparkSession, table: str) -> str | None:
+    """Folder that the table reads from, if it is one of ours."""
+    if not spark.catalog.tableExists(table):
+        return None
+    found = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == _FOLDER_PROPERTY).collect()
+    return found[0]["value"] if found else None
 
 
-def load_warehouse(enriched: DataFrame, table: str = TABLE, path: str | None = None, check_keys: bool = True) -> None:
+def load_warehouse(
+    enriched: DataFrame, table: str = TABLE, path: str | None = None, check_keys: bool = True,
+    before_write: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """Replace ``table`` by ``enriched``.
 
-    Everything that can fail, keys included, happens on a staging table; the old table is dropped
-    only after that, so a failed load leaves it untouched. Files lie in one folder per year, and
-    within a task by region and category, so that filters skip folders and row groups.
-    ``rebalance`` sizes the files and splits a year that holds most of the rows. ``path`` must be
-    new for each load; by default it is a new folder in the cluster's shared folder.
+    A table is a view of one folder below ``path``, by default beside the session's warehouse tables. A load fills a new
+    folder, checks the keys there, and then points the view to it in one statement: readers see the old or the new
+    table, two loads do not collide, and a load that fails leaves nothing behind. The old folder goes last. Files lie in
+    one folder per year, in date order within a task, so that a date range skips folders, row groups and pages.
+    ``rebalance`` sizes the files and splits a year that holds most of the rows. ``before_write`` is applied after it, to
+    the rows as they are written.
     """
     spark = enriched.sparkSession
-    staging = f"{table}_staging"
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
-    (
-        to_warehouse(enriched)
-        .hint("rebalance", "order_year")
-        .sortWithinPartitions("order_year", "region", "category")
-        .write.partitionBy("order_year")
-        .format("parquet")
-        .option("path", path or new_path(spark, table))
-        .saveAsTable(staging)
-    )
-    if check_keys:
-        bad = key_violations(spark.table(staging)).limit(5).collect()
-        if bad:
-            spark.sql(f"DROP TABLE {staging}")
-            raise ValueError(f"Load rejected, table keys are violated: {[tuple(r) for r in bad]}")
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    base = path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{table}.versions"
+    folder, old = f"{base.rstrip('/')}/{uuid.uuid4().hex}", _current_folder(spark, table)
+    try:
+        rows = enriched.hint("rebalance", "order_year")
+        rows = to_warehouse(before_write(rows) if before_write else rows)
+        (
+            rows.sortWithinPartitions("order_year", "order_date", "region", "category")
+            .write.partitionBy("order_year")
+            .parquet(folder)
+        )
+        fresh = spark.read.schema(rows.schema).parquet(folder)
+        if check_keys and (broken := summarize_violations(key_violations(fresh))):
+            raise ValueError(f"Load rejected, table keys are violated. {'; '.join(broken)}")
+        # The type of a folder's value is inferred from its name.
+        columns = [f"CAST({c} AS {t.simpleString()}) AS {c}" if c == "order_year" else c for c, t in WAREHOUSE_TYPES.items()]
+        spark.sql(
+            f"CREATE OR REPLACE VIEW {table} TBLPROPERTIES ('{_FOLDER_PROPERTY}' = '{folder}') "
+            f"AS SELECT {', '.join(columns)} FROM parquet.`{folder}`"
+        )
+    except BaseException:
+        delete(spark, folder)
+        raise
+    if old:
+        delete(spark, old)
+
+
+def append_warehouse(enriched: DataFrame, table: str = TABLE, check_keys: bool = True) -> None:
+    """Add rows to the table; its keys must hold for old and new rows together."""
+    spark, folder = enriched.sparkSession, _current_folder(enriched.sparkSession, table)
+    if folder is None:
+        raise ValueError(f"There is no table {table} to add to.")
+    rows = to_warehouse(enriched)
+    keys = ("row_id", "order_id")
+    if check_keys and (broken := summarize_violations(key_violations(spark.table(table).select(*keys).unionAll(rows.select(*keys))))):
+        raise ValueError(f"Rows rejected, table keys are violated. {'; '.join(broken)}")
+    laid = rows.hint("rebalance", "order_year").sortWithinPartitions("order_year", "order_date", "region", "category")
+    laid.write.mode("append").partitionBy("order_year").parquet(folder)
+    spark.sql(f"REFRESH TABLE {table}")
+
+
+def load_processed(spark: SparkSession, path: str, table: str = TABLE) -> None:
+    """Replace ``table`` by a processed CSV file of any tool's making: all text, brought into load format first."""
+    text = spark.read.option("header", True).option("escape", '"').csv(path)
+    prepared = prepare_for_load(text)
+    dates = {c: F.col(c).cast("date") for c in ("order_date", "ship_date")}
+    load_warehouse(prepared.withColumns(dates), table)
+
+
+def drop_warehouse(spark: SparkSession, table: str = TABLE) -> None:
+    """Remove the table and its files."""
+    folder = _current_folder(spark, table)
+    spark.sql(f"DROP VIEW IF EXISTS {table}")
+    if folder:
+        delete(spark, folder)
 
 
 def scan_warehouse(spark: SparkSession, table: str = TABLE) -> DataFrame:
@@ -59,11 +111,20 @@ def jdbc_write_options(url: str, table: str = TABLE, batch_size: int = 1000) ->
     return {"url": url, "dbtable": table, "truncate": "true", "batchsize": str(batch_size)}
 
 
-def write_jdbc(enriched: DataFrame, url: str, table: str = TABLE, properties: dict[str, str] | None = None) -> None:
-    """Full refresh of a database table. Each task commits for itself: load a staging table and
-    rename it in the database where readers must not see a partial load."""
-    options = jdbc_write_options(url, table) | (properties or {})
+def jdbc_swap_statements(table: str = TABLE) -> list[str]:
+    """What to run in the database, in one transaction, once the staging table is full."""
+    staging = f"{table}_staging"
+    return [f"DELETE FROM {table}", f"INSERT INTO {table} SELECT * FROM {staging}", f"DELETE FROM {staging}"]
+
+
+def write_jdbc(enriched: DataFrame, url: str, table: str = TABLE, properties: dict[str, str] | None = None) -> list[str]:
+    """Fill the staging table of a database table; returns the statements that replace the table by it.
+
+    Spark's tasks commit each for itself, so they never write the table that readers see.
+    """
+    options = jdbc_write_options(url, f"{table}_staging") | (properties or {})
     to_warehouse(enriched).write.format("jdbc").options(**options).mode("overwrite").save()
+    return jdbc_swap_statements(table)
 
 
 def jdbc_read_options(url: str, low: int, high: int, partitions: int, table: str = TABLE) -> dict[str, str]:
