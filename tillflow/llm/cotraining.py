@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tillflow.llm.linear import (
     TEXT_DIM, bounded_labels, calibrate, fit_dense, fit_text, hashed_ngrams, sigmoid, sparse_row, take_texts, text_margin,
 )
-from tillflow.llm.shared import add_python_columns, packed, share_of, unpacked
+from tillflow.llm.shared import add_python_columns, packed, share_of, tidy_worker, unpacked
 
 LABELLED_ROWS = 8192  # bound of the labelled sample; a fifth of it only calibrates
 UNLABELLED_ROWS = 4096  # bound of the sample that the views label for each other
@@ -136,7 +136,6 @@ def train(docs: DataFrame, labels: DataFrame, good: Column, id_column: str = "do
     chosen = bounded_labels(labels, id_column, good, labelled_rows, 1001).cache()
     spark = docs.sparkSession
     n_docs = docs.count()
-    # Twice the wanted share, as about half of the documents are labelled, and the bound holds for any share.
     others = (
         named.select(F.col("doc").alias("id")).where(F.col("id").isNotNull() & (share_of(F.col("id"), 1004) < unlabelled_rows / max(1, n_docs)))
         .distinct().join(labels.select(F.col(f"`{id_column}`").alias("id")).distinct(), "id", "left_anti")
@@ -154,6 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, good: Column, id_column: str = "do
     share = counts[1] / (counts[0] + counts[1])
 
     def fit_shard(table: pa.Table) -> pa.Table:
+        with tidy_worker():
+            return fitted_shard(table)
+
+    def fitted_shard(table: pa.Table) -> pa.Table:
         table = table.take(pa.array(np.argsort(np.array([str(i) for i in table["id"].to_pylist()]), kind="stable")))
         texts = table["text"].to_pylist()
         described = zip(texts, table["lang"].to_pylist(), table["source"].to_pylist(), table["n_chars"].to_pylist(), strict=True)

@@ -134,7 +134,7 @@ def tokenize_and_cut(docs: DataFrame, tokenizer_path: str, text: str = "text", c
 
         return cut
 
-    return add_python_columns(docs, [text], _FIELDS, start)
+    return add_python_columns(docs, [text], _FIELDS, start, name)
 
 
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tillflow.llm.linear import TEXT_DIM, bounded_labels, calibrate, fit_text, hashed_ngrams, sigmoid, sparse_row, take_texts, text_margin
-from tillflow.llm.shared import add_python_columns, packed, share_of, unpacked
+from tillflow.llm.shared import add_python_columns, packed, share_of, tidy_worker, unpacked
 
 TRAIN_ROWS = 8192  # bound of the labelled sample; a fifth of it only calibrates
 SHARDS = 4
@@ -53,6 +53,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
         return TextModel(np.zeros(TEXT_DIM, np.float32), 0.0, 0.0, 35.0 if share else -35.0)
 
     def fit_shard(table: pa.Table) -> pa.Table:
+        with tidy_worker():
+            return fitted_shard(table)
+
+    def fitted_shard(table: pa.Table) -> pa.Table:
         order = np.argsort(np.array([str(i) for i in table["id"].to_pylist()]), kind="stable")
         texts, marks = table["text"].to_pylist(), table["label"].to_pylist()
         weights, bias = fit_text([sparse_row(hashed_ngrams(texts[i])) for i in order], np.array([marks[i] for i in order]))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager, suppress
 from types import ModuleType
 
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tillflow.scratch import settle
 
-__all__ = ["add_python_columns", "packed", "read_table", "settle", "share_of", "text_bytes", "unpacked", "worker_cache"]
+__all__ = ["add_python_columns", "packed", "read_table", "settle", "share_of", "text_bytes", "tidy_worker", "unpacked", "worker_cache"]
 
 ROW = "_row"
 ROWS_AT_ONCE = 1024  # rows of an Arrow batch that Python works on at a time; bounds its memory
@@ -45,11 +48,12 @@ def add_python_columns(
     inputs: Sequence[str],
     fields: Sequence[T.StructField],
     start: Callable[[], Callable[..., Sequence[pa.Array | list]]],
+    cache: str | None = None,
 ) -> DataFrame:
     """Row-wise columns made in Python, one Arrow batch at a time; rows and their other columns pass through.
 
     ``start`` runs once per task and returns a function of the input columns of a batch that gives one list or Arrow
-    array per field. Fields replace columns of the same name.
+    array per field. Fields replace columns of the same name. ``cache`` names the :func:`worker_cache` in use.
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in new]
@@ -60,13 +64,14 @@ def add_python_columns(
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = start()
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                made = work(*[batch.column(i) for i in reads])
-                arrays = [m if isinstance(m, pa.Array) else pa.array(m, t) for m, t in zip(made, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in positions] + arrays, names=names)
+        with tidy_worker(cache):
+            work = start()
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                    batch = whole.slice(at, ROWS_AT_ONCE)
+                    made = work(*[batch.column(i) for i in reads])
+                    arrays = [m if isinstance(m, pa.Array) else pa.array(m, t) for m, t in zip(made, types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(i) for i in positions] + arrays, names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -88,12 +93,30 @@ def share_of(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def worker_cache(name: str, make: Callable[[], dict]) -> dict:
-    """A dictionary that lives as long as Spark reuses this Python worker, for values that depend on their key only.
+def _caches() -> dict:
+    return sys.modules.setdefault("_tillflow_worker", ModuleType("_tillflow_worker")).__dict__.setdefault("caches", {})
 
-    Tasks of the same worker then need not work out again what an earlier one has. The user bounds its size.
+
+def worker_cache(name: str, make: Callable[[], object]):
+    """An object that lives until this Python worker gets other work, for values that depend on their key only.
+
+    Tasks of the same operator in the same worker then need not work out again what an earlier one has. The user bounds
+    its size.
     """
-    home = sys.modules.setdefault("_tillflow_worker", ModuleType("_tillflow_worker"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if name not in _caches():
+        _caches()[name] = make()
+    return _caches()[name]
+
+
+@contextmanager
+def tidy_worker(cache: str | None = None):
+    """Around the work of a task: Spark keeps Python workers, and what one operator has cached or freed should not count
+    as memory of the next."""
+    for name in [n for n in _caches() if n != cache]:
+        del _caches()[name]
+    try:
+        yield
+    finally:
+        gc.collect()
+        with suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)

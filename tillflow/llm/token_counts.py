@@ -132,7 +132,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Da
 
         return count
 
-    return add_python_columns(docs, [text], _FIELDS, start)
+    return add_python_columns(docs, [text], _FIELDS, start, name)
 
 
 def token_report(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text: str = "text", limit: int = LIMIT_TOKENS) -> DataFrame:
