@@ -15,6 +15,7 @@ from checks import catalog
 from checks.workspace import Workspace
 from tillflow.scratch import discard
 from tillflow.session import local_session
+from tillflow.sources.warehouse import drop_warehouse
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -46,6 +47,7 @@ def main() -> None:
     for name in HEADLINES:
         seconds[name] = round(statistics.median(run(builds[name], workspace) for _ in range(RUNS)), 3)
 
+    drop_warehouse(spark, workspace.table)
     discard(spark)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({

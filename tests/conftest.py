@@ -8,7 +8,8 @@ SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(cores=8, memory="8g", shared_folder=str(tmp_path_factory.mktemp("shared")))
+    folder = tmp_path_factory.mktemp("spark")
+    session = local_session(cores=8, memory="8g", shared_folder=str(folder / "shared"), warehouse_folder=str(folder / "warehouse"))
     yield session
     session.stop()
 

@@ -10,6 +10,7 @@ def local_session(
     shuffle_partitions: int = 8,
     memory: str = "16g",
     shared_folder: str | None = None,
+    warehouse_folder: str | None = None,
 ) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -23,6 +24,8 @@ def local_session(
     )
     if shared_folder:
         builder = builder.config("spark.checkpoint.dir", shared_folder)
+    if warehouse_folder:
+        builder = builder.config("spark.sql.warehouse.dir", warehouse_folder)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
