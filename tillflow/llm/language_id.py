@@ -113,21 +113,33 @@ class Languages:
 
     def predictor(self) -> Callable[[str | None], tuple[str, float]]:
         """A function that gives a text's language and its posterior probability with equal priors."""
-        cache: dict[str, np.ndarray] = {}
+        known = len(self.table)
+        rows = np.vstack([self.table, np.zeros((_CACHED_WORDS, len(self.names)), np.float32)])
+        index, used = dict(self.words), known  # known words, and behind them unseen ones as they come
+
+        def learn(words: list[str]) -> None:
+            nonlocal index, used
+            new = [w for w in dict.fromkeys(words) if w not in index]
+            if used + len(new) > len(rows):
+                index, used = dict(self.words), known
+                new = [w for w in dict.fromkeys(words) if w not in index]
+            for word in new:
+                rows[used] = self.unseen(word)
+                index[word] = used
+                used += 1
 
         def predict(text: str | None) -> tuple[str, float]:
             if not self.names or not has_letter(text):
                 return UNKNOWN, 0.0
+            total = np.zeros(len(self.names))
             words = words_of(text)
-            at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-            total = self.table[at[at >= 0]].sum(axis=0, dtype=np.float64)
-            for i in np.flatnonzero(at < 0).tolist():
-                logs = cache.get(words[i])
-                if logs is None:
-                    if len(cache) > _CACHED_WORDS:
-                        cache.clear()
-                    logs = cache[words[i]] = self.unseen(words[i])
-                total += logs
+            for at in range(0, len(words), _CACHED_WORDS // 2):  # a very long text in pieces that fit the cache
+                some = words[at : at + _CACHED_WORDS // 2]
+                places = np.fromiter(map(index.get, some, repeat(-1)), np.int64, len(some))
+                if len(places) and places.min() < 0:
+                    learn(some)
+                    places = np.fromiter(map(index.get, some, repeat(-1)), np.int64, len(some))
+                total += rows[places].sum(axis=0, dtype=np.float64)
             likely = np.exp(total - total.max())
             best = int(likely.argmax())
             return self.names[best], float(likely[best] / likely.sum())
