@@ -133,8 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, good: Column, id_column: str = "do
         F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{n_chars}`").cast("long").alias("n_chars"),
     )
     columns = ["text", "lang", "source", "n_chars"]
-    chosen = bounded_labels(labels, id_column, good, labelled_rows, 1001).cache()
-    spark = docs.sparkSession
+    chosen = bounded_labels(labels, id_column, good, labelled_rows, 1001)
     n_docs = docs.count()
     others = (
         named.select(F.col("doc").alias("id")).where(F.col("id").isNotNull() & (share_of(F.col("id"), 1004) < unlabelled_rows / max(1, n_docs)))
@@ -187,7 +186,6 @@ def train(docs: DataFrame, labels: DataFrame, good: Column, id_column: str = "do
     lines = [calibrate(m, marks) for m in margins]
     prior = log(share) - log(1 - share)
     both = sum(a * m + b for (a, b), m in zip(lines, margins, strict=True)) - prior
-    chosen.unpersist()
     return TwoViews(raw.weights, bias, lines[0], dense, lines[1], prior, calibrate(both, marks))
 
 
