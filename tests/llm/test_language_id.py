@@ -48,3 +48,16 @@ def test_without_training_rows(odd, none):
     assert language_id.identify(none).count() == 0
     unknown = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id.identify(unknown).collect()} == {"und"}
+
+
+def test_cache_of_unseen_words_changes_nothing(table, monkeypatch):
+    import pytest
+
+    docs = table("documents")
+    model = language_id.train(docs.limit(100), word_share=1e-3)
+    texts = [r.text for r in docs.limit(60).collect()]
+    expected = [model.predictor()(t) for t in texts]
+    monkeypatch.setattr(language_id, "_CACHED_WORDS", 16)
+    small = model.predictor()
+    for text, (lang, score) in zip(texts, expected, strict=True):
+        assert small(text) == (lang, pytest.approx(score, abs=1e-6))
