@@ -81,14 +81,14 @@ def fit_text(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     that hardly tell the classes apart by 0; the scale is part of the returned weights.
     """
     labels = np.asarray(labels, float)
-    good, bad = np.ones(TEXT_DIM), np.ones(TEXT_DIM)
+    good, bad = np.ones(TEXT_DIM, np.float32), np.ones(TEXT_DIM, np.float32)
     for (ids, _), label in zip(rows, labels, strict=True):
         (good if label > 0.5 else bad)[ids] += 1
     n_good, n_bad = float((labels > 0.5).sum()), float((labels <= 0.5).sum())
     ratio = np.log(good / (n_good + 2)) - np.log(bad / (n_bad + 2))
     ratio[np.abs(ratio) < RARE] = 0.0
     scaled = [(ids[keep], (values[keep] * ratio[ids[keep]]).astype(np.float32)) for ids, values in rows for keep in [ratio[ids] != 0]]
-    weights, seen, bias, seen_bias = np.zeros(TEXT_DIM), np.full(TEXT_DIM, 1e-6), 0.0, 1e-6
+    weights, seen, bias, seen_bias = np.zeros(TEXT_DIM, np.float32), np.full(TEXT_DIM, 1e-6, np.float32), 0.0, 1e-6
     weight_of = {True: min(10.0, 0.5 * len(labels) / max(1.0, n_good)), False: min(10.0, 0.5 * len(labels) / max(1.0, n_bad))}
     rng = np.random.default_rng(seed)
     for _ in range(epochs):

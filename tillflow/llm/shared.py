@@ -118,5 +118,6 @@ def tidy_worker(cache: str | None = None):
         yield
     finally:
         gc.collect()
+        pa.default_memory_pool().release_unused()
         with suppress(OSError, AttributeError):  # only where the C library can
             ctypes.CDLL(None).malloc_trim(0)
