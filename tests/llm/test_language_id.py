@@ -61,3 +61,19 @@ def test_cache_of_unseen_words_changes_nothing(table, monkeypatch):
     small = model.predictor()
     for text, (lang, score) in zip(texts, expected, strict=True):
         assert small(text) == (lang, pytest.approx(score, abs=1e-6))
+
+
+def test_a_language_with_a_ten_thousandth_of_the_rows_has_its_own_entries(spark):
+    """Its words and n-grams stay by their share of its own text, and its counts stay beside those of a large language."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    large = spark.range(9999).select(F.col("id").alias("doc_id"), F.lit("the dog and the cat sleep on the bar " * 20).alias("text"), F.lit("en").alias("lang"))
+    small = spark.createDataFrame([(9999, "hvalen og bar katten sover på isen ved fjorden")], "doc_id long, text string").withColumn("lang", F.lit("da"))
+    model = language_id.train(large.unionByName(small))
+    assert {"hvalen", "fjorden"} <= set(model.words) and "<fjor" in model.grams[5]
+    n_large, n_small, entries = 9999 * 9 * 20, 9, len(model.words)
+    da, en = model.table[model.words["bar"]]
+    assert np.isclose(da, np.log(1.5 / (n_small + 0.5 * (entries + 1)))) and np.isclose(en, np.log((9999 * 20 + 0.5) / (n_large + 0.5 * (entries + 1))))
+    predict = model.predictor()
+    assert predict("katten sover ved fjorden")[0] == "da" and predict("the cat and the dog")[0] == "en" and predict("fjord is")[0] == "da"

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tillflow.llm.shared import add_python_columns, settle
 
 LONGEST = 5  # characters of the longest n-gram
-# Shares of all training words, and of all n-grams of a length, from which an entry is kept. No table has more than
-# 1 / share entries, whatever the corpus, so the model can be broadcast.
+# Shares of a language's own training words, and of its own n-grams of a length, from which an entry is kept. No table
+# has more than 1 / share entries for each language, whatever the corpus, so the model can be broadcast.
 WORD_SHARE = 2e-6
 GRAM_SHARE = 2e-6
 ADDED = 0.5
@@ -153,12 +153,26 @@ class Languages:
         return made
 
 
+def _kept(counted: DataFrame, entry: str, totals: dict[str, int], share: float) -> list[tuple[str, str, int]]:
+    """(lang, entry, n) of every language for the entries that make up ``share`` of at least one language's own total.
+
+    There are 1 / share entries a language at most.
+    """
+    if not totals:
+        return []
+    least = F.create_map(*[F.lit(x) for name, n in totals.items() for x in (name, float(max(1, share * n)))])
+    frequent = counted.where(F.col("n") >= F.element_at(least, F.col("lang"))).select(entry).distinct()
+    rows = counted.join(frequent, entry, "left_semi").select("lang", entry, "n").orderBy("lang", entry).toArrow()
+    return list(zip(*[c.to_pylist() for c in rows.columns], strict=True))
+
+
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, word_share: float = WORD_SHARE,
           gram_share: float = GRAM_SHARE) -> Languages:
     """Count words by language over all rows with a language, and n-grams over the counted words.
 
-    N-grams are counted on distinct words weighted by their counts, so that work does not grow with repetition. Entries
-    below the stated shares of all words, or of all n-grams of the same length, are left out of the model.
+    N-grams are counted on distinct words weighted by their counts, so that work does not grow with repetition. An entry
+    stays if it makes up the stated share of the words, or of the n-grams of its length, of any one language, however
+    little text that language has; what stays has the counts of all languages, so a zero in the model is a true zero.
     """
     known = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
@@ -166,17 +180,13 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int
     words = settle(_counted(known, _count_words, "lang string, word string"), "language_words")
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
     model = Languages(sorted(totals))
-    least = max(1, word_share * sum(totals.values()))
-    kept = words.where(F.col("n") >= least).orderBy("lang", "word").collect()  # 1 / word_share rows at most
-    model.add(None, [(r["lang"], r["word"], r["n"]) for r in kept], totals)
+    model.add(None, _kept(words, "word", totals, word_share), totals)
     grams = settle(_counted(words.select("lang", "word", "n"), _count_grams(longest), "lang string, size int, gram string"), "language_grams")
     of_size: dict[int, dict[str, int]] = {}
     for r in grams.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect():
         of_size.setdefault(r["size"], {})[r["lang"]] = r["n"]
     for size in sorted(of_size):
-        least = max(1, gram_share * sum(of_size[size].values()))
-        kept = grams.where((F.col("size") == size) & (F.col("n") >= least)).orderBy("lang", "gram").collect()
-        model.add(size, [(r["lang"], r["gram"], r["n"]) for r in kept], of_size[size])
+        model.add(size, _kept(grams.where(F.col("size") == size), "gram", of_size[size], gram_share), of_size[size])
     return model
 
 
