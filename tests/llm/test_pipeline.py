@@ -82,3 +82,22 @@ def test_run_gives_the_last_stage(spark, stages):
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     mine = sorted(tuple(r) for r in corpus_pipeline.run(spark, FOLDER).select(*columns).collect())
     assert mine == sorted(tuple(r) for r in stages[-1].select(*columns).collect())
+
+
+def test_learned_rule_rejects_poor_documents_among_survivors(spark, stages):
+    """Poor documents that the stage before has missed, put among its survivors, fall to the learned rule alone."""
+    from pyspark.sql import functions as F
+
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    poor_ids = labels.where("quality = 0").select("doc_id").join(stages[1].select("doc_id"), "doc_id", "left_anti")
+    long = []
+    for i, text in texts(stages[0].join(poor_ids, "doc_id", "left_semi")).items():
+        n, _, _, _, repeated = quality_rules.text_statistics(text)
+        if n >= 50 and 2 * repeated <= n:
+            long.append(i)
+    assert len(long) > 5
+    # New ids: these are documents without a label.
+    missed = stages[0].where(F.col("doc_id").isin(long)).withColumn("doc_id", -1 - F.col("doc_id"))
+    kept = set(texts(corpus_pipeline.quality_rules_stage(spark, stages[1].unionByName(missed), FOLDER)))
+    assert len([i for i in long if -1 - i in kept]) / len(long) < 0.1
+    assert len(kept & set(texts(stages[2]))) / len(texts(stages[2])) > 0.95
