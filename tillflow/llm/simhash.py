@@ -107,19 +107,20 @@ def near_duplicate_components(docs: DataFrame, id_column: str = "doc_id", text:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` with one row of each component left: that of the smallest id, known ids first.
+def row_key(id_column: str, text: str) -> Column:
+    """A number of a row's id and text."""
+    return F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text}`"), F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
 
-    All columns are kept. Rows that agree in id and text count as one row. Only (key, fingerprint) pairs take part in the
-    search; whole rows are shuffled once, by a key of their own, so no group of copies meets in one task.
+
+def first_rows(docs: DataFrame, key: Column, marked: DataFrame, classes: DataFrame, node: str) -> DataFrame:
+    """The rows of ``docs`` with one row of each class left: that of the smallest id, known ids first.
+
+    ``marked`` has the doc_id, ``key`` and ``node`` of each row, ``classes`` the label of each node. Whole rows are
+    shuffled once, by their key, so no group of copies meets in one task.
     """
-    key = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text}`"), F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    narrow = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), key.alias("key"))
-    marked = settle(add_fingerprint(narrow, "text").select("doc_id", "key", "fingerprint"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("first")
     winners = (
-        _classes(marked, radius)
-        .join(marked.groupBy("fingerprint").agg(first), "fingerprint")
+        classes.join(marked.groupBy(node).agg(first), node)
         .groupBy("label").agg(F.min("first").alias("first"))
         .select(F.col("first.key").alias("_key"))
     )
@@ -129,3 +130,15 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str =
         .dropDuplicates(["_key"])
         .select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` with one row of each component left: that of the smallest id, known ids first.
+
+    All columns are kept. Rows that agree in id and text count as one row. Only (key, fingerprint) pairs take part in the
+    search; whole rows are shuffled once, by a key of their own, so no group of copies meets in one task.
+    """
+    key = row_key(id_column, text)
+    narrow = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), key.alias("key"))
+    marked = settle(add_fingerprint(narrow, "text").select("doc_id", "key", "fingerprint"), "fingerprints")
+    return first_rows(docs, key, marked, _classes(marked, radius), "fingerprint")
