@@ -90,3 +90,16 @@ def test_extra_columns_stay(spark, odd):
     clean = decontaminate.decontaminate(odd, benchmark)
     assert clean.columns == odd.columns
     assert all(not r.contaminated for r in decontaminate.contamination(clean, benchmark).collect())
+
+
+def test_nested_passages_of_several_blocks_go(spark):
+    """Each cut brings a window of the other block together, eight times over."""
+    items = [(i, f"open{i} close{i}") for i in range(8)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    plain = " ".join(f"plain{i}" for i in range(20))
+    orders = [range(8), range(7, -1, -1), (0, 2, 4, 6, 1, 3, 5, 7), (7, 0, 6, 1, 5, 2, 4, 3)]
+    texts = [" ".join([plain, *[f"open{i}" for i in order], *[f"close{i}" for i in reversed(order)], plain]) for order in orders]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate([*texts, plain])], "doc_id long, text string, lang string, source string, n_chars long")
+    for block_bytes in (decontaminate.BLOCK_BYTES, 30):
+        clean = decontaminate.decontaminate(docs, benchmark, window=2, block_bytes=block_bytes).collect()
+        assert len(clean) == 5 and not any("open" in r.text or "close" in r.text for r in clean)

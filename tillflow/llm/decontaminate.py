@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -148,7 +149,7 @@ def mark_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     return out
 
 
-_CLEAN, _CHANGED = T.StructField("clean", T.StringType()), T.StructField("changed", T.BooleanType())
+_CLEAN, _CUT = T.StructField("clean", T.StringType()), T.StructField("cut", T.BooleanType())
 
 
 def _hit() -> F.Column:
@@ -197,7 +198,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_c
 
     Words inside occurrences are cut from the text and ``n_chars`` is counted anew. A document goes as a whole if more
     than ``drop_share`` of its words lie inside. Other rows, null and empty texts included, stay as they are. Spans are
-    cut block by block, until a pass over all blocks finds nothing.
+    cut block by block, until a pass over all blocks finds nothing; a pass after the first reads only the rows that the
+    one before it has cut.
     """
     spark = docs.sparkSession
     names = docs.columns
@@ -207,8 +209,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_c
     )
     item, item_text = options.get("item", "item_id"), options.get("item_text", "text")
     blocks = _blocks(benchmark, item, item_text, options.get("block_bytes", BLOCK_BYTES))
-    rounds = 1 if len(blocks) == 1 else 2
-    for turn in range(rounds):
+    open_, finished = kept.withColumn("open", F.col("changed")), []
+    while True:
+        open_ = open_.withColumn("cut", F.lit(False))
         for block in blocks:
             rows = [(r["item"], (r["text"] or "").encode()) for r in block.collect()]
             windows = spark.sparkContext.broadcast(vars(WindowSet(rows, options.get("window", WINDOW_WORDS))))
@@ -216,13 +219,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_c
             def start(windows=windows):
                 chosen = WindowSet.of(windows.value)
 
-                def cut(texts, changed):
-                    pairs = zip(texts.to_pylist(), changed.to_pylist(), strict=True)
-                    return [[without_spans(t, chosen) if c else t for t, c in pairs], changed]
+                def cut(texts, scanned, before):
+                    old = texts.to_pylist()
+                    new = [without_spans(t, chosen) if s else t for t, s in zip(old, scanned.to_pylist(), strict=True)]
+                    return new, [c or n != t for c, n, t in zip(before.to_pylist(), new, old, strict=True)]
 
                 return cut
 
-            kept = add_python_columns(kept, ["clean", "changed"], [_CLEAN, _CHANGED], start)
+            open_ = add_python_columns(open_, ["clean", "open", "cut"], [_CLEAN, _CUT], start)
+        if len(blocks) == 1:
+            finished.append(open_)
+            break
+        passed = settle(open_, "cut")
+        finished.append(passed.where(~F.col("cut")))
+        open_ = passed.where("cut").drop("cut")
+        if open_.isEmpty():
+            break
+    kept = reduce(DataFrame.unionByName, [f.select("_row", "clean", "changed") for f in finished])
     columns = {text: F.col("clean")}
     if n_chars in names:
         columns[n_chars] = F.when(F.col("changed"), F.char_length("clean").cast("long")).otherwise(F.col(f"_row.`{n_chars}`"))
