@@ -1,0 +1,94 @@
+import re
+from itertools import permutations
+
+import duckdb
+
+from tests.llm.conftest import DOCUMENT, ODD_ROWS
+from tillflow.llm import filter_audit, queries
+
+COLUMNS = ("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+LABELS = [(1, 1, 0), (2, 0, 1), (3, 1, None), (6, None, 1), (6, 1, 0), (8, 1, 1), (None, 1, 1)]
+
+
+def brute(documents, labels):
+    """Every order applied to every document, one after the other."""
+    def fails(i, text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        found = "A" if len(w) < 200 else ""
+        found += "B" if 100 * len(set(w)) < 50 * len(w) else ""
+        found += "C" if 100 * len(re.findall("[A-Z]", text)) > 2 * len(text) else ""
+        found += "D" if re.search("[#$%&*|]", text) else ""
+        return found + ("E" if i is not None and any(j is not None and j < i and (t or "") == text for j, t, *_ in documents) else "")
+
+    docs = [(r[3] or "", fails(r[0], r[1] or ""), r[0]) for r in documents]
+    good, toxic = ({x[0] for x in labels if x[0] is not None and x[k] == 1} for k in (1, 2))
+    made, totals = [], {}
+    for part in {d[0] for d in docs}:
+        for order in map("".join, permutations("ABCDE")):
+            left = [d for d in docs if d[0] == part]
+            for step, letter in enumerate(order, 1):
+                gone = [d for d in left if letter in d[1]]
+                left = [d for d in left if letter not in d[1]]
+                mine = [d for d in docs if d[0] == part and letter in d[1]]
+                totals[part, letter] = totals.get((part, letter), 0) + len(gone)
+                made.append((part, order, step, len(left), len(gone), len(mine) - len(gone), sum(d[1] == letter for d in mine),
+                             sum(d[2] in good for d in gone), sum(d[2] in toxic for d in gone)))
+    return sorted((*m, totals[m[0], m[1][m[2] - 1]]) for m in made)
+
+
+def found(df):
+    return sorted(tuple(r) for r in df.select(*COLUMNS).collect())
+
+
+def test_odd_rows(spark, odd):
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    assert found(filter_audit.filter_report(odd, labels)) == brute(ODD_ROWS, LABELS)
+
+
+def test_whole_table(spark, table):
+    documents, labels = table("documents"), table("labels")
+    made = filter_audit.filter_report(documents, labels)
+    assert found(made) == brute([tuple(r) for r in documents.collect()], [tuple(r) for r in labels.collect()])
+    assert made.columns == list(COLUMNS)
+
+
+def test_every_mask(spark):
+    """Texts that fail each combination of filters, copies of them among other parts."""
+    made = []
+    for mask in range(16):
+        n = 150 if mask & 1 else 300
+        words = [f"w{i % 40 if mask & 2 else i}{'X' * 20 if mask & 4 else ''}" for i in range(n)]
+        text = " ".join(words) + f" end{mask}" + (" a|b" if mask & 8 else "")
+        made += [(100 + mask, text, "en", "a", 1), (200 + mask, text, "en", "b", 1), (50 + mask, text, "en", "b", 1)]
+    labels = [(i, i % 2, i % 3) for i in range(50, 220)]
+    frame = spark.createDataFrame(made, DOCUMENT)
+    counts = filter_audit.failure_counts(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r["mask"] for r in counts.collect()} == set(range(32))
+    assert found(filter_audit.audit(counts)) == brute(made, labels)
+
+
+def test_empty_tables(spark, none, odd):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert filter_audit.filter_report(none, labels).count() == 0
+    assert found(filter_audit.filter_report(odd, labels)) == brute(ODD_ROWS, [])
+
+
+def test_ranks_are_lexicographic():
+    assert [filter_audit.lehmer_rank(p, 4) for p in permutations(range(4))] == list(range(24))
+    for mask in range(16):
+        cover = [0] * 24
+        for m, step, first, stop in filter_audit.removal_intervals(4):
+            for rank in range(first, stop) if m == mask else ():
+                cover[rank] += 1
+                order = list(permutations(range(4)))[rank]
+                assert mask >> order[step - 1] & 1 and not any(mask >> f & 1 for f in order[: step - 1])
+        assert cover == [bool(mask)] * 24
+
+
+def test_sql_of_the_query(spark):
+    folder = "/root/testdata/sf0.01"
+    made = queries.op12_filter_interaction_audit(spark, folder)
+    db = duckdb.connect()
+    for name in ("documents", "labels"):
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    assert found(made) == sorted(db.execute(f"SELECT {', '.join(COLUMNS)} FROM ({filter_audit.oracle()})").fetchall())

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillflow.llm import (
-    chat_perspectives, cotraining, decontaminate, language_id, packing, quality_rules, sharding, simhash, suffix_tree,
-    token_counts,
+    chat_perspectives, cotraining, decontaminate, filter_audit, language_id, packing, quality_rules, sharding, simhash,
+    suffix_tree, token_counts,
 )
 from tillflow.llm.shared import read_table
 
@@ -69,9 +69,14 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return cotraining.score_documents(docs, cotraining.train(docs, read_table(spark, folder, "labels"), clean_label()))
 
 
+def op12_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 QUERIES = (
     op1_lm_scoring, op2_token_counts, op3_quality_rules, op4_sharding, op5_benchmark_decontamination,
     op6_simhash_near_dedup, op7_chat_formatting, op8_packing, op9_language_id, op10_quality_classifier,
+    op12_filter_interaction_audit,
 )
 
 
@@ -81,4 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can state the result; the other queries are tested against brute force."""
-    return {op7_chat_formatting.__name__: chat_perspectives.oracle()}
+    return {
+        op7_chat_formatting.__name__: chat_perspectives.oracle(),
+        op12_filter_interaction_audit.__name__: filter_audit.oracle(),
+    }
