@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillflow.llm import (
     chat_perspectives, cotraining, decontaminate, filter_audit, language_id, packing, quality_rules, sharding, simhash,
-    suffix_tree, token_counts,
+    suffix_tree, token_counts, word_runs,
 )
 from tillflow.llm.shared import read_table
 
@@ -73,10 +73,14 @@ def op12_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame
     return filter_audit.filter_report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+def op13_periodic_run_detection(spark: SparkSession, folder: str) -> DataFrame:
+    return word_runs.run_report(word_runs.plant_period(read_table(spark, folder, "documents")))
+
+
 QUERIES = (
     op1_lm_scoring, op2_token_counts, op3_quality_rules, op4_sharding, op5_benchmark_decontamination,
     op6_simhash_near_dedup, op7_chat_formatting, op8_packing, op9_language_id, op10_quality_classifier,
-    op12_filter_interaction_audit,
+    op12_filter_interaction_audit, op13_periodic_run_detection,
 )
 
 
