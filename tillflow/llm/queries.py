@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillflow.llm import (
-    chat_perspectives, cotraining, decontaminate, filter_audit, language_id, packing, quality_rules, sharding, simhash,
+    chat_perspectives, cotraining, decontaminate, filter_audit, language_id, packing, quality_rules, set_sketch, sharding, simhash,
     suffix_tree, token_counts, word_runs,
 )
 from tillflow.llm.shared import read_table
@@ -69,6 +69,10 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return cotraining.score_documents(docs, cotraining.train(docs, read_table(spark, folder, "labels"), clean_label()))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return set_sketch.near_copy_components(read_table(spark, folder, "documents"))
+
+
 def op12_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.filter_report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
@@ -80,7 +84,7 @@ def op13_periodic_run_detection(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = (
     op1_lm_scoring, op2_token_counts, op3_quality_rules, op4_sharding, op5_benchmark_decontamination,
     op6_simhash_near_dedup, op7_chat_formatting, op8_packing, op9_language_id, op10_quality_classifier,
-    op12_filter_interaction_audit, op13_periodic_run_detection,
+    op11_minhash_near_dedup, op12_filter_interaction_audit, op13_periodic_run_detection,
 )
 
 

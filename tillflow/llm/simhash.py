@@ -108,8 +108,9 @@ def near_duplicate_components(docs: DataFrame, id_column: str = "doc_id", text:
 
 
 def row_key(id_column: str, text: str) -> Column:
-    """A number of a row's id and text."""
-    return F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text}`"), F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    """128 bits that tell a row's id and text, nulls apart from empty values."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("")) for c in (id_column, text)]
+    return F.unhex(F.md5(F.concat_ws("\0", *parts).cast("binary")))
 
 
 def first_rows(docs: DataFrame, key: Column, marked: DataFrame, classes: DataFrame, node: str) -> DataFrame:
