@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillflow.llm import cotraining, decontaminate, near_copies, packing, quality_rules
+from tillflow.llm import cotraining, decontaminate, packing, quality_rules, simhash
 from tillflow.llm.queries import clean_label, tokenizer_path
 from tillflow.llm.shared import read_table, settle
 
@@ -28,8 +28,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by five-word shingles: the one with the smallest id."""
-    return near_copies.drop_near_copies(docs)
+    """One document of each component of fingerprints within 2 bits, of three-word shingles: the one with the smallest id."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
