@@ -28,6 +28,7 @@ RATE = 20
 TOP = (1 << 16) - 1
 # The estimate's standard error at 0.85 is 0.033; pairs are left out six of them below the limit.
 MARGIN = 0.2
+FEW_MEMBERS = 64  # rows of a bucket up to which its pairs are told one by one
 MEMBERS_TOGETHER = 256  # rows of a block of a bucket whose members are compared with each other
 BYTES_TOGETHER = 8 << 20  # and the size of their sets
 SEED = 42
@@ -212,7 +213,7 @@ def _links_in_block(percent: int):
                 others = others[block[others] != block[x]]
             if not len(others):
                 continue
-            # A pair belongs to the first band that it shares.
+            # A pair belongs to the first band that it shares; one whose first bucket is small is left out here.
             bands = (sketch[others].reshape(-1, BANDS, BAND_ROWS) == sketch[x].reshape(BANDS, BAND_ROWS)).all(axis=2)
             others = others[bands.any(axis=1) & (bands.argmax(axis=1) == at)]
             if not len(others):
@@ -228,19 +229,33 @@ def _links_in_block(percent: int):
     return run
 
 
-def _remaining_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a bucket that are in different components, whatever their number.
-
-    The members of a bucket are dealt into blocks of a bounded number and size, and any two blocks meet in a group. A pair
-    is looked at in one of its buckets only, by its registers first.
-    """
+def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their component, of the buckets that hold more than one; with the bucket's rows n and its blocks."""
+    labelled = settle(_labelled(members, labels), "labelled")
     size = F.sum("n_shingles") * 8
     mixed = (
-        _labelled(members, labels).groupBy("band")
+        labelled.groupBy("band")
         .agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"), size.alias("bytes")).where("a < b")
-        .select("band", F.greatest(F.ceil(F.col("n") / MEMBERS_TOGETHER), F.ceil(F.col("bytes") / BYTES_TOGETHER)).alias("blocks"))
+        .select("band", "n", F.greatest(F.ceil(F.col("n") / MEMBERS_TOGETHER), F.ceil(F.col("bytes") / BYTES_TOGETHER)).alias("blocks"))
     )
-    placed = _labelled(members, labels).join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("node", F.lit(SEED)), "blocks"))
+    return settle(labelled.join(mixed, "band"), "mixed")
+
+
+def _pairs_of_small_buckets(mixed: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components in buckets of a few members."""
+    few = mixed.where(F.col("n") <= FEW_MEMBERS)
+    sides = [few.select("band", F.col("node").alias(x), F.col("label").alias(f"of_{x}")) for x in "uv"]
+    return sides[0].join(sides[1], "band").where("u > v AND of_u != of_v").select("u", "v").distinct()
+
+
+def _links_of_large_buckets(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components in buckets of any size.
+
+    The members of a bucket are dealt into blocks of a bounded number and size, and any two blocks meet in a group. A pair
+    is looked at in one of its buckets only, by its registers first.
+    """
+    many = mixed.where(F.col("n") > FEW_MEMBERS)
+    placed = many.withColumn("block", F.pmod(F.xxhash64("node", F.lit(SEED)), "blocks"))
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = meets.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     rows = met.select("band", "at", "low", "high", "node", "label", "block").join(nodes.select("node", "n_shingles", "registers"), "node").join(sets, "node")
@@ -283,8 +298,12 @@ def similar_components(marked: DataFrame, texts: DataFrame, shingle_words: int =
     links = settle(_verified(settle(_likely(second, nodes, percent), "likely"), sets, percent), "links")
     labels = component_labels(_joined(labels, links))
 
-    links = settle(_remaining_links(members, labels, nodes, sets, percent), "links")
-    labels = component_labels(_joined(labels, links))
+    mixed = _mixed_buckets(members, labels)
+    seen = met.select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    third = _pairs_of_small_buckets(mixed).join(seen, ["u", "v"], "left_anti")
+    links = settle(_verified(settle(_likely(third, nodes, percent), "likely"), sets, percent), "links")
+    more = settle(_links_of_large_buckets(mixed, nodes, sets, percent), "links")
+    labels = component_labels(_joined(labels, links.unionByName(more)))
     return _labelled(nodes.select("digest", "node"), labels)
 
 
