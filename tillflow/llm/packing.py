@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+import json
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from itertools import chain, count
 from math import ceil
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Tokenizer
 
@@ -17,28 +21,42 @@ from tillflow.llm.shared import add_python_columns, settle, text_bytes, worker_c
 CAPACITY = 4096
 END_ID = 2
 GROUP_PIECES = 1000  # pieces that are differenced together; bounds a task's memory and time at any size of input
-CACHED_WORDS = 1 << 19  # pieces that a worker remembers; the often used ones stay when there are more
+CACHED_WORDS = 1 << 18  # pieces that a worker remembers; the often used ones stay when there are more
 _MARK = b"\x1e"
+_LATIN_END, _DOTTED_I = "\u0250", "\u0130"  # below, characters are composed, and all but one have one lower case
+_WORDS_AT_ONCE = 1024
+_BYTES_AT_ONCE = 2 << 20
 
 
 class TokenIds:
     """Ids of whole texts, by way of the tokenizer's ids for each distinct piece between ASCII white space.
 
-    For a tokenizer that drops white space and never looks across it. Texts that hold one of its special strings go to
-    the tokenizer as they are.
+    For a tokenizer that drops white space, never looks across it, and marks word ends in its vocabulary. Pieces of plain
+    Latin characters are split as its file says, and go to a copy of it that only splits at white space: most of the
+    library's time goes into normalizing and matching. Other pieces go to it as they are, and so do whole texts that hold
+    one of its special strings.
     """
 
     def __init__(self, config: str):
+        raw = json.loads(config)
         self.tokenizer = Tokenizer.from_str(config)
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self._encode(_MARK)
+        split, byte_level = raw["pre_tokenizer"]["pretokenizers"]
+        self.words = regex.compile(r"\n|" + split["pattern"]["Regex"])
+        plain = raw | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
+        end = raw["model"]["end_of_word_suffix"]
+        vocabulary = raw["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(end)]] = True
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint16)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.uses = np.zeros(0, np.int64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int32)
 
     def forget(self) -> None:
         """Keep the pieces that were used most since the last time, half of the limit at most."""
@@ -50,27 +68,61 @@ class TokenIds:
         ends = np.cumsum(sizes)
         index = np.arange(int(sizes.sum())) + np.repeat(self.starts[kept] - ends + sizes, sizes)
         self.place = {words[i]: at for at, i in enumerate(kept.tolist())}
-        self.ids, self.starts, self.sizes, self.uses = self.ids[index], ends - sizes, sizes, np.zeros(len(kept), np.int64)
+        self.ids, self.starts, self.sizes, self.uses = self.ids[index], ends - sizes, sizes, np.zeros(len(kept), np.int32)
 
     def _encode(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
 
-    def learn(self, pieces: set[bytes]) -> None:
-        """Ids of pieces not seen before, encoded in one call with a mark between any two."""
-        new = [p for p in pieces if p not in self.place]
+    def _words(self, pieces: list[bytes]) -> tuple[list[str], np.ndarray]:
+        """The words of pieces of plain Latin characters, as the tokenizer splits them, and their numbers."""
+        found = self.words.findall(b"\n".join(pieces).decode().lower())
+        counts = np.diff(np.flatnonzero(np.array([True, *[w == "\n" for w in found], True]))) - 1
+        return [w for w in found if w != "\n"], counts
+
+    def _ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each by itself, and where each word's ids end."""
+        ids = []
+        for at in range(0, len(words), _WORDS_AT_ONCE):
+            ids += self.plain.encode_batch_fast([" ".join(words[at : at + _WORDS_AT_ONCE])], add_special_tokens=False)[0].ids
+        joined = np.array(ids, np.uint16)
+        ends = np.flatnonzero(self.ends[joined]) + 1
+        if len(ends) != len(words):
+            raise ValueError("The tokenizer does not mark word ends.")
+        return joined, ends
+
+    def _ids_of_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any pieces and their numbers, with a mark between any two."""
+        marked = self._encode((b" " + _MARK + b" ").join(pieces))
+        ends = np.append(np.flatnonzero(marked == self.mark[0]), len(marked))
+        if len(ends) != len(pieces):
+            raise ValueError("The tokenizer looks across white space.")
+        return np.delete(marked, ends[:-1]).astype(np.uint16), np.diff(np.append(-1, ends)) - 1
+
+    def learn(self, new: list[bytes]) -> None:
+        """Ids of pieces not seen before."""
         if not new:
             return
-        joined = self._encode((b" " + _MARK + b" ").join(new))
-        ends = np.append(np.flatnonzero(joined == self.mark[0]), len(joined))
-        starts = np.append(0, ends[:-1] + 1)
-        if len(ends) != len(new):
-            raise ValueError("The tokenizer looks across white space.")
+        letters = [p for p in new if p.isalpha()]  # of bytes: A-Z and a-z only
+        others = [p for p in new if not p.isalpha()]
+        text = b"".join(others).decode()
+        if text and (max(text) >= _LATIN_END or _DOTTED_I in text):
+            foreign = [max(t) >= _LATIN_END or _DOTTED_I in t for t in map(bytes.decode, others)]
+        else:
+            foreign = [False] * len(others)
+        latin, left = ([p for p, f in zip(others, foreign, strict=True) if f is wanted] for wanted in (False, True))
+        words, counts = self._words(latin) if latin else ([], np.zeros(0, np.int64))
+        joined, ends = self._ids_of_words(list(map(bytes.decode, letters)) + words)
+        of_pieces = np.cumsum(np.append(np.ones(len(letters), np.int64), counts))
+        sizes = np.diff(np.append(0, np.append(0, ends)[of_pieces]))
+        if left:
+            more, more_sizes = self._ids_of_pieces(left)
+            joined, sizes = np.append(joined, more), np.append(sizes, more_sizes)
         base, at = len(self.ids), len(self.place)
-        self.place.update(zip(new, range(at, at + len(new)), strict=True))
-        self.ids = np.concatenate([self.ids, joined.astype(np.uint16)])
-        self.starts = np.concatenate([self.starts, starts + base])
-        self.sizes = np.concatenate([self.sizes, ends - starts])
-        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.place.update(zip(letters + latin + left, range(at, at + len(new)), strict=True))
+        self.ids = np.concatenate([self.ids, joined])
+        self.starts = np.concatenate([self.starts, base + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
 
     def of(self, texts: Sequence[bytes | None]) -> list[np.ndarray]:
         if len(self.place) > CACHED_WORDS:
@@ -78,20 +130,29 @@ class TokenIds:
         lowered = [(t or b"").lower() for t in texts]
         whole = [any(s in x for s in self.special) or _MARK in x for x in lowered]
         words = [[] if w else x.split() for x, w in zip(lowered, whole, strict=True)]
-        self.learn(set().union(*words))
-        out = []
-        for raw, pieces, special in zip(texts, words, whole, strict=True):
-            if special:
-                out.append(self._encode(raw))
-                continue
-            at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-            np.add.at(self.uses, at, 1)
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            index = np.arange(total) + np.repeat(self.starts[at] - ends + sizes, sizes)
-            out.append(self.ids[index].astype(np.uint32))
-        return out
+        number = defaultdict(count().__next__)  # a small dictionary for all words, and the large one for distinct ones
+        numbered = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)
+        self.learn([p for p in number if p not in self.place])
+        places = np.fromiter(map(self.place.__getitem__, number), np.int64, len(number))
+        np.add.at(self.uses, places, np.bincount(numbered, minlength=len(number)).astype(np.int32))
+        at = places[numbered]
+        sizes = self.sizes[at].astype(np.int64)
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.arange(int(sizes.sum())) + np.repeat(self.starts[at] - ends + sizes, sizes)].astype(np.uint32)
+        cuts = np.append(0, ends)[np.cumsum([0, *map(len, words)])].tolist()
+        return [self._encode(raw) if special else ids[cuts[i] : cuts[i + 1]] for i, (raw, special) in enumerate(zip(texts, whole, strict=True))]
+
+
+def _by_size(texts: Sequence[bytes | None]) -> Iterator[Sequence[bytes | None]]:
+    """The texts in groups of a bounded size, which bounds the memory for their pieces; a larger text is a group."""
+    begin, size = 0, 0
+    for at, text in enumerate(texts):
+        size += len(text or b"")
+        if size > _BYTES_AT_ONCE:
+            yield texts[begin : at + 1]
+            begin, size = at + 1, 0
+    if begin < len(texts):
+        yield texts[begin:]
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -122,8 +183,8 @@ def tokenize_and_cut(docs: DataFrame, tokenizer_path: str, text: str = "text", c
         def cut(column):
             totals, pieces, kept = [], [], []
             texts = text_bytes(column)
-            for at in range(0, len(texts), 256):  # a few documents at a time bound the memory
-                for ids in ids_of.of(texts[at : at + 256]):
+            for group in _by_size(texts):
+                for ids in ids_of.of(group):
                     full = np.append(ids, np.uint32(end_id)).astype("<u4")
                     spans = cut_points(len(full), capacity)
                     raw = [full[s : s + n].tobytes() for s, n in spans]
