@@ -1,133 +1,107 @@
 """Exact ranks and positions over tables too large for one task.
 
-``Window.orderBy`` without ``partitionBy`` sorts the whole table in a single task. The operators here give the same
-values from work that is split evenly, also when one value holds a large share of the rows. They are one lazy plan at
-every size: building it starts no job.
+``Window.orderBy`` without ``partitionBy`` sorts the whole table in a single task. Here values are laid out in cells, which a
+formula gives without a look at the data: 64 to each doubling, so a cell is about one percent wide. Cells are in the order
+of their values, so what lies below a value is the rows of lower cells, a running sum over a few thousand counts, and what
+lies below it in its own cell. Ranks count values and not rows: equal values are one row before anything is ordered, so
+a value (or NULL) that holds a third of the rows is no more work than another.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from tillflow.scratch import settle
 
-SAMPLES_PER_RANGE = 16
+_CELLS = 64  # to each doubling
+_ZERO = 1 << 17  # more than a double has cells below 1
 # monotonically_increasing_id(): task number in the upper bits, position in the task below.
 _TASK_BITS = 33
 
 
-def range_count(spark: SparkSession) -> int:
-    """As many ranges as a shuffle has partitions, which is what a cluster is told about the size of its tables."""
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def cell_sql(value: str, nulls: str) -> str:
+    """The cell of a number; of equal or larger numbers it is equal or larger. NULL lies beyond all, ``nulls`` low or high."""
+    size = f"int({_ZERO} + floor(least({2 * _ZERO}, {_CELLS} * log2(abs({value})))))"  # NaN is the largest number
+    end = f"{'-' if nulls == 'low' else ''}{1 << 20}"
+    return f"CASE WHEN {value} IS NULL THEN {end} WHEN {value} > 0 THEN {size} WHEN {value} < 0 THEN -{size} ELSE 0 END"
 
 
-def _placed_sql(source: str, metric: str, keys: Sequence[str], ranges: int) -> str:
-    """Common table expressions up to ``_placed``: the rows of ``source`` with _value, _range, _part and _parts.
-
-    Cut points: the rows fall into buckets by a hash of their keys, and of each bucket the row with the smallest other
-    hash is the sample. That is a bounded number of rows that depends on the table only, pre-aggregated in each task, so
-    the plan may evaluate it twice and see the same cuts. They affect balance and never results. A value that several of
-    the evenly spaced picks fall on holds as many shares of the rows, and so is spread over as many parts.
-
-    Ranges ascend; a number is odd for a cut point itself and even for the open range before it. All rows in an odd range
-    tie. NULLs tie too and, as in ``DESC`` order of the warehouse's SQL, come above everything. The cuts below a value are
-    counted among every n-th cut first, then in one stretch.
-    """
-    key = ", ".join(keys)
-    return f"""
-_source AS ({source}),
-_picked AS (
-  SELECT sort_array(collect_list(s.v)) AS vs, count(*) AS n FROM (
-    SELECT min(struct(xxhash64({key}, 1) AS c, {metric} AS v)) AS s FROM _source
-    GROUP BY pmod(xxhash64({key}), {ranges * SAMPLES_PER_RANGE}))
-), _picks AS (
-  SELECT vs, n, transform(filter(sequence(1, {ranges - 1}), i -> size(vs) > 0), i -> get(vs, int(floor(i * size(vs) / {ranges})))) AS picks
-  FROM _picked
-), _cuts AS (
-  SELECT *, array_distinct(picks) AS cuts, int(greatest(1, floor(sqrt(size(array_distinct(picks)))))) AS step FROM _picks
-), _layout AS (
-  SELECT struct(cuts, step, filter(cuts, (c, i) -> (i + 1) % step = 0) AS coarse,
-    concat(flatten(transform(cuts, v -> array(1, size(filter(picks, p -> p = v))))),
-      array(1, 1 + int(floor((n - size(vs)) * {ranges} / greatest(n, 1))))) AS spreads) AS l
-  FROM _cuts
-), _laid AS (
-  SELECT *, {metric} AS _value, (SELECT l FROM _layout) AS _l FROM _source
-), _skipped AS (
-  SELECT *, size(filter(_l.coarse, c -> c < _value)) * _l.step AS _skip FROM _laid
-), _located AS (
-  SELECT *, coalesce(_skip + size(filter(slice(_l.cuts, _skip + 1, _l.step), c -> c < _value)), 0) AS _below FROM _skipped
-), _ranged AS (
-  SELECT *, coalesce(CASE WHEN _value IS NULL THEN 2 * size(_l.cuts) + 1
-    ELSE 2 * _below + int(coalesce(get(_l.cuts, _below) = _value, false)) END, 0) AS _range
-  FROM _located
-), _placed AS (
-  SELECT * EXCEPT (_l, _skip, _below), get(_l.spreads, _range) AS _parts,
-    coalesce(int(pmod(xxhash64({key}), get(_l.spreads, _range))), 0) AS _part
-  FROM _ranged
-)"""
-
-
-def rank_sql(source: str, metric: str, rank_name: str, keys: Sequence[str], partition_by: Sequence[str] = (), ranges: int = 200) -> str:
+def rank_sql(source: str, ranks: Mapping[str, str], partition_by: Sequence[str] = ()) -> str:
     """``RANK() OVER (PARTITION BY .. ORDER BY metric DESC NULLS FIRST)`` of the query ``source``, evenly distributed.
 
-    ``source`` has one row per ``keys``. Rows are split by value range; a row's rank is the number of rows in higher
-    ranges plus its rank in its own range. A range of tied rows needs no common task: each of them ranks first in it, so
-    it is spread over ``keys``. The one shuffle of the rows serves the window and the join. A partition, which may hold
-    most of the rows, is spread over ranges like the table as a whole.
+    ``ranks`` names the new column for each metric. Values are counted, their counts summed by cell, and ranks joined to
+    the rows by value; a partition, which may hold most of the rows, is spread over cells like the table as a whole. The
+    text states ``source`` several times, and Spark computes its grouping once.
     """
-    # A struct compares NULL fields as equal, so a NULL partition key is an ordinary one.
-    owner = f"struct({', '.join(partition_by)})" if partition_by else "0"
-    return f"""WITH {_placed_sql(source, metric, keys, ranges)}, _owned AS (
-  SELECT *, {owner} AS _owner FROM _placed
-), _sizes AS (
-  SELECT _owner, _range, count(*) AS n, max(_parts) AS parts FROM _owned GROUP BY _owner, _range
-), _offsets AS (
-  SELECT _owner, _range, explode(sequence(0, parts - 1)) AS _part, above FROM (
-    SELECT *, coalesce(sum(n) OVER (PARTITION BY _owner ORDER BY _range DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
-    FROM _sizes)
-), _inside AS (
-  SELECT *, rank() OVER (PARTITION BY _owner, _range, _part ORDER BY _value DESC NULLS FIRST) AS inside FROM _owned
-)
-SELECT i.* EXCEPT (_value, _range, _part, _parts, _owner, inside), o.above + i.inside AS {rank_name}
-FROM _inside i JOIN _offsets o ON i._owner = o._owner AND i._range = o._range AND i._part = o._part"""
-
-
-def add_rank(
-    df: DataFrame, metric: str, rank_name: str, keys: Sequence[str], partition_by: Sequence[str] = (), ranges: int | None = None,
-) -> DataFrame:
+    owner = [f"_o{i}" for i in range(len(partition_by))]
+    owners = "".join(f"{o}, " for o in owner)
+    renamed = "".join(f"{c} AS {o}, " for c, o in zip(partition_by, owner, strict=True))
+    groups = "PARTITION BY " + ", ".join(owner) if owner else ""
+    parts, joins, columns = [], [], []
+    for i, (metric, name) in enumerate(ranks.items()):
+        same = " AND ".join([f"v.{o} <=> a.{o}" for o in owner] + ["v._cell = a._cell"])
+        parts.append(f"""_values{i} AS (
+  SELECT {renamed}{metric} AS _v, {cell_sql(metric, "high")} AS _cell, count(*) AS _n FROM _source GROUP BY ALL
+), _above{i} AS (
+  SELECT {owners}_cell, coalesce(sum(sum(_n)) OVER ({groups} ORDER BY _cell DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _above
+  FROM _values{i} GROUP BY {owners}_cell
+), _ranks{i} AS (
+  SELECT {"".join(f"v.{o}, " for o in owner)}v._v, a._above + 1 + coalesce(sum(v._n) OVER (
+    PARTITION BY {"".join(f"v.{o}, " for o in owner)}v._cell ORDER BY v._v DESC NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _rank
+  FROM _values{i} v JOIN _above{i} a ON {same}
+)""")
+        on = " AND ".join([f"s.{c} <=> r{i}.{o}" for c, o in zip(partition_by, owner, strict=True)] + [f"s.{metric} <=> r{i}._v"])
+        joins.append(f"JOIN _ranks{i} r{i} ON {on}")
+        columns.append(f"r{i}._rank AS {name}")
+    return f"WITH _source AS ({source}), " + ", ".join(parts) + f"\nSELECT s.*, {', '.join(columns)} FROM _source s " + " ".join(joins)
+
+
+def add_ranks(df: DataFrame, ranks: Mapping[str, str], partition_by: Sequence[str] = ()) -> DataFrame:
     """:func:`rank_sql` of a DataFrame."""
-    spark = df.sparkSession
-    return spark.sql(rank_sql("SELECT * FROM {df}", metric, rank_name, keys, partition_by, ranges or range_count(spark)), df=df)
+    return df.sparkSession.sql(rank_sql("SELECT * FROM {df}", ranks, partition_by), df=df)
 
 
-def rows_at(df: DataFrame, mark: str, keys: Sequence[str], positions: Column, ranges: int | None = None) -> DataFrame:
-    """(position, mark) at the given 1-based positions of the order by the expression ``mark``, which no two rows share.
+def rows_at(written: DataFrame, metrics: Sequence[str], keys: Sequence[str], positions: Mapping[str, Sequence[int]]) -> dict[tuple[str, int], Row]:
+    """The rows of ``written`` at the given 1-based positions of the order by each metric and then ``keys``.
 
-    ``positions`` is an array, small and the same for all rows. Only the ranges that hold a position are sorted.
+    ``written`` is a table that is cheap to read again; ``keys`` make its rows distinct; NULLs come first. Metrics are compared
+    in one type that holds them all. Rows are counted by metric and cell; only cells that hold a wanted position are sorted,
+    all of them in one distributed sort that may cut a run of equal values anywhere; and a row's place in the sorted table
+    tells its position. What reaches the driver is one row for each position, cell that holds one, and sort task.
     """
-    spark = df.sparkSession
-    text = f"WITH {_placed_sql('SELECT * FROM {df}', mark, keys, ranges or range_count(spark))} SELECT _range, _value FROM _placed"
-    placed = spark.sql(text, df=df)
-    before = F.coalesce(
-        F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    wanted = (
-        placed.groupBy("_range").agg(F.count("*").alias("_rows"))  # two ranges per cut point at most
-        .withColumn("_before", before)
-        .withColumn("_positions", positions)  # as a column: lambdas take no subquery
-        .withColumn("_places", F.filter("_positions", lambda p: (p > F.col("_before")) & (p <= F.col("_before") + F.col("_rows"))))
-        .where(F.size("_places") > 0)
-        .select("_range", "_before", "_places")
-    )
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_value"))
-    return (
-        placed.join(F.broadcast(wanted), "_range")  # no more rows than positions
-        .withColumn("position", F.col("_before") + inside)
-        .where(F.array_contains(F.col("_places"), F.col("position")))
-        .select("position", F.col("_value").alias("mark"))
+    tall = written.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_metric"), F.col(m).alias("_value"), F.expr(cell_sql(m, "low")).alias("_cell"), *[F.col(k) for k in keys])
+        for i, m in enumerate(metrics)
+    ])).alias("r")).select("r.*")
+    wanted = [(i, p) for i, m in enumerate(metrics) for p in positions[m]]
+    if not wanted:
+        return {}
+    counts = tall.groupBy("_metric", "_cell").agg(F.count("*").alias("_n"))
+    up_to = F.sum("_n").over(Window.partitionBy("_metric").orderBy("_cell"))  # a few thousand cells a metric
+    holds = [(F.col("_metric") == i) & (F.col("_last") >= p) & (F.col("_last") - F.col("_n") < p) for i, p in wanted]
+    cells = counts.withColumn("_last", up_to).where(sum([h.cast("int") for h in holds], F.lit(0)) > 0).collect()
+    chosen = [(F.col("_metric") == c["_metric"]) & (F.col("_cell") == c["_cell"]) for c in cells]
+    order = [F.col("_metric").asc(), F.col("_value").asc_nulls_first(), *[F.col(k).asc_nulls_first() for k in keys]]
+    kept = tall.where(sum([c.cast("int") for c in chosen], F.lit(0)) > 0)
+    laid = settle(kept.sort(*order).withColumn("_slot", F.monotonically_increasing_id()), "cells")
+    runs = (
+        laid.groupBy("_metric", "_cell", F.shiftright("_slot", _TASK_BITS).alias("_task"))
+        .agg(F.min("_slot").alias("first"), F.count("*").alias("n")).orderBy("_metric", "_cell", "_task").collect()
     )
+    slots = {}
+    for i, p in wanted:
+        cell = next(c for c in cells if c["_metric"] == i and c["_last"] - c["_n"] < p <= c["_last"])
+        left = p - (cell["_last"] - cell["_n"])
+        for run in runs:
+            if (run["_metric"], run["_cell"]) == (i, cell["_cell"]):
+                if left <= run["n"]:
+                    slots[metrics[i], p] = run["first"] + left - 1
+                    break
+                left -= run["n"]
+    found = {r["_slot"]: r for r in laid.where(F.col("_slot").isin(list(slots.values()))).collect()}
+    return {place: found[slot] for place, slot in slots.items()}
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tillflow.functions import total_or_zero
 from tillflow.operators.ranking import rows_at
+from tillflow.scratch import settle
 
 CUSTOMER = ("customer_id", "customer_name", "segment")
 BINS = 5
@@ -33,14 +36,12 @@ def rfm_base(selected: DataFrame) -> DataFrame:
     )
 
 
-def quintile_ends(n):
-    """Last position of bins 1 to 4 when positions 1..n are cut at equal quantiles; of a number or a column.
+def quintile_ends(n: int) -> list[int]:
+    """Last position of bins 1 to 4 when positions 1..n are cut at equal quantiles.
 
     Quantile j of the positions is 1 + (n - 1) * j / 5 and bins are closed on the right. Unlike
     ``ntile``, which evens out group sizes.
     """
-    if isinstance(n, Column):
-        return [F.floor((n - 1) * j / BINS).cast("long") + 1 for j in range(1, BINS)]
     return [1 + (n - 1) * j // BINS for j in range(1, BINS)]
 
 
@@ -53,28 +54,29 @@ def _common_type(base: DataFrame) -> T.DataType:
 def rfm_scores(base: DataFrame) -> DataFrame:
     """Adds r_score, f_score and m_score, 1 to 5; equal values are split in customer order.
 
-    A score depends only on whether a customer lies beyond the last row of each bin. Those twelve boundary rows of the
-    order by (metric, value, customer) are a scalar subquery; the scores are then a comparison with its fields, with
-    neither a window over all customers nor a join. Values are compared as they are, not rounded.
+    A score depends only on whether a customer lies beyond the last row of each bin, in the order by value and customer.
+    The customers are written once; the twelve rows at the bin ends are looked up in that table and become constants, so
+    scoring is a comparison, with neither a window nor a join over the customers. Values are compared as they are, not
+    rounded.
     """
     metrics, dtype = ("recency", "frequency", "monetary"), _common_type(base)
-
-    def mark(i: int, metric: str) -> Column:
-        return F.struct(F.lit(i).alias("metric"), F.col(metric).cast(dtype).alias("value"), *[F.col(c) for c in CUSTOMER])
-
-    tall = base.select(F.explode(F.array(*[mark(i, m) for i, m in enumerate(metrics)])).alias("m"))
-    tall = tall.select("m", F.col("m.metric").alias("metric"), *[F.col(f"m.{c}").alias(c) for c in CUSTOMER])
-    customers = base.agg(F.count("*")).scalar()
-    places = [[F.lit(i) * customers + end for end in quintile_ends(customers)] for i in range(len(metrics))]
+    written = settle(base, "customers")
+    ends = quintile_ends(written.count())
+    alike = written.select(*CUSTOMER, *[F.col(m).cast(dtype).alias(m) for m in metrics])
     # A single customer is the last of every bin, so places may repeat.
-    ends = rows_at(tall, "m", ["metric", *CUSTOMER], F.array_distinct(F.array(*sum(places, []))))
-    limits = ends.agg(F.map_from_entries(F.collect_list(F.struct("position", "mark")))).scalar()  # 12 rows at most
+    limits = rows_at(alike, metrics, CUSTOMER, {m: sorted(set(ends)) if ends[0] > 0 else [] for m in metrics})
+
+    def mark(value: Column, customer: Sequence[Column]) -> Column:
+        return F.struct(value.alias("value"), *[c.alias(k) for k, c in zip(CUSTOMER, customer, strict=True)])
 
-    def bin_of(i: int, metric: str) -> Column:
-        return sum([(mark(i, metric) > F.element_at(limits, place)).cast("int") for place in places[i]], F.lit(1))
+    def bin_of(metric: str) -> Column:
+        mine = mark(F.col(metric).cast(dtype), [F.col(c) for c in CUSTOMER])
+        found = [limits[metric, end] for end in ends if (metric, end) in limits]
+        marks = [mark(F.lit(r["_value"]).cast(dtype), [F.lit(r[c]).cast(base.schema[c].dataType) for c in CUSTOMER]) for r in found]
+        return sum([(mine > m).cast("int") for m in marks], F.lit(1))
 
-    bins = [bin_of(i, m) for i, m in enumerate(metrics)]
-    return base.withColumns({"r_score": BINS + 1 - bins[0], "f_score": bins[1], "m_score": bins[2]})
+    bins = [bin_of(m) for m in metrics]
+    return written.withColumns({"r_score": BINS + 1 - bins[0], "f_score": bins[1], "m_score": bins[2]})
 
 
 def rfm_segments(scored: DataFrame) -> DataFrame:

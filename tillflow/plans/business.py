@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillflow.functions import ratio
-from tillflow.operators.ranking import add_rank
+from tillflow.operators.ranking import add_ranks
 from tillflow.plans.metrics import margin, orders_count, profit_sum, sales_sum
 from tillflow.plans.views import calendar_order
 
@@ -38,7 +38,7 @@ def segment_customer_rank(orders: DataFrame) -> DataFrame:
     """Customers ranked inside their segment. A segment may hold most customers, so it is split."""
     keys = ("segment", "customer_name")
     customers = orders.groupBy(*keys).agg(sales_sum(), profit_sum())
-    ranked = add_rank(customers, "total_sales", "customer_rank", keys=keys, partition_by=("segment",))
+    ranked = add_ranks(customers, {"total_sales": "customer_rank"}, partition_by=("segment",))
     # The name lets the sort split a run of equal totals.
     return ranked.orderBy(F.asc_nulls_last("segment"), _BY_SALES("total_sales"), "customer_name")
 
@@ -46,9 +46,8 @@ def segment_customer_rank(orders: DataFrame) -> DataFrame:
 def product_double_rank(orders: DataFrame) -> DataFrame:
     keys = ("product_name", "category", "sub_category")
     products = orders.groupBy(*keys).agg(sales_sum(), profit_sum())
-    by_sales = add_rank(products, "total_sales", "sales_rank", keys=keys)
-    both = add_rank(by_sales, "total_profit", "profit_rank", keys=keys)
-    return both.orderBy(_BY_SALES("total_sales"), *keys)
+    ranked = add_ranks(products, {"total_sales": "sales_rank", "total_profit": "profit_rank"})
+    return ranked.orderBy(_BY_SALES("total_sales"), *keys)
 
 
 def shipping_efficiency(orders: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillflow.operators.ranking import range_count, rank_sql
+from tillflow.operators.ranking import rank_sql
 
 # Columns of the detail view, and the ship modes that count as priority.
 _DETAIL = (
@@ -41,8 +41,8 @@ def _few_ranked(key: str, metric: str, name: str) -> str:
     return f"SELECT *, CAST(rank() OVER (ORDER BY {metric} DESC NULLS FIRST) AS BIGINT) AS {name} FROM ({_grouped((key,))})"
 
 
-def view_sql(ranges: int) -> dict[str, str]:
-    """The text of every view over ``{orders}``; customers and products are ranked in so many ranges."""
+def view_sql() -> dict[str, str]:
+    """The text of every view over ``{orders}``."""
     return {
         # Grand totals are scalar subqueries: a window over no partition would move every line to one task.
         "vw_sales_summary": f"""SELECT {', '.join(_DETAIL)}, (SELECT sum(sales) FROM {{orders}}) AS total_sales_all_rows,
@@ -56,8 +56,8 @@ FROM (SELECT order_year, order_month, order_month_name, sum(sales) AS total_sale
 {_BY_MONTH}""",
         "vw_region_performance": _few_ranked("region", "total_sales", "sales_rank"),
         "vw_category_performance": _few_ranked("category", "total_profit", "profit_rank"),
-        "vw_customer_summary": rank_sql(_grouped(CUSTOMER_KEYS), "total_sales", "sales_rank", CUSTOMER_KEYS, ranges=ranges),
-        "vw_product_performance": rank_sql(_grouped(PRODUCT_KEYS), "total_profit", "profit_rank", PRODUCT_KEYS, ranges=ranges),
+        "vw_customer_summary": rank_sql(_grouped(CUSTOMER_KEYS), {"total_sales": "sales_rank"}),
+        "vw_product_performance": rank_sql(_grouped(PRODUCT_KEYS), {"total_profit": "profit_rank"}),
         "vw_shipping_analysis": f"""SELECT ship_mode, {_CORE}, avg(shipping_days) AS avg_shipping_days,
   CASE WHEN ship_mode IN {PRIORITY_MODES} THEN 'Priority' ELSE 'Standard' END AS shipping_group
 FROM {{orders}} GROUP BY ship_mode""",
@@ -67,7 +67,7 @@ FROM {{orders}} GROUP BY ship_mode""",
 def _view(name: str) -> Callable[[DataFrame], DataFrame]:
     def build(orders: DataFrame) -> DataFrame:
         spark = orders.sparkSession
-        return spark.sql(view_sql(range_count(spark))[name], orders=orders)
+        return spark.sql(view_sql()[name], orders=orders)
 
     return build
 
@@ -80,12 +80,12 @@ customer_summary = _view("vw_customer_summary")
 product_performance = _view("vw_product_performance")
 shipping_analysis = _view("vw_shipping_analysis")
 
-VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {name: _view(name) for name in view_sql(2)}
+VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {name: _view(name) for name in view_sql()}
 
 
 def register_views(spark: SparkSession, table: str = "retail_orders") -> list[str]:
     """Make every view of ``table`` available to ``spark.sql``; returns their names. Nothing is computed before a view is
     read, and loads of the table show without registering again."""
-    for name, text in view_sql(range_count(spark)).items():
+    for name, text in view_sql().items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS {text.format(orders=table)}")
     return list(VIEWS)
