@@ -283,26 +283,26 @@ def similar_components(marked: DataFrame, texts: DataFrame, shingle_words: int =
         .select("digest", F.col("m.row").alias("node"), "m.key", "m.n_shingles", "m.registers"), "sets_of_shingles",
     )
     members = settle(_bands(nodes), "buckets")
-    wanted = members.select("node").distinct().join(nodes, "node").select("node", "key")
-    chosen = texts.join(settle(wanted, "candidates"), "key").select("node", "text")
+    met_nodes = settle(members.select("node").distinct().join(nodes.drop("digest"), "node"), "candidates")
+    chosen = texts.join(met_nodes.select("node", "key"), "key").select("node", "text")
     sets = settle(_add_sets(chosen, shingle_words).dropDuplicates(["node"]), "shingles")
 
     hubs = members.groupBy("band").agg(F.min("node").alias("hub"))
     met = settle(members.join(hubs, "band").where("node != hub").select("node", "hub").distinct(), "met")
     first = met.groupBy("node").agg(F.min("hub").alias("v")).select(F.col("node").alias("u"), "v")
-    links = settle(_verified(settle(_likely(first, nodes, percent), "likely"), sets, percent), "links")
+    links = settle(_verified(settle(_likely(first, met_nodes, percent), "likely"), sets, percent), "links")
     labels = component_labels(links)
 
     apart = _labelled(_labelled(met, labels), labels, "hub", "hub_label").where("label != hub_label")
     second = apart.select(F.col("node").alias("u"), F.col("hub").alias("v")).join(first, ["u", "v"], "left_anti")
-    links = settle(_verified(settle(_likely(second, nodes, percent), "likely"), sets, percent), "links")
+    links = settle(_verified(settle(_likely(second, met_nodes, percent), "likely"), sets, percent), "links")
     labels = component_labels(_joined(labels, links))
 
     mixed = _mixed_buckets(members, labels)
     seen = met.select(F.col("node").alias("u"), F.col("hub").alias("v"))
     third = _pairs_of_small_buckets(mixed).join(seen, ["u", "v"], "left_anti")
-    links = settle(_verified(settle(_likely(third, nodes, percent), "likely"), sets, percent), "links")
-    more = settle(_links_of_large_buckets(mixed, nodes, sets, percent), "links")
+    links = settle(_verified(settle(_likely(third, met_nodes, percent), "likely"), sets, percent), "links")
+    more = settle(_links_of_large_buckets(mixed, met_nodes, sets, percent), "links")
     labels = component_labels(_joined(labels, links.unionByName(more)))
     return _labelled(nodes.select("digest", "node"), labels)
 
