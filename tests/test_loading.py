@@ -10,7 +10,7 @@ from tillflow import scratch
 from tillflow.operators.loading import align_schema, key_violations, prepare_for_load, summarize_violations, to_warehouse
 from tillflow.plans.refresh import load_orders, refresh_warehouse
 from tillflow.schema import CLEAN_TYPES, EXPECTED_COLUMNS, WAREHOUSE_SCHEMA
-from tillflow.sources import csv_files, warehouse
+from tillflow.sources import csv_files, versions, warehouse
 
 ENRICHED = dict(zip(EXPECTED_COLUMNS, (
     "1", "QX-2017-000417", "2017-03-14", "2017-03-17", "Standard Class", "OQ-00031", "Ora Quill", "Corporate",
@@ -162,7 +162,7 @@ def test_database_options():
     assert options["partitionColumn"] == "row_id" and options["numPartitions"] == "8"
 
 
-def test_year_bounds_skip_folders(spark, tmp_path):
+def test_year_bounds_skip_loads(spark, tmp_path):
     from tillflow.operators.filters import Selection, select_orders
 
     rows = typed(text_rows(spark, *[{"row_id": str(y), "order_date": f"{y}-05-01", "order_year": str(y)} for y in range(2010, 2020)]))
@@ -171,35 +171,105 @@ def test_year_bounds_skip_folders(spark, tmp_path):
     picked = select_orders(orders, Selection(regions=("North",), start=dt.date(2012, 5, 1), end=dt.date(2014, 4, 30)))
     assert sorted(r.order_year for r in picked.collect()) == [2012, 2013]
     plan = picked.select("sales")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(order_year" in plan and "In(region" not in plan.split("PartitionFilters")[0]
+    assert "PartitionFilters: [isnotnull(order_year" in plan or "isnotnull(order_year" in plan.split("PartitionFilters")[1] and "In(region" not in plan.split("PartitionFilters")[0]
     assert "PushedFilters: [" in plan and "region" in plan.split("PushedFilters")[1]
     assert "product_name" not in plan.split("ReadSchema")[1]
 
 
-def folders(spark, table):
-    base = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")) / f"{table}.versions"
-    return [p for p in base.iterdir()] if base.exists() else []
+def loads(spark, table):
+    base = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")) / f"{table}.versions" / "data"
+    return sorted(p.name for p in base.iterdir()) if base.exists() else []
 
 
-def test_one_copy_stays_and_discard_does_not_touch_it(spark, tmp_path, monkeypatch):
+def test_old_versions_go_later_and_discard_does_not_touch_them(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch, "shared_folder", lambda _: str(tmp_path / "shared"))
     raw = write_rows(tmp_path / "raw.csv", [{"Row ID": "1"}, {"Row ID": "2", "City": "Westmere"}])
     for _ in range(3):
         refresh_warehouse(spark, raw, "t_copies")
-    assert len(folders(spark, "t_copies")) == 1
+    assert len(loads(spark, "t_copies")) == 3  # replaced less than a day ago
+    base = warehouse._base(spark, "t_copies")
+    stray = versions.load_folder(base, "vstray")
+    spark.range(1).write.parquet(stray)
+    assert len(versions.vacuum(spark, base, keep_versions=2, keep_hours=0)) == 2  # the oldest load and the stray one
+    assert len(loads(spark, "t_copies")) == 2 and [v.number for v in versions.versions(spark, base)] == [2, 3]
     kept = scratch.settle(spark.range(3), "kept")
     assert kept.count() == 3
     scratch.discard(spark)
     assert not list((tmp_path / "shared").glob("*/*"))
     assert warehouse.scan_warehouse(spark, "t_copies").count() == 2
     warehouse.drop_warehouse(spark, "t_copies")
-    assert folders(spark, "t_copies") == [] and not spark.catalog.tableExists("t_copies")
+    assert loads(spark, "t_copies") == [] and not spark.catalog.tableExists("t_copies")
+
+
+def test_a_query_goes_on_over_a_load(spark):
+    """A report that was planned before a load finishes after it, with the old rows."""
+    warehouse.load_warehouse(typed(text_rows(spark, {"row_id": "1"}, {"row_id": "2"})), "t_reader")
+    before = warehouse.scan_warehouse(spark, "t_reader").select("row_id")
+    before._jdf.queryExecution().executedPlan()
+    warehouse.load_warehouse(typed(text_rows(spark, {"row_id": "7"})), "t_reader")
+    warehouse.append_warehouse(typed(text_rows(spark, {"row_id": "8"})), "t_reader")
+    assert sorted(r.row_id for r in before.collect()) == [1, 2]
+    assert sorted(r.row_id for r in warehouse.scan_warehouse(spark, "t_reader").collect()) == [7, 8]
+
+
+def test_another_session_finds_the_table(spark, tmp_path):
+    """A catalog without the table, and one whose view is behind."""
+    path = str(tmp_path / "table")
+    warehouse.load_warehouse(typed(text_rows(spark, {"row_id": "1"}, {"row_id": "2"})), "t_shared", path)
+    spark.sql("DROP VIEW t_shared")
+    assert not warehouse.open_warehouse(spark, "t_shared")  # not in its usual place
+    assert warehouse.scan_warehouse(spark, "t_shared", path).count() == 2
+    # Another session's load is an entry of the log that this catalog knows nothing of.
+    load = versions.new_load()
+    warehouse._write(to_warehouse(typed(text_rows(spark, {"row_id": "3"}))), versions.load_folder(path, load))
+    assert versions.commit(spark, path, versions.current(spark, path), (load,)).number == 2
+    assert warehouse.scan_warehouse(spark, "t_shared").count() == 1
+    warehouse.load_warehouse(typed(text_rows(spark, {"row_id": "4"})), "t_shared", keep_versions=1, keep_hours=0)
+    assert [v.number for v in versions.versions(spark, path)] == [3] and len(list((tmp_path / "table" / "data").iterdir())) == 1
+
+
+def test_writers_at_the_same_time(spark, monkeypatch):
+    """An append whose version number another writer takes first follows that writer's version."""
+    warehouse.load_warehouse(typed(text_rows(spark, {"row_id": "1"})), "t_race")
+    point, raced = warehouse._point, []
+
+    def slow(session, table, base, *more):
+        if not raced:
+            raced.append(True)
+            other = versions.new_load()
+            warehouse._write(to_warehouse(typed(text_rows(spark, {"row_id": "2"}))), versions.load_folder(base, other))
+            now = versions.current(spark, base)
+            assert versions.commit(spark, base, now, (*now.loads, other))
+        point(session, table, base, *more)
+
+    monkeypatch.setattr(warehouse, "_point", slow)
+    warehouse.append_warehouse(typed(text_rows(spark, {"row_id": "3"})), "t_race")
+    monkeypatch.undo()
+    assert sorted(r.row_id for r in warehouse.scan_warehouse(spark, "t_race").collect()) == [1, 2, 3]
+    raced.clear()
+    monkeypatch.setattr(warehouse, "_point", slow)
+    with pytest.raises(ValueError, match="row_id repeats"):  # the other writer's row has the same id
+        warehouse.append_warehouse(typed(text_rows(spark, {"row_id": "2"})), "t_race")
+
+
+def test_a_cut_off_log_entry_is_passed_over(spark, tmp_path):
+    path = tmp_path / "table"
+    warehouse.load_warehouse(typed(text_rows(spark, {"row_id": "1"})), "t_cut", str(path))
+    (path / "_log" / "000000000002.json").write_text('{"loads": ["v')
+    assert warehouse.scan_warehouse(spark, "t_cut").count() == 1
+
+
+def test_batches_are_appended_once(spark):
+    for batch, rows in ((0, {"row_id": "1"}), (0, {"row_id": "1"}), (1, {"row_id": "2"}), (0, {"row_id": "1"})):
+        warehouse.append_warehouse(typed(text_rows(spark, rows)), "t_batches", batch=("daily", batch))
+    assert sorted(r.row_id for r in warehouse.scan_warehouse(spark, "t_batches").collect()) == [1, 2]
+    assert len(loads(spark, "t_batches")) == 2
 
 
 def test_a_failed_switch_leaves_the_old_table(spark, monkeypatch):
     rows = typed(text_rows(spark, {"row_id": "1"}, {"row_id": "2"}))
     warehouse.load_warehouse(rows, "t_switch")
-    before = folders(spark, "t_switch")
+    before = loads(spark, "t_switch")
     run = type(spark).sql
 
     def broken(self, text, *args, **named):
@@ -211,7 +281,7 @@ def test_a_failed_switch_leaves_the_old_table(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="no catalog"):
         warehouse.load_warehouse(typed(text_rows(spark, {"row_id": "7"})), "t_switch")
     monkeypatch.undo()
-    assert folders(spark, "t_switch") == before
+    assert loads(spark, "t_switch") == before
     assert warehouse.scan_warehouse(spark, "t_switch").count() == 2
 
 
@@ -220,7 +290,7 @@ def test_processed_files_and_table_in_one_call(spark, tmp_path):
     report = refresh_warehouse(spark, raw, "t_both", str(tmp_path / "table"), str(tmp_path / "out"), date_format="M/d/yyyy").first()
     assert (report.source_rows, report.rows_after_cleaning, report.invalid_quantity, report.missing_values["order_date"]) == (3, 2, 1, 1)
     assert csv_files.read_processed(spark, str(tmp_path / "out")).count() == 2
-    assert warehouse.scan_warehouse(spark, "t_both").count() == 2 and len(list((tmp_path / "table").iterdir())) == 1
+    assert warehouse.scan_warehouse(spark, "t_both").count() == 2 and len(list((tmp_path / "table" / "data").iterdir())) == 1
 
 
 def test_processed_text_is_loaded(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from tillflow.operators.cleaning import COPIES, fold_copies, quality_report, report_counts, report_from_counts, standardize
 from tillflow.operators.features import engineer_features
 from tillflow.sources.csv_files import read_processed, read_raw, write_processed
-from tillflow.sources.warehouse import TABLE, load_warehouse, scan_jdbc, scan_warehouse
+from tillflow.sources.warehouse import TABLE, load_warehouse, open_warehouse, scan_jdbc, scan_warehouse
 
 
 def _folded(spark: SparkSession, raw_path: str, date_format: str, multi_line: bool) -> DataFrame:
@@ -107,7 +107,7 @@ def load_orders(
     """
     if database is not None:
         return scan_jdbc(spark, database)
-    if table is not None and spark.catalog.tableExists(table):
+    if table is not None and open_warehouse(spark, table):
         return scan_warehouse(spark, table)
     if processed is not None and _exists(spark, processed):
         return read_processed(spark, processed, file_format)

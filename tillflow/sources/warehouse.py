@@ -2,79 +2,172 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillflow.operators.loading import key_violations, prepare_for_load, summarize_violations, to_warehouse
-from tillflow.schema import EXPECTED_COLUMNS, WAREHOUSE_TYPES
+from tillflow.schema import EXPECTED_COLUMNS, WAREHOUSE_SCHEMA, WAREHOUSE_TYPES
 from tillflow.scratch import delete
+from tillflow.sources import versions
+from tillflow.sources.versions import KEEP_HOURS, KEEP_VERSIONS, Version
 
 TABLE = "retail_orders"
-_FOLDER_PROPERTY = "tillflow.folder"
+_BASE_PROPERTY, _VERSION_PROPERTY = "tillflow.base", "tillflow.version"
 
 
-def _current_folder(spark: SparkSession, table: str) -> str | None:
-    """Folder that the table reads from, if it is one of ours."""
+def _properties(spark: SparkSession, table: str) -> dict[str, str]:
+    """Properties of the catalog's view of a table; none if there is no such view."""
     if not spark.catalog.tableExists(table):
-        return None
-    found = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == _FOLDER_PROPERTY).collect()
-    return found[0]["value"] if found else None
+        return {}
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+
+
+def _base(spark: SparkSession, table: str, path: str | None = None) -> str:
+    """The folder of a table: the one that is named, else that of its view, else one beside the session's tables."""
+    default = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{table}.versions"
+    return (path or _properties(spark, table).get(_BASE_PROPERTY) or default).rstrip("/")
+
+
+def _among(loads: tuple[str, ...]) -> str:
+    return f"load IN ({', '.join(repr(x) for x in loads)})"
+
+
+def _point(spark: SparkSession, table: str, base: str, loads: tuple[str, ...], number: int) -> None:
+    """Point the catalog's view of a table to the loads of a version, in one statement."""
+    # The type of a folder's value is inferred from its name.
+    columns = [f"CAST({c} AS {t.simpleString()}) AS {c}" if c == "order_year" else c for c, t in WAREHOUSE_TYPES.items()]
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {table} TBLPROPERTIES ('{_BASE_PROPERTY}' = '{base}', '{_VERSION_PROPERTY}' = '{number}') "
+        f"AS SELECT {', '.join(columns)} FROM parquet.`{base}/{versions.DATA}` WHERE {_among(loads)}"
+    )
+
+
+def _rows_of(spark: SparkSession, base: str, loads: tuple[str, ...]) -> DataFrame:
+    schema = f"{WAREHOUSE_SCHEMA.toDDL()}, load string"
+    return spark.read.schema(schema).parquet(f"{base}/{versions.DATA}").where(_among(loads))
+
+
+def open_warehouse(spark: SparkSession, table: str = TABLE, path: str | None = None) -> bool:
+    """Make the newest version of a table the one that its view shows; whether there is such a table.
+
+    The log in the table's folder tells what the newest version is, so a session with an empty catalog, or one whose view
+    was made before another session's load, finds the table as it is now.
+    """
+    base = _base(spark, table, path)
+    version = versions.current(spark, base)
+    if version is None:
+        return spark.catalog.tableExists(table)
+    shown = _properties(spark, table)
+    if (shown.get(_BASE_PROPERTY), shown.get(_VERSION_PROPERTY)) != (base, str(version.number)):
+        _point(spark, table, base, version.loads, version.number)
+    return True
+
+
+def _write(rows: DataFrame, folder: str) -> None:
+    (
+        rows.sortWithinPartitions("order_year", "order_date", "region", "category")
+        .write.partitionBy("order_year")
+        .parquet(folder)
+    )
+
+
+def _refuse(violations: DataFrame, what: str) -> None:
+    if broken := summarize_violations(violations):
+        raise ValueError(f"{what} rejected, table keys are violated. {'; '.join(broken)}")
 
 
 def load_warehouse(
     enriched: DataFrame, table: str = TABLE, path: str | None = None, check_keys: bool = True,
-    before_write: Callable[[DataFrame], DataFrame] | None = None,
+    before_write: Callable[[DataFrame], DataFrame] | None = None, keep_versions: int = KEEP_VERSIONS, keep_hours: float = KEEP_HOURS,
 ) -> None:
     """Replace ``table`` by ``enriched``.
 
-    A table is a view of one folder below ``path``, by default beside the session's warehouse tables. A load fills a new
-    folder, checks the keys there, and then points the view to it in one statement: readers see the old or the new
-    table, two loads do not collide, and a load that fails leaves nothing behind. The old folder goes last. Files lie in
-    one folder per year, in date order within a task, so that a date range skips folders, row groups and pages.
+    A table is a view of the newest version in a folder, ``path`` or one beside the session's warehouse tables. A load fills
+    a folder of its own, checks the keys there, and then adds the version to the log and points the view to it: readers see
+    the old or the new table, a load that fails leaves nothing behind, and of two loads at the same time both take place,
+    one after the other. Old versions stay for queries that read them until a later load finds more than
+    ``keep_versions`` and that they were replaced ``keep_hours`` ago; see :func:`~tillflow.sources.versions.vacuum`. Files
+    lie in one folder per year, in date order within a task, so that a date range skips folders, row groups and pages.
     ``rebalance`` sizes the files and splits a year that holds most of the rows. ``before_write`` is applied after it, to
     the rows as they are written.
     """
     spark = enriched.sparkSession
-    base = path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{table}.versions"
-    folder, old = f"{base.rstrip('/')}/{uuid.uuid4().hex}", _current_folder(spark, table)
+    base, load = _base(spark, table, path), versions.new_load()
+    folder = versions.load_folder(base, load)
     try:
         rows = enriched.hint("rebalance", "order_year")
         rows = to_warehouse(before_write(rows) if before_write else rows)
-        (
-            rows.sortWithinPartitions("order_year", "order_date", "region", "category")
-            .write.partitionBy("order_year")
-            .parquet(folder)
-        )
-        fresh = spark.read.schema(rows.schema).parquet(folder)
-        if check_keys and (broken := summarize_violations(key_violations(fresh))):
-            raise ValueError(f"Load rejected, table keys are violated. {'; '.join(broken)}")
-        # The type of a folder's value is inferred from its name.
-        columns = [f"CAST({c} AS {t.simpleString()}) AS {c}" if c == "order_year" else c for c, t in WAREHOUSE_TYPES.items()]
-        spark.sql(
-            f"CREATE OR REPLACE VIEW {table} TBLPROPERTIES ('{_FOLDER_PROPERTY}' = '{folder}') "
-            f"AS SELECT {', '.join(columns)} FROM parquet.`{folder}`"
-        )
+        _write(rows, folder)
+        if check_keys:
+            _refuse(key_violations(_rows_of(spark, base, (load,)).select("row_id", "order_id")), "Load")
+        _publish(spark, table, base, lambda _: ((load,), {}))
     except BaseException:
         delete(spark, folder)
         raise
-    if old:
-        delete(spark, old)
+    versions.vacuum(spark, base, keep_versions, keep_hours)
+
+
+def _publish(spark: SparkSession, table: str, base: str, follow: Callable[[Version | None], tuple[tuple[str, ...], dict[str, int]] | None]) -> bool:
+    """Add the version that ``follow`` makes of the newest one, again until no other writer has come between; whether it
+    has made one. A view that cannot be pointed to it leaves the log as it was."""
+    while True:
+        before = versions.current(spark, base)
+        made = follow(before)
+        if made is None:
+            return False
+        number = before.number + 1 if before else 1
+        _point(spark, table, base, made[0], number)
+        try:
+            if versions.commit(spark, base, before, *made):
+                return True
+        except BaseException:
+            if before:
+                _point(spark, table, base, before.loads, before.number)
+            else:
+                spark.sql(f"DROP VIEW IF EXISTS {table}")
+            raise
+
+
+def append_warehouse(
+    enriched: DataFrame, table: str = TABLE, check_keys: bool = True, path: str | None = None, batch: tuple[str, int] | None = None,
+) -> bool:
+    """Add rows to the table; its keys must hold for old and new rows together. Returns whether rows were added.
+
+    The rows are a load of their own, and the new version names it beside the old ones, so readers see all of the rows or
+    none. ``batch``, the name of a stream and the number of its batch, makes the append idempotent: a batch that
+    the table's newest version already has is left out. With ``batch`` the table is made if it is not there.
+    """
+    spark = enriched.sparkSession
+    base, load = _base(spark, table, path), versions.new_load()
+    folder = versions.load_folder(base, load)
+    before = versions.current(spark, base)
+    if before is None and batch is None:
+        raise ValueError(f"There is no table {table} to add to.")
 
+    def has_batch(version: Version | None) -> bool:
+        return bool(batch and version and version.batches.get(batch[0], -1) >= batch[1])
 
-def append_warehouse(enriched: DataFrame, table: str = TABLE, check_keys: bool = True) -> None:
-    """Add rows to the table; its keys must hold for old and new rows together."""
-    spark, folder = enriched.sparkSession, _current_folder(enriched.sparkSession, table)
-    if folder is None:
-        raise ValueError(f"There is no table {table} to add to.")
-    rows = to_warehouse(enriched)
-    keys = ("row_id", "order_id")
-    if check_keys and (broken := summarize_violations(key_violations(spark.table(table).select(*keys).unionAll(rows.select(*keys))))):
-        raise ValueError(f"Rows rejected, table keys are violated. {'; '.join(broken)}")
-    laid = rows.hint("rebalance", "order_year").sortWithinPartitions("order_year", "order_date", "region", "category")
-    laid.write.mode("append").partitionBy("order_year").parquet(folder)
-    spark.sql(f"REFRESH TABLE {table}")
+    if has_batch(before):
+        return False
+    _write(to_warehouse(enriched).hint("rebalance", "order_year"), folder)
+
+    def follow(newest: Version | None):
+        if has_batch(newest):
+            return None
+        loads = (*(newest.loads if newest else ()), load)
+        if check_keys:
+            _refuse(key_violations(_rows_of(spark, base, loads).select("row_id", "order_id")), "Rows")
+        return loads, (newest.batches if newest else {}) | ({batch[0]: batch[1]} if batch else {})
+
+    try:
+        added = _publish(spark, table, base, follow)
+    except BaseException:
+        delete(spark, folder)
+        raise
+    if not added:
+        delete(spark, folder)
+    return added
 
 
 def load_processed(spark: SparkSession, path: str, table: str = TABLE) -> None:
@@ -85,16 +178,16 @@ def load_processed(spark: SparkSession, path: str, table: str = TABLE) -> None:
     load_warehouse(prepared.withColumns(dates), table)
 
 
-def drop_warehouse(spark: SparkSession, table: str = TABLE) -> None:
-    """Remove the table and its files."""
-    folder = _current_folder(spark, table)
+def drop_warehouse(spark: SparkSession, table: str = TABLE, path: str | None = None) -> None:
+    """Remove the table and its files, all versions."""
+    base = _base(spark, table, path)
     spark.sql(f"DROP VIEW IF EXISTS {table}")
-    if folder:
-        delete(spark, folder)
+    delete(spark, base)
 
 
-def scan_warehouse(spark: SparkSession, table: str = TABLE) -> DataFrame:
-    """The whole table, lazily: filters and column choices of later steps reach the files."""
+def scan_warehouse(spark: SparkSession, table: str = TABLE, path: str | None = None) -> DataFrame:
+    """The whole table as it is now, lazily: filters and column choices of later steps reach the files."""
+    open_warehouse(spark, table, path)
     return spark.table(table).select(*EXPECTED_COLUMNS)
 
 
