@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
-from itertools import chain, count
 from math import ceil
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Tokenizer
 
-from tillflow.llm.shared import add_python_columns, settle, text_bytes, worker_cache
+from tillflow.llm.shared import add_python_columns, settle, worker_cache
 
 CAPACITY = 4096
 END_ID = 2
@@ -25,7 +24,7 @@ CACHED_WORDS = 1 << 18  # pieces that a worker remembers; the often used ones st
 _MARK = b"\x1e"
 _LATIN_END, _DOTTED_I = "\u0250", "\u0130"  # below, characters are composed, and all but one have one lower case
 _WORDS_AT_ONCE = 1024
-_BYTES_AT_ONCE = 2 << 20
+_BYTES_AT_ONCE = 1 << 20
 
 
 class TokenIds:
@@ -60,15 +59,29 @@ class TokenIds:
 
     def forget(self) -> None:
         """Keep the pieces that were used most since the last time, half of the limit at most."""
-        most = CACHED_WORDS // 2
-        least = max(2, int(np.partition(self.uses, -most)[-most]) + 1) if len(self.uses) > most else 2
-        kept = np.flatnonzero(self.uses >= least)
-        words = list(self.place)
-        sizes = self.sizes[kept]
+        names, at = list(self.place), np.fromiter(self.place.values(), np.int64, len(self.place))
+        uses, most = self.uses[at], CACHED_WORDS // 2
+        least = max(2, int(np.partition(uses, -most)[-most]) + 1) if len(uses) > most else 2
+        kept = np.flatnonzero(uses >= least)
+        ids, sizes = self._gather(at[kept])
+        self.clear()
+        self._add([names[i] for i in kept.tolist()], ids, sizes)
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember pieces, whose ids follow each other."""
+        at = len(self.sizes)
+        self.place.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids = np.concatenate([self.ids, ids])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int32)])
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered pieces one after the other, and their numbers."""
+        sizes = self.sizes[at].astype(np.int64)
         ends = np.cumsum(sizes)
-        index = np.arange(int(sizes.sum())) + np.repeat(self.starts[kept] - ends + sizes, sizes)
-        self.place = {words[i]: at for at, i in enumerate(kept.tolist())}
-        self.ids, self.starts, self.sizes, self.uses = self.ids[index], ends - sizes, sizes, np.zeros(len(kept), np.int32)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.starts[at] - ends + sizes, sizes)], sizes
 
     def _encode(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
@@ -79,80 +92,86 @@ class TokenIds:
         counts = np.diff(np.flatnonzero(np.array([True, *[w == "\n" for w in found], True]))) - 1
         return [w for w in found if w != "\n"], counts
 
-    def _ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, each by itself, and where each word's ids end."""
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Ids of words that the tokenizer does not split or change, each by itself."""
         ids = []
         for at in range(0, len(words), _WORDS_AT_ONCE):
-            ids += self.plain.encode_batch_fast([" ".join(words[at : at + _WORDS_AT_ONCE])], add_special_tokens=False)[0].ids
+            text = b" ".join(words[at : at + _WORDS_AT_ONCE]).decode()
+            ids += self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids
         joined = np.array(ids, np.uint16)
-        ends = np.flatnonzero(self.ends[joined]) + 1
+        ends = np.flatnonzero(self.ends[joined])
         if len(ends) != len(words):
             raise ValueError("The tokenizer does not mark word ends.")
-        return joined, ends
+        self._add(words, joined, np.diff(np.append(-1, ends)))
 
-    def _ids_of_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of any pieces and their numbers, with a mark between any two."""
+    def _learn_any(self, pieces: list[bytes]) -> None:
+        """Ids of any pieces, which go to the tokenizer with a mark between any two."""
         marked = self._encode((b" " + _MARK + b" ").join(pieces))
         ends = np.append(np.flatnonzero(marked == self.mark[0]), len(marked))
         if len(ends) != len(pieces):
             raise ValueError("The tokenizer looks across white space.")
-        return np.delete(marked, ends[:-1]).astype(np.uint16), np.diff(np.append(-1, ends)) - 1
+        self._add(pieces, np.delete(marked, ends[:-1]).astype(np.uint16), np.diff(np.append(-1, ends)) - 1)
 
     def learn(self, new: list[bytes]) -> None:
-        """Ids of pieces not seen before."""
-        if not new:
-            return
+        """Ids of pieces not seen before. Pieces of several words are put together from the words' ids."""
         letters = [p for p in new if p.isalpha()]  # of bytes: A-Z and a-z only
         others = [p for p in new if not p.isalpha()]
         text = b"".join(others).decode()
         if text and (max(text) >= _LATIN_END or _DOTTED_I in text):
-            foreign = [max(t) >= _LATIN_END or _DOTTED_I in t for t in map(bytes.decode, others)]
+            foreign = [max(t, default="") >= _LATIN_END or _DOTTED_I in t for t in map(bytes.decode, others)]
         else:
             foreign = [False] * len(others)
         latin, left = ([p for p, f in zip(others, foreign, strict=True) if f is wanted] for wanted in (False, True))
         words, counts = self._words(latin) if latin else ([], np.zeros(0, np.int64))
-        joined, ends = self._ids_of_words(list(map(bytes.decode, letters)) + words)
-        of_pieces = np.cumsum(np.append(np.ones(len(letters), np.int64), counts))
-        sizes = np.diff(np.append(0, np.append(0, ends)[of_pieces]))
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        distinct = list(map(str.encode, number))
+        unknown = dict.fromkeys(letters)
+        unknown.update(dict.fromkeys(w for w in distinct if w not in self.place))
+        if unknown:
+            self._learn_words(list(unknown))
+        if latin:
+            places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+            at = places[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
+            np.add.at(self.uses, at, 1)
+            ids, sizes = self._gather(at)
+            ends = np.append(0, np.cumsum(sizes))[np.cumsum(np.append(0, counts))]
+            self._add(latin, ids, np.diff(ends))
         if left:
-            more, more_sizes = self._ids_of_pieces(left)
-            joined, sizes = np.append(joined, more), np.append(sizes, more_sizes)
-        base, at = len(self.ids), len(self.place)
-        self.place.update(zip(letters + latin + left, range(at, at + len(new)), strict=True))
-        self.ids = np.concatenate([self.ids, joined])
-        self.starts = np.concatenate([self.starts, base + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
-        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+            self._learn_any(left)
 
-    def of(self, texts: Sequence[bytes | None]) -> list[np.ndarray]:
+    def of(self, texts: pa.Array | Sequence[bytes | None]) -> list[np.ndarray]:
+        """Ids of each text, null being empty. Arrow splits the texts and numbers their distinct pieces."""
         if len(self.place) > CACHED_WORDS:
             self.forget()
-        lowered = [(t or b"").lower() for t in texts]
-        whole = [any(s in x for s in self.special) or _MARK in x for x in lowered]
-        words = [[] if w else x.split() for x, w in zip(lowered, whole, strict=True)]
-        number = defaultdict(count().__next__)  # a small dictionary for all words, and the large one for distinct ones
-        numbered = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)
-        self.learn([p for p in number if p not in self.place])
-        places = np.fromiter(map(self.place.__getitem__, number), np.int64, len(number))
-        np.add.at(self.uses, places, np.bincount(numbered, minlength=len(number)).astype(np.int32))
-        at = places[numbered]
-        sizes = self.sizes[at].astype(np.int64)
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.arange(int(sizes.sum())) + np.repeat(self.starts[at] - ends + sizes, sizes)].astype(np.uint32)
-        cuts = np.append(0, ends)[np.cumsum([0, *map(len, words)])].tolist()
-        return [self._encode(raw) if special else ids[cuts[i] : cuts[i + 1]] for i, (raw, special) in enumerate(zip(texts, whole, strict=True))]
-
-
-def _by_size(texts: Sequence[bytes | None]) -> Iterator[Sequence[bytes | None]]:
-    """The texts in groups of a bounded size, which bounds the memory for their pieces; a larger text is a group."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()).cast(pa.string())
+        lowered = pc.ascii_lower(column.fill_null(""))
+        whole = np.zeros(len(column), bool)
+        for text in (*self.special, _MARK):
+            whole |= pc.match_substring(lowered, text.decode()).to_numpy(zero_copy_only=False)
+        pieces = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", lowered))
+        numbered = pieces.flatten().dictionary_encode()
+        distinct = numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()  # may hold the empty piece, which has no ids
+        self.learn([p for p in distinct if p not in self.place])
+        places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        numbers = numbered.indices.to_numpy()
+        np.add.at(self.uses, places, np.bincount(numbers, minlength=len(distinct)).astype(np.int32))
+        at = places[numbers]
+        ids, sizes = self._gather(at)
+        ids, ends = ids.astype(np.uint32), np.cumsum(sizes)
+        cuts = np.append(0, ends)[np.cumsum(np.append(0, pc.list_value_length(pieces).to_numpy()))].tolist()
+        return [self._encode(column[i].as_py().encode()) if special else ids[cuts[i] : cuts[i + 1]] for i, special in enumerate(whole)]
+
+
+def _by_size(column: pa.Array) -> Iterator[pa.Array]:
+    """A text column in parts of a bounded size, which bounds the memory for their pieces; a larger text is a part."""
     begin, size = 0, 0
-    for at, text in enumerate(texts):
-        size += len(text or b"")
+    for at, length in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
+        size += length
         if size > _BYTES_AT_ONCE:
-            yield texts[begin : at + 1]
+            yield column.slice(begin, at + 1 - begin)
             begin, size = at + 1, 0
-    if begin < len(texts):
-        yield texts[begin:]
+    if begin < len(column):
+        yield column.slice(begin)
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -182,8 +201,7 @@ def tokenize_and_cut(docs: DataFrame, tokenizer_path: str, text: str = "text", c
 
         def cut(column):
             totals, pieces, kept = [], [], []
-            texts = text_bytes(column)
-            for group in _by_size(texts):
+            for group in _by_size(column):
                 for ids in ids_of.of(group):
                     full = np.append(ids, np.uint32(end_id)).astype("<u4")
                     spans = cut_points(len(full), capacity)
