@@ -229,14 +229,15 @@ def _links_in_block(percent: int):
     return run
 
 
-def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their component, of the buckets that hold more than one; with the bucket's rows n and its blocks."""
+def _mixed_buckets(members: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Members, with their component, of the buckets that hold more than one; with the bucket's hub, rows n and blocks."""
     labelled = settle(_labelled(members, labels), "labelled")
     size = F.sum("n_shingles") * 8
     mixed = (
         labelled.groupBy("band")
         .agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"), size.alias("bytes")).where("a < b")
-        .select("band", "n", F.greatest(F.ceil(F.col("n") / MEMBERS_TOGETHER), F.ceil(F.col("bytes") / BYTES_TOGETHER)).alias("blocks"))
+        .join(hubs, "band")
+        .select("band", "hub", "n", F.greatest(F.ceil(F.col("n") / MEMBERS_TOGETHER), F.ceil(F.col("bytes") / BYTES_TOGETHER)).alias("blocks"))
     )
     return settle(labelled.join(mixed, "band"), "mixed")
 
@@ -245,7 +246,14 @@ def _pairs_of_small_buckets(mixed: DataFrame) -> DataFrame:
     """Pairs (u, v) of different components in buckets of a few members."""
     few = mixed.where(F.col("n") <= FEW_MEMBERS)
     sides = [few.select("band", F.col("node").alias(x), F.col("label").alias(f"of_{x}")) for x in "uv"]
-    return sides[0].join(sides[1], "band").where("u > v AND of_u != of_v").select("u", "v").distinct()
+    return sides[0].join(sides[1], "band").where("u > v AND of_u != of_v").select("u", "v")
+
+
+def _pairs_with_hubs(mixed: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components of a member of a larger bucket and the bucket's smallest one."""
+    many = mixed.where(F.col("n") > FEW_MEMBERS)
+    of_hub = many.where("node = hub").select("band", F.col("label").alias("of_hub"))
+    return many.join(of_hub, "band").where("label != of_hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
 
 
 def _links_of_large_buckets(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -273,9 +281,9 @@ def similar_components(marked: DataFrame, texts: DataFrame, shingle_words: int =
 
     ``marked`` has a number (row), key and sketch of each row, ``texts`` its key and text. Candidates are the sets that
     share a band of registers. They are looked at in three steps, each on what is not connected yet: every set with the
-    smallest one that it meets; every set with the smallest one of each of its buckets; and then all members of those
-    buckets that still hold more than one component. So a bucket of thousands of near copies costs a pair each, and no
-    pair of different components that share a band goes unseen.
+    smallest one that it meets; in buckets that hold more than one component, all members of small ones with each other and
+    those of large ones with the smallest; and then all members of large buckets that still hold more than one. So a bucket
+    of thousands of near copies costs a pair each, and no pair of different components that share a band goes unseen.
     """
     nodes = settle(
         marked.where("n_shingles > 0").groupBy("digest")
@@ -287,23 +295,22 @@ def similar_components(marked: DataFrame, texts: DataFrame, shingle_words: int =
     chosen = texts.join(met_nodes.select("node", "key"), "key").select("node", "text")
     sets = settle(_add_sets(chosen, shingle_words).dropDuplicates(["node"]), "shingles")
 
-    hubs = members.groupBy("band").agg(F.min("node").alias("hub"))
-    met = settle(members.join(hubs, "band").where("node != hub").select("node", "hub").distinct(), "met")
-    first = met.groupBy("node").agg(F.min("hub").alias("v")).select(F.col("node").alias("u"), "v")
+    hubs = settle(members.groupBy("band").agg(F.min("node").alias("hub")), "hubs")
+    first = members.join(hubs, "band").where("node != hub").groupBy("node").agg(F.min("hub").alias("v"))
+    first = settle(first.select(F.col("node").alias("u"), "v"), "first")
     links = settle(_verified(settle(_likely(first, met_nodes, percent), "likely"), sets, percent), "links")
     labels = component_labels(links)
 
-    apart = _labelled(_labelled(met, labels), labels, "hub", "hub_label").where("label != hub_label")
-    second = apart.select(F.col("node").alias("u"), F.col("hub").alias("v")).join(first, ["u", "v"], "left_anti")
-    links = settle(_verified(settle(_likely(second, met_nodes, percent), "likely"), sets, percent), "links")
+    mixed = _mixed_buckets(members, labels, hubs)
+    told = _pairs_of_small_buckets(mixed).unionByName(_pairs_with_hubs(mixed)).distinct().join(first, ["u", "v"], "left_anti")
+    links = settle(_verified(settle(_likely(told, met_nodes, percent), "likely"), sets, percent), "links")
     labels = component_labels(_joined(labels, links))
 
-    mixed = _mixed_buckets(members, labels)
-    seen = met.select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    third = _pairs_of_small_buckets(mixed).join(seen, ["u", "v"], "left_anti")
-    links = settle(_verified(settle(_likely(third, met_nodes, percent), "likely"), sets, percent), "links")
-    more = settle(_links_of_large_buckets(mixed, met_nodes, sets, percent), "links")
-    labels = component_labels(_joined(labels, links.unionByName(more)))
+    large = members.join(mixed.where(F.col("n") > FEW_MEMBERS).select("band").distinct(), "band", "left_semi")
+    if not large.isEmpty():
+        mixed = _mixed_buckets(large, labels, hubs)
+        links = settle(_links_of_large_buckets(mixed, met_nodes, sets, percent), "links")
+        labels = component_labels(_joined(labels, links))
     return _labelled(nodes.select("digest", "node"), labels)
 
 
