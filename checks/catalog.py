@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from checks.workspace import COPY_OFFSET, Workspace, workspace
-from tillflow.operators import basket, cleaning, features, filters, loading, rfm
+from tillflow.operators import basket, cleaning, dates, features, filters, loading, rfm
 from tillflow.operators.filters import Selection
 from tillflow.plans import business, dashboard, exploration, refresh, views
 from tillflow.schema import RAW_NUMERIC_COLUMNS, TRIMMED_COLUMNS
@@ -85,6 +85,15 @@ def _broken_keys(ws: Workspace) -> DataFrame:
     )
 
 
+def _salvage(ws: Workspace) -> csv_files.Salvage:
+    return csv_files.salvage_raw(ws.spark, ws.broken_path)
+
+
+def _salvage_counts(ws: Workspace) -> DataFrame:
+    counts = _salvage(ws).counts
+    return ws.spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
+
+
 SOURCES: dict[str, Build] = {
     "scan_raw_csv": lambda ws: cleaning.normalize_headers(ws.raw),
     "null_tokens": lambda ws: cleaning.normalize_headers(cleaning.null_tokens(ws.raw)),
@@ -100,6 +109,10 @@ SOURCES: dict[str, Build] = {
     "prepare_for_load": lambda ws: loading.prepare_for_load(_enriched_raw(ws)),
     "register_views": _views_in_sql,
     "key_checks": _broken_keys,
+    "salvage_raw_lines": lambda ws: cleaning.normalize_headers(_salvage(ws).lines),
+    "salvage_rejected_lines": lambda ws: _salvage(ws).rejected.select(F.substring_index("line", ",", 1).alias("row_id")),
+    "salvage_counts": _salvage_counts,
+    "append_arrivals": lambda ws: ws.arrived_orders.select(*[c for c in ws.arrived_orders.columns if c != "row_id"]),
 }
 
 # ---- cleaning and quality report ------------------------------------------------------------
@@ -118,6 +131,8 @@ INVALID = ("invalid_sales", "invalid_quantity", "invalid_discount", "invalid_dat
 CLEANING: dict[str, Build] = {
     "coerce_numeric": lambda ws: _standardized(ws).select("row_id", *RAW_NUMERIC_COLUMNS),
     "coerce_dates": lambda ws: _standardized(ws).select("row_id", "order_date", "ship_date"),
+    "date_formats": lambda ws: dates.date_formats(ws.exports, by=["export"]).drop("tied"),
+    "parse_mixed_dates": lambda ws: dates.parse_mixed_dates(ws.exports, by=["export"]).select("row_id", "order_date", "ship_date"),
     "trim_text": lambda ws: _standardized(ws).select("row_id", *TRIMMED_COLUMNS),
     "dedup_ignoring_row_id": lambda ws: cleaning.dedup_ignoring_row_id(_standardized(ws)),
     "duplicate_rows": _report_columns("duplicate_rows"),
@@ -197,6 +212,7 @@ SELECTED_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "dash_weekend": dashboard.weekend,
     "mom_growth": dashboard.month_growth,
     "discount_margin_curve": dashboard.discount_margin_curve,
+    "discount_margin_correlation": dashboard.discount_margin_correlation,
     "basket_pairs": basket.top_basket_pairs,
     "basket_pairs_all": lambda df: basket.basket_pairs(df),
     "rfm_base": rfm.rfm_base,
@@ -233,12 +249,10 @@ def _on_refreshed_selected(report: Callable[[DataFrame], DataFrame]) -> Build:
 
 
 def _fine_money(ws: Workspace) -> DataFrame:
-    """Each customer's first line of the processed table, with sales that differ in the third and fourth place only."""
+    """All lines of the processed table, with sales that differ in the third and fourth place as well."""
     lines = _enriched_raw(ws)
-    first = lines.groupBy("customer_id").agg(F.min_by(F.struct(*lines.columns), "row_id").alias("line")).select("line.*")
-    number = F.substring("customer_id", 3, 18).cast("long") * 7919 % 100
-    sales = (F.lit(10) + number.cast("decimal(18,4)") / 10000).cast("decimal(28,4)")
-    return filters.select_orders(first.withColumn("sales", sales))
+    places = (F.col("row_id") * 7919 % 100).cast("decimal(18,4)") / 10000
+    return filters.select_orders(lines.withColumn("sales", (F.col("sales") + places).cast("decimal(28,4)")))
 
 
 ENRICHED_REPORTS: dict[str, Build] = {

@@ -344,6 +344,20 @@ _RFM = f"""SELECT *, CASE WHEN r_score >= 4 AND f_score >= 4 THEN '{CHAMPIONS}'
     WHEN r_score <= 2 THEN '{LOST}' ELSE '{NEW}' END AS rfm_segment
   FROM ({_RFM_SCORES})"""
 
+def _coefficient(x: str, y: str) -> str:
+    def spread(a: str, b: str) -> str:
+        s = [f"sum(CAST({v} AS HUGEINT))" for v in (a, b)]
+        return f"CAST(count(*) * sum(CAST({a} AS HUGEINT) * CAST({b} AS HUGEINT)) - {s[0]} * {s[1]} AS DOUBLE)"
+
+    alone = f"(sqrt({spread(x, x)}) * sqrt({spread(y, y)}))"
+    return half_even(f"{spread(x, y)} / nullif({alone}, 0)", 9)
+
+
+_CORRELATION = f"""SELECT count(*) AS lines, {_coefficient("x", "y")} AS pearson, {_coefficient("place_x", "place_y")} AS spearman FROM (
+  SELECT x, y, 2 * rank() OVER (ORDER BY x) + count(*) OVER (PARTITION BY x) AS place_x, 2 * rank() OVER (ORDER BY y) + count(*) OVER (PARTITION BY y) AS place_y
+  FROM (SELECT CAST(CAST(discount_percentage AS DECIMAL(9,4)) * 10000 AS BIGINT) AS x, CAST(CAST(profit_margin AS DECIMAL(9,4)) * 10000 AS BIGINT) AS y
+    FROM selected WHERE discount_percentage IS NOT NULL AND profit_margin IS NOT NULL))"""
+
 SELECTED_SQL = {
     "dash_kpis": f"""SELECT s AS total_sales, p AS total_profit, o AS total_orders,
   CASE WHEN s > 0 THEN p / s * 100 ELSE 0 END AS gross_margin, CASE WHEN o > 0 THEN s / o ELSE 0 END AS avg_order_value
@@ -375,6 +389,7 @@ FROM (SELECT *, CAST(lag(r) OVER ({_BY_MONTH}) AS DOUBLE) AS before FROM ({_MONT
     "discount_margin_curve": f"""SELECT CAST(discount_percentage AS DOUBLE) AS discount_percentage,
   CAST(sum(CAST(profit_margin AS DECIMAL(6,4))) AS DOUBLE) / nullif(count(profit_margin), 0) AS avg_margin, {O} AS orders
 FROM selected WHERE discount_percentage IS NOT NULL GROUP BY selected.discount_percentage""",
+    "discount_margin_correlation": _CORRELATION,
     "basket_pairs": f"""SELECT item_a || ' & ' || item_b AS sub_category_pair, order_count AS frequency
 FROM ({_PAIRS}) ORDER BY order_count DESC, first_order, item_a, item_b LIMIT 15""",
     "basket_pairs_all": _PAIRS,
@@ -454,6 +469,11 @@ _LOADED = ", ".join(
     for c in EXPECTED_COLUMNS
 )
 
+_NUMBER_OF_LINE = f"CAST(row_id AS BIGINT) % {COPY_OFFSET}"
+_SHORT = f"{_NUMBER_OF_LINE} % 151 = 0"
+_SURPLUS = f"{_NUMBER_OF_LINE} % 157 = 0 AND {_NUMBER_OF_LINE} % 151 <> 0"
+_SALVAGED = [f"CASE WHEN NOT ({_SHORT}) THEN {c} END AS {c}" if c in BASE[-2:] else c for c in BASE]
+
 OTHER_SQL = {
     "scan_raw_csv": on_raw("SELECT * FROM raw"),
     "null_tokens": _with(LINES, RAW, CLEAN)("SELECT * FROM nulled"),
@@ -477,6 +497,17 @@ OTHER_SQL = {
     {{'rule': 'order_id is null', 'n': count(*) FILTER (order_id IS NULL)}}]) AS v
   FROM {_BROKEN} GROUP BY row_id) WHERE v.n > 0"""
     ),
+    "salvage_raw_lines": on_raw(f"SELECT {', '.join(_SALVAGED)} FROM raw WHERE NOT ({_SURPLUS})"),
+    "salvage_rejected_lines": on_raw(f"SELECT row_id FROM raw WHERE {_SURPLUS}"),
+    "salvage_counts": on_raw(f"""SELECT count(*) AS lines_read, count(*) FILTER ({_SHORT}) AS lines_padded,
+  count(*) FILTER ({_SURPLUS}) AS lines_rejected FROM raw"""),
+    "append_arrivals": on_refreshed(_portable([c for c in EXPECTED_COLUMNS if c != "row_id"], "retail")),
+    "date_formats": on_clean(f"""SELECT export, column_name, CASE export WHEN '0' THEN 'M/d/yyyy' WHEN '1' THEN 'd.M.yyyy' ELSE 'yyyy-M-d' END AS format,
+  count(date) AS parsed, count(text) AS filled FROM (
+  SELECT CAST(row_id % 3 AS VARCHAR) AS export, unnest(['order_date', 'ship_date']) AS column_name,
+    unnest([s.order_date, s.ship_date]) AS date, unnest([n.order_date, n.ship_date]) AS text
+  FROM standard s JOIN (SELECT CAST(row_id AS BIGINT) AS row_id, order_date, ship_date FROM nulled) n USING (row_id)) GROUP BY export, column_name"""),
+    "parse_mixed_dates": on_clean("SELECT CAST(row_id AS VARCHAR) AS row_id, CAST(order_date AS VARCHAR) AS order_date, CAST(ship_date AS VARCHAR) AS ship_date FROM standard"),
     "coerce_numeric": on_clean(_portable(("row_id", *NUMBERS), "standard")),
     "coerce_dates": on_clean(_portable(("row_id", "order_date", "ship_date"), "standard")),
     "trim_text": on_clean(_portable(("row_id", *TRIMMED), "standard")),
@@ -506,8 +537,7 @@ UNION ALL SELECT count(*) = 0 FROM retail WHERE region = 'ASIA' AND segment = 'n
 
 
 _FINE = f"""fine AS (
-  SELECT * REPLACE (CAST(10 + CAST(CAST(substr(customer_id, 3) AS BIGINT) * 7919 % 100 AS DECIMAL(18,4)) / 10000 AS DECIMAL(28,4)) AS sales)
-  FROM enriched QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY row_id) = 1
+  SELECT * REPLACE (CAST(sales + CAST(row_id * 7919 % 100 AS DECIMAL(18,4)) / 10000 AS DECIMAL(28,4)) AS sales) FROM enriched
 ), selected AS (SELECT * FROM fine WHERE {_ALL_OPTIONS})"""
 ENRICHED_SQL = {
     "rfm_scores_enriched": _with(LINES, RAW, CLEAN, ENRICHED_RAW, _FINE)(_RFM_SCORES),

@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tillflow.operators.cleaning import normalize_headers, null_tokens
 from tillflow.operators.features import engineer_features
 from tillflow.operators.filters import Selection, select_orders
 from tillflow.plans.refresh import refresh_warehouse
@@ -14,6 +15,7 @@ from tillflow.scratch import new_path, settle
 from tillflow.sources.csv_files import RAW_ENCODING, read_raw, write_csv
 from tillflow.sources.star_schema import order_lines
 from tillflow.sources.warehouse import load_warehouse, scan_warehouse
+from tillflow.streaming.arrivals import append_arrivals
 
 COPY_OFFSET = 10_000_000
 
@@ -81,6 +83,51 @@ class Workspace:
         write_csv(with_defects(self.lines), path, RAW_ENCODING)
         return path
 
+    @cached_property
+    def broken_path(self) -> str:
+        """The raw files with lines that lack their last two fields, and lines with one too many."""
+        path, lines = new_path(self.spark, "broken"), with_defects(self.lines)
+        options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        whole, short = (F.to_csv(F.struct(*[F.col(f"`{h}`") for h in names]), options) for names in (RAW_HEADERS, RAW_HEADERS[:-2]))
+        number = F.col("`Row ID`").cast("long") % COPY_OFFSET
+        line = F.when(number % 151 == 0, short).when(number % 157 == 0, F.concat(whole, F.lit(",surplus"))).otherwise(whole)
+        # Lines are values of one column here, so that neither separator nor quotes of theirs mean anything to the writer.
+        text = lines.select(line.alias(",".join(RAW_HEADERS)))
+        text.write.option("header", True).option("sep", "\x01").option("quote", "\x02").option("encoding", RAW_ENCODING).option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        return path
+
+    @cached_property
+    def exports_path(self) -> str:
+        """Three exports of the raw lines, each with its own format of dates; folders tell the export."""
+        path, raw = new_path(self.spark, "exports"), with_defects(self.lines)
+        export = F.pmod(F.col("`Row ID`").cast("long"), F.lit(3))
+
+        def written(name: str) -> Column:
+            date, bad = F.try_to_date(F.col(f"`{name}`"), "M/d/yyyy"), F.col(f"`{name}`")
+            other = F.when(export == 1, F.date_format(date, "d.M.yyyy")).when(export == 2, F.date_format(date, "yyyy-MM-dd"))
+            return F.coalesce(other, bad)
+
+        raw.withColumns({"Order Date": written("Order Date"), "Ship Date": written("Ship Date"), "export": export}).write.partitionBy("export").option(
+            "header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        return path
+
+    @cached_property
+    def exports(self) -> DataFrame:
+        text = self.spark.read.option("header", True).option("escape", '"').csv(self.exports_path)
+        return null_tokens(normalize_headers(text.withColumn("export", F.col("export").cast("string"))))
+
+    @cached_property
+    def arrived_orders(self) -> DataFrame:
+        """Warehouse table filled by a stream from two deliveries of raw files, the second with half of the first's lines."""
+        folder, checkpoint = new_path(self.spark, "arrivals"), new_path(self.spark, "arrivals_checkpoint")
+        table, lines = self._table("arrived"), with_defects(self.lines)
+        number = F.col("`Row ID`").cast("long")
+        for delivery in (lines.where(number % 4 < 3), lines.where(number % 4 >= 1).withColumn("Row ID", (number + 5 * COPY_OFFSET).cast("string"))):
+            write_csv(delivery, f"{folder}/{new_path(self.spark, 'd').rsplit('/', 1)[-1]}", RAW_ENCODING)
+            append_arrivals(self.spark, f"{folder}/*", checkpoint, table).awaitTermination()
+        return scan_warehouse(self.spark, table)
+
     @property
     def raw(self) -> DataFrame:
         return read_raw(self.spark, self.raw_path)

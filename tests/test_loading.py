@@ -347,3 +347,38 @@ def test_named_database_comes_first(spark, monkeypatch):
     assert load_orders(spark, "t_any", database=warehouse.jdbc_read_options("jdbc:x", 1, 9, 2)) == "rows"
     assert seen["url"] == "jdbc:x" and seen["numPartitions"] == "2"
     assert warehouse.jdbc_swap_statements("t")[1] == "INSERT INTO t SELECT * FROM t_staging"
+
+
+def test_salvage_fills_up_short_lines_and_sets_long_ones_aside(spark, tmp_path):
+    path = write_rows(tmp_path / "raw.csv", [{"Row ID": str(i)} for i in range(1, 7)])
+    lines = Path(path).read_text(encoding="latin-1").splitlines()
+    lines[2] = lines[2].rsplit(",", 2)[0]  # lacks two fields
+    lines[3] += ",more"
+    lines[4] = "5"
+    lines[5] += ","  # one more field, if an empty one
+    lines.append(lines[6].replace('"Twin', '"Twin "" (').rsplit(",", 1)[0])
+    lines.append('8,"open')
+    Path(path).write_text("\n".join(lines) + "\n", encoding="latin-1")
+    made = csv_files.salvage_raw(spark, path)
+    assert made.counts == {"lines_read": 8, "lines_padded": 3, "lines_rejected": 3}
+    found = sorted((r["Row ID"], r["Discount"], r["Profit"], r["Order ID"]) for r in made.lines.select("Row ID", "Discount", "Profit", "Order ID").fillna("-").collect())
+    order = "QX-2017-000417"
+    assert found == [
+        ("1", "0.05", "28.6042", order), ("2", "-", "-", order), ("5", "-", "-", "-"), ("6", "0.05", "-", order), ("6", "0.05", "28.6042", order),
+    ]
+    assert made.lines.columns == lines[0].split(",")
+    assert sorted(r.line for r in made.rejected.collect()) == sorted([lines[3], lines[5], lines[8]])
+    assert all(r.file.endswith("raw.csv") for r in made.rejected.collect())
+
+
+def test_refresh_with_salvage(spark, tmp_path):
+    path = write_rows(tmp_path / "raw.csv", [{"Row ID": "1"}, {"Row ID": "2", "City": "Westmere"}])
+    with open(path, "a", encoding="latin-1") as file:
+        file.write("3,QX-9\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        refresh_warehouse(spark, path, "t_salvage")
+    report = refresh_warehouse(spark, path, "t_salvage", malformed="salvage").first()
+    assert (report.source_rows, report.missing_values["sales"]) == (3, 1)
+    assert sorted(r.row_id for r in warehouse.scan_warehouse(spark, "t_salvage").collect()) == [1, 2, 3]
+    with pytest.raises(ValueError, match="fail or salvage"):
+        refresh_warehouse(spark, path, "t_salvage", malformed="skip")

@@ -98,3 +98,21 @@ def test_shares_add_up(warehouse):
     df = warehouse(dict(segment="A", sales=D(75), profit=D(15)), dict(segment="B", sales=D(25), profit=D(-5)))
     rows = {r.segment: (r["share_%"], r["margin_%"]) for r in exploration.segment_share(df).collect()}
     assert rows == {"A": (75.0, 20.0), "B": (25.0, -20.0)}
+
+
+def test_correlations_against_plain_definitions(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, 400) * 5
+    y = np.round(rng.normal(size=400) - x / 30, 4)
+    rows = [(Decimal(int(a)), Decimal(str(b))) for a, b in zip(x, y, strict=True)] + [(None, Decimal(1)), (Decimal(5), None)]
+    df = spark.createDataFrame(rows, "discount_percentage decimal(6,2), profit_margin decimal(6,4)")
+    found = dashboard.discount_margin_correlation(df).first()
+    pair = pd.DataFrame({"x": x, "y": y})
+    assert found["lines"] == 400
+    assert found["pearson"] == pytest.approx(pair.corr().iloc[0, 1], abs=1e-8)
+    assert found["spearman"] == pytest.approx(pair.rank().corr().iloc[0, 1], abs=1e-8)
+    assert tuple(dashboard.discount_margin_correlation(df.limit(0)).first()) == (0, None, None)
+    assert tuple(dashboard.discount_margin_correlation(df.where("discount_percentage = 5")).first())[1:] == (None, None)

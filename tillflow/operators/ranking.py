@@ -28,10 +28,11 @@ def cell_sql(value: str, nulls: str) -> str:
     return f"CASE WHEN {value} IS NULL THEN {end} WHEN {value} > 0 THEN {size} WHEN {value} < 0 THEN -{size} ELSE 0 END"
 
 
-def rank_sql(source: str, ranks: Mapping[str, str], partition_by: Sequence[str] = ()) -> str:
+def rank_sql(source: str, ranks: Mapping[str, str], partition_by: Sequence[str] = (), weight: str = "1", ties: Mapping[str, str] | None = None) -> str:
     """``RANK() OVER (PARTITION BY .. ORDER BY metric DESC NULLS FIRST)`` of the query ``source``, evenly distributed.
 
-    ``ranks`` names the new column for each metric. Values are counted, their counts summed by cell, and ranks joined to
+    ``ranks`` names the new column for each metric, and ``ties`` one for the number of rows that share its value. A row counts
+    as ``weight`` rows. Values are counted, their counts summed by cell, and ranks joined to
     the rows by value; a partition, which may hold most of the rows, is spread over cells like the table as a whole. The
     text states ``source`` several times, and Spark computes its grouping once.
     """
@@ -43,24 +44,28 @@ def rank_sql(source: str, ranks: Mapping[str, str], partition_by: Sequence[str]
     for i, (metric, name) in enumerate(ranks.items()):
         same = " AND ".join([f"v.{o} <=> a.{o}" for o in owner] + ["v._cell = a._cell"])
         parts.append(f"""_values{i} AS (
-  SELECT {renamed}{metric} AS _v, {cell_sql(metric, "high")} AS _cell, count(*) AS _n FROM _source GROUP BY ALL
+  SELECT {renamed}{metric} AS _v, {cell_sql(metric, "high")} AS _cell, sum({weight}) AS _n FROM _source GROUP BY ALL
 ), _above{i} AS (
   SELECT {owners}_cell, coalesce(sum(sum(_n)) OVER ({groups} ORDER BY _cell DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _above
   FROM _values{i} GROUP BY {owners}_cell
 ), _ranks{i} AS (
-  SELECT {"".join(f"v.{o}, " for o in owner)}v._v, a._above + 1 + coalesce(sum(v._n) OVER (
+  SELECT {"".join(f"v.{o}, " for o in owner)}v._v, v._n, a._above + 1 + coalesce(sum(v._n) OVER (
     PARTITION BY {"".join(f"v.{o}, " for o in owner)}v._cell ORDER BY v._v DESC NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _rank
   FROM _values{i} v JOIN _above{i} a ON {same}
 )""")
         on = " AND ".join([f"s.{c} <=> r{i}.{o}" for c, o in zip(partition_by, owner, strict=True)] + [f"s.{metric} <=> r{i}._v"])
         joins.append(f"JOIN _ranks{i} r{i} ON {on}")
         columns.append(f"r{i}._rank AS {name}")
+        if ties and metric in ties:
+            columns.append(f"r{i}._n AS {ties[metric]}")
     return f"WITH _source AS ({source}), " + ", ".join(parts) + f"\nSELECT s.*, {', '.join(columns)} FROM _source s " + " ".join(joins)
 
 
-def add_ranks(df: DataFrame, ranks: Mapping[str, str], partition_by: Sequence[str] = ()) -> DataFrame:
+def add_ranks(
+    df: DataFrame, ranks: Mapping[str, str], partition_by: Sequence[str] = (), weight: str = "1", ties: Mapping[str, str] | None = None,
+) -> DataFrame:
     """:func:`rank_sql` of a DataFrame."""
-    return df.sparkSession.sql(rank_sql("SELECT * FROM {df}", ranks, partition_by), df=df)
+    return df.sparkSession.sql(rank_sql("SELECT * FROM {df}", ranks, partition_by, weight, ties), df=df)
 
 
 def rows_at(written: DataFrame, metrics: Sequence[str], keys: Sequence[str], positions: Mapping[str, Sequence[int]]) -> dict[tuple[str, int], Row]:

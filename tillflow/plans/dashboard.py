@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillflow.functions import half_even, percent_of, total_or_zero
+from tillflow.operators.ranking import add_ranks
 
 _MARGIN = "margin_%"
 
@@ -141,3 +142,40 @@ def discount_margin_curve(selected: DataFrame) -> DataFrame:
     return _grouped(selected, ("discount_percentage",), mean.alias("avg_margin"), _orders()).orderBy(
         "discount_percentage"
     )
+
+
+def _correlation(n: str, x: str, y: str) -> Column:
+    """Pearson's coefficient of whole numbers x and y that occur n times: co-moments are exact integers, so the result
+    does not depend on the order of the rows. NULL where either does not vary."""
+    def moment(*factors: str) -> Column:
+        product = F.col(n).cast("decimal(38,0)")
+        for factor in factors:
+            product = (product * F.col(factor)).cast("decimal(38,0)")
+        return F.sum(product).cast("decimal(38,0)")
+
+    size, sx, sy = moment(), moment(x), moment(y)
+
+    def spread(joint: Column, a: Column, b: Column) -> Column:
+        return ((size * joint).cast("decimal(38,0)") - (a * b).cast("decimal(38,0)")).cast("double")
+
+    both = spread(moment(x, y), sx, sy)
+    alone = F.sqrt(spread(moment(x, x), sx, sx)) * F.sqrt(spread(moment(y, y), sy, sy))
+    return half_even(both / F.nullif(alone, F.lit(0.0)), 9)
+
+
+def discount_margin_correlation(selected: DataFrame) -> DataFrame:
+    """One row on how line margins follow discounts: lines, pearson, and spearman, the same of average ranks.
+
+    Lines without either value are left out. Equal pairs of values are counted first, so what is ranked is one row for each
+    pair; ranks come from :mod:`~tillflow.operators.ranking` and are doubled, which keeps averages of ties whole.
+    """
+    paired = selected.where("discount_percentage IS NOT NULL AND profit_margin IS NOT NULL")
+    scaled = [F.round(F.col(c).cast("decimal(20,16)") * 10000).cast("long") for c in ("discount_percentage", "profit_margin")]
+    pairs = paired.groupBy(scaled[0].alias("x"), scaled[1].alias("y")).agg(F.count("*").alias("n"))
+    ranked = add_ranks(pairs, {"x": "rank_x", "y": "rank_y"}, weight="n", ties={"x": "ties_x", "y": "ties_y"})
+    # Ranks descend on both sides. Pairs are few, so their doubled ranks stay within the number of lines.
+    doubled = ranked.withColumns({v: 2 * F.col(f"rank_{v[-1]}") + F.col(f"ties_{v[-1]}") - 1 for v in ("place_x", "place_y")})
+    return doubled.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("lines"),
+        _correlation("n", "x", "y").alias("pearson"), _correlation("n", "place_x", "place_y").alias("spearman"),
+    )

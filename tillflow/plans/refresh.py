@@ -7,14 +7,22 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 
-from tillflow.operators.cleaning import COPIES, fold_copies, quality_report, report_counts, report_from_counts, standardize
+from tillflow.operators.cleaning import (
+    COPIES, fold_copies, normalize_headers, null_tokens, quality_report, report_counts, report_from_counts, standardize,
+)
+from tillflow.operators.dates import infer_date_format
 from tillflow.operators.features import engineer_features
-from tillflow.sources.csv_files import read_processed, read_raw, write_processed
+from tillflow.sources.csv_files import read_processed, read_raw, salvage_raw, write_processed
 from tillflow.sources.warehouse import TABLE, load_warehouse, open_warehouse, scan_jdbc, scan_warehouse
 
 
-def _folded(spark: SparkSession, raw_path: str, date_format: str, multi_line: bool) -> DataFrame:
-    return fold_copies(standardize(read_raw(spark, raw_path, multi_line), date_format))
+def _folded(spark: SparkSession, raw_path: str, date_format: str | None, multi_line: bool, malformed: str) -> DataFrame:
+    """``malformed``: "fail" on lines with a wrong number of fields, or "salvage" what can be read. Without a date format
+    the one that reads most dates is taken."""
+    if malformed not in ("fail", "salvage"):
+        raise ValueError(f"malformed is fail or salvage, not {malformed}")
+    raw = read_raw(spark, raw_path, multi_line) if malformed == "fail" else salvage_raw(spark, raw_path, multi_line).lines
+    return fold_copies(standardize(raw, date_format or infer_date_format(null_tokens(normalize_headers(raw)))))
 
 
 def _with_report(folded: DataFrame, write: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], None]) -> DataFrame:
@@ -41,15 +49,18 @@ def refresh(
     raw_path: str,
     output: str | None = None,
     file_format: str = "parquet",
-    date_format: str = "M/d/yyyy",
+    date_format: str | None = "M/d/yyyy",
     multi_line: bool = False,
+    malformed: str = "fail",
 ) -> tuple[DataFrame, DataFrame]:
     """Read, clean and enrich a raw file; returns the enriched rows and the quality report.
 
     With ``output`` the enriched rows are written there in one pass over the raw file that also counts for the report,
-    and are read from there. Otherwise both results stay lazy.
+    and are read from there. Otherwise both results stay lazy. With ``malformed="salvage"`` lines with a wrong number of
+    fields are filled up or left out, see :func:`~tillflow.sources.csv_files.salvage_raw`; ``date_format=None`` finds the
+    format in the data, see :func:`~tillflow.operators.dates.infer_date_format`. Each of these two is a pass of its own.
     """
-    folded = _folded(spark, raw_path, date_format, multi_line)
+    folded = _folded(spark, raw_path, date_format, multi_line, malformed)
     if output is None:
         return engineer_features(folded.drop(COPIES)), quality_report(folded)
     report = _with_report(folded, lambda rows, observed: write_processed(rows, output, file_format, observed))
@@ -63,8 +74,9 @@ def refresh_warehouse(
     path: str | None = None,
     output: str | None = None,
     file_format: str = "parquet",
-    date_format: str = "M/d/yyyy",
+    date_format: str | None = "M/d/yyyy",
     multi_line: bool = False,
+    malformed: str = "fail",
 ) -> DataFrame:
     """Replace the warehouse table by a raw file's content; returns the quality report.
 
@@ -72,10 +84,10 @@ def refresh_warehouse(
     is read once. ``path`` is the folder that holds the table's files.
     """
     if output is not None:
-        rows, report = refresh(spark, raw_path, output, file_format, date_format, multi_line)
+        rows, report = refresh(spark, raw_path, output, file_format, date_format, multi_line, malformed)
         load_warehouse(rows, table, path)
         return report
-    folded = _folded(spark, raw_path, date_format, multi_line)
+    folded = _folded(spark, raw_path, date_format, multi_line, malformed)
     return _with_report(folded, lambda rows, observed: load_warehouse(rows, table, path, before_write=observed))
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tillflow.functions import null_if_token, parse_number
 from tillflow.schema import CLEAN_TYPES
+from tillflow.scratch import new_path
 
 RAW_ENCODING = "ISO-8859-1"
+_LAST_FIELD = "\ue000"  # a private character, which Latin-1 text does not have
 
 
 def _raw_options(spark: SparkSession, multi_line: bool):
@@ -28,7 +31,7 @@ def read_raw(spark: SparkSession, path: str | list[str], multi_line: bool = Fals
 
     Only the header is looked at before the job runs. The job fails on a file whose header differs in names or order, and
     on a line with more or fewer fields than the header, so no value can end up in another column or be cut off; see
-    :func:`malformed_lines`. ``multi_line`` accepts line breaks inside quotes, at the price of one task per file;
+    :func:`malformed_lines`, and :func:`salvage_raw` for what can be read of such files. ``multi_line`` accepts line breaks inside quotes, at the price of one task per file;
     without it they make such lines.
     """
     return _raw_options(spark, multi_line).option("mode", "FAILFAST").csv(path)
@@ -87,3 +90,49 @@ def read_processed(spark: SparkSession, path: str, file_format: str = "parquet")
         return text.select(*[_typed(c) for c in text.columns])
     df = spark.read.parquet(path)
     return df.select(*[c for c in CLEAN_TYPES if c in df.columns])
+
+
+@dataclass(frozen=True)
+class Salvage:
+    """What :func:`salvage_raw` has made of raw files."""
+
+    lines: DataFrame  # named by the header, every column as text; short lines are filled up with NULLs
+    rejected: DataFrame  # (file, line) of the lines that have more fields than the header, or quotes that do not close
+    counts: dict[str, int]  # lines_read, lines_padded, lines_rejected
+
+
+def salvage_raw(spark: SparkSession, path: str | list[str], multi_line: bool = False, folder: str | None = None) -> Salvage:
+    """Raw files with lines of a wrong number of fields: what can be read, and what cannot, in one pass.
+
+    A line with fewer fields than the header lacks its last ones, which become NULL, as common readers of such files do. A
+    line with more would put values in other columns, so it is set aside as it is. Both go to ``folder`` (by default in the
+    shared folder), good lines and rejected ones apart, and are counted as they are written. A file with another header
+    fails, as in :func:`read_raw`.
+    """
+    header = _raw_options(spark, multi_line).csv(path).schema
+    names = [f"c{i}" for i in range(len(header.fields))]
+    kept = T.StructType([*header.fields, T.StructField("_line", T.StringType())])
+    found = _raw_options(spark, multi_line).schema(kept).option("columnNameOfCorruptRecord", "_line").csv(path)
+    found = found.toDF(*names, "line").withColumn("file", F.input_file_name())
+    # One more field at the end of a line takes the place of the first one that it lacks. A line that has too many, or an
+    # open quote, shows it nowhere.
+    again = F.from_csv(F.concat("line", F.lit(f",{_LAST_FIELD}")), ", ".join(f"{n} string" for n in names), {"escape": '"', "mode": "PERMISSIVE"})
+    short = F.coalesce(F.array_contains(F.array(*[again[n] for n in names]), _LAST_FIELD), F.lit(False))
+    told = found.withColumn("wrong", F.col("line").isNotNull()).withColumn("rejected", F.col("wrong") & ~short)
+    observation = Observation()
+    written = told.select(
+        *[F.when(~F.col("rejected"), F.col(n)).alias(n) for n in names],
+        F.when(F.col("rejected"), F.col("line")).alias("line"), F.when(F.col("rejected"), F.col("file")).alias("file"), "wrong", "rejected",
+    ).observe(
+        observation, F.count("*").alias("lines_read"), F.count_if(F.col("wrong") & ~F.col("rejected")).alias("lines_padded"),
+        F.count_if("rejected").alias("lines_rejected"),
+    )
+    place = folder or new_path(spark, "salvage")
+    written.drop("wrong").write.partitionBy("rejected").parquet(place)
+    schema = ", ".join(f"{n} string" for n in (*names, "line", "file")) + ", rejected boolean"
+    parts = spark.read.schema(schema).parquet(place)
+    return Salvage(
+        parts.where("NOT rejected").select(*[F.col(n).alias(f.name) for n, f in zip(names, header.fields, strict=True)]),
+        parts.where("rejected").select("file", "line"),
+        {k: v or 0 for k, v in observation.get.items()},
+    )
