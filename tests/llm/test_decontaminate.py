@@ -103,3 +103,28 @@ def test_nested_passages_of_several_blocks_go(spark):
     for block_bytes in (decontaminate.BLOCK_BYTES, 30):
         clean = decontaminate.decontaminate(docs, benchmark, window=2, block_bytes=block_bytes).collect()
         assert len(clean) == 5 and not any("open" in r.text or "close" in r.text for r in clean)
+
+
+def test_a_set_of_some_megabytes_is_small():
+    """4 MB of test text, half of its windows shared by two items: memory while it is built, kept, and sent."""
+    import pickle
+    import random
+    import tracemalloc
+
+    rng = random.Random(6)
+    shared = [f"word{rng.randrange(20_000)}" for _ in range(250)]
+    items = [(f"i{i}", " ".join(shared * (i % 2) + [f"word{rng.randrange(20_000)}" for _ in range(500 - 250 * (i % 2))]).encode()) for i in range(1000)]
+    assert sum(len(t) for _, t in items) > 4_000_000
+    tracemalloc.start()
+    windows = decontaminate.WindowSet(items)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 30e6 and peak < 100e6 and len(pickle.dumps(vars(windows))) < 30e6
+    found, owners = windows.scan([b"x", *items[1][1].split()[:20], b"y"])
+    assert found == [(1, 21)] and owners == {f"i{i}" for i in range(1, 1000, 2)}
+
+
+def test_windows_that_repeat_in_an_item():
+    text = b"a b c d e f g h i j " * 3
+    windows = decontaminate.WindowSet([("x", text), ("y", text), ("x", text)])
+    assert windows.scan(text.split())[1] == {"x", "y"} and len(windows.hashes[10]) == 30

@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import defaultdict
 from functools import reduce
+from itertools import count, repeat
 from math import ceil
 
 import numpy as np
@@ -15,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tillflow.llm.shared import add_python_columns, packed, settle, text_bytes, unpacked
 
 WINDOW_WORDS = 10
-# UTF-8 bytes of test text in one broadcast set; a larger test set is scanned in several such blocks.
-BLOCK_BYTES = 32 << 20
+# UTF-8 bytes of test text in one broadcast set, which takes some 200 MB at most; a larger test set is scanned in several
+# such blocks.
+BLOCK_BYTES = 8 << 20
 # A document loses the spans it shares with the test set, and goes as a whole beyond this share of its words.
 DROP_SHARE = 0.5
 
@@ -31,23 +33,40 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of test items: a hash set for the scan, and the words themselves for verification."""
+    """Windows of test items as arrays: a sorted hash, the item and the place of its words for each, and all words' numbers.
+
+    20 bytes a word of the test set, and its distinct words. A scan looks hashes up and compares the words themselves.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW_WORDS):
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[int, dict[bytes, set]] = defaultdict(lambda: defaultdict(set))
+        number = defaultdict(count(1).__next__)
         rng = np.random.default_rng(0)
         self.powers = rng.integers(1, 1 << 63, window, dtype=np.uint64) | np.uint64(1)
-        for item, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.uint64)
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                owners[size][ids[i : i + size].tobytes()].add(item)
-        self.owners = {size: {k: sorted(v, key=str) for k, v in windows.items()} for size, windows in owners.items()}
-        self.hashes = {}
-        for size, windows in self.owners.items():
-            rows = np.frombuffer(b"".join(windows), np.uint64).reshape(-1, size)
-            self.hashes[size] = np.unique(self._hash(rows.T, size))
+        self.names = [name for name, _ in items]
+        ids = [np.fromiter(map(number.__getitem__, words_of(text)), np.uint32) for _, text in items]
+        self.vocabulary = dict(number)
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        lengths = np.array([len(x) for x in ids], np.int64)
+        begins = np.cumsum(lengths) - lengths
+        self.hashes, self.owners, self.places = {}, {}, {}
+        for size in np.unique(np.minimum(lengths, window)).tolist():
+            if size:
+                self._add(size, np.flatnonzero(np.minimum(lengths, window) == size), begins, lengths)
+
+    def _add(self, size: int, items: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> None:
+        """The windows of ``size`` words of some items, an item's equal ones once."""
+        counts = lengths[items] - size + 1
+        owner = np.repeat(items, counts).astype(np.int32)
+        place = np.repeat(begins[items], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        hashes = self._hash([self.ids[place + k].astype(np.uint64) for k in range(size)], size)
+        order = np.lexsort((place, owner, hashes))
+        hashes, owner, place = hashes[order], owner[order], place[order].astype(np.uint32)
+        again = np.append(False, (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1]))
+        for at in np.array_split(np.flatnonzero(again), max(1, int(again.sum()) // 65536)):
+            rows = np.arange(size, dtype=np.int64)
+            alike = self.ids[place[at][:, None] + rows] == self.ids[place[at - 1][:, None] + rows]
+            again[at] = alike.all(axis=1)
+        self.hashes[size], self.owners[size], self.places[size] = hashes[~again], owner[~again], place[~again]
 
     @classmethod
     def of(cls, state: dict) -> WindowSet:
@@ -65,7 +84,7 @@ class WindowSet:
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Word ranges [from, to) inside occurrences, merged and ascending, and the items that occur."""
         n = len(words)
-        ids = np.fromiter(map(self.vocabulary.get, words, [0] * n), np.uint64, n)
+        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, n)
         known = np.concatenate([[0], np.cumsum(ids != 0)])
         found, items = [], set()
         for size, hashes in self.hashes.items():
@@ -75,12 +94,14 @@ class WindowSet:
             if not len(starts):
                 continue
             keys = self._hash([ids[starts + k] for k in range(size)], size)
-            place = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-            for i in starts[hashes[place] == keys].tolist():
-                owners = self.owners[size].get(ids[i : i + size].tobytes())  # verified word by word
-                if owners:
+            low, high = np.searchsorted(hashes, keys), np.searchsorted(hashes, keys, side="right")
+            for at in np.flatnonzero(high > low).tolist():
+                i, of = int(starts[at]), slice(int(low[at]), int(high[at]))
+                own = self.ids[self.places[size][of].astype(np.int64)[:, None] + np.arange(size)]
+                owners = self.owners[size][of][(own == ids[i : i + size]).all(axis=1)]  # verified word by word
+                if len(owners):
                     found.append((i, i + size))
-                    items.update(owners)
+                    items.update(self.names[k] for k in owners.tolist())
         return _merged(found), items
 
 
