@@ -139,27 +139,33 @@ class TokenIds:
         if left:
             self._learn_any(left)
 
-    def of(self, texts: pa.Array | Sequence[bytes | None]) -> list[np.ndarray]:
-        """Ids of each text, null being empty. Arrow splits the texts and numbers their distinct pieces."""
+    def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, null being empty, and where each text's begin and end. Arrow splits the
+        texts and numbers their distinct pieces."""
         if len(self.place) > CACHED_WORDS:
             self.forget()
-        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()).cast(pa.string())
         lowered = pc.ascii_lower(column.fill_null(""))
         whole = np.zeros(len(column), bool)
         for text in (*self.special, _MARK):
             whole |= pc.match_substring(lowered, text.decode()).to_numpy(zero_copy_only=False)
-        pieces = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", lowered))
+        pieces = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", lowered) if whole.any() else lowered)
         numbered = pieces.flatten().dictionary_encode()
-        distinct = numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()  # may hold the empty piece, which has no ids
+        distinct = numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()  # with the empty piece, which has no ids
         self.learn([p for p in distinct if p not in self.place])
         places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
         numbers = numbered.indices.to_numpy()
         np.add.at(self.uses, places, np.bincount(numbers, minlength=len(distinct)).astype(np.int32))
-        at = places[numbers]
-        ids, sizes = self._gather(at)
-        ids, ends = ids.astype(np.uint32), np.cumsum(sizes)
-        cuts = np.append(0, ends)[np.cumsum(np.append(0, pc.list_value_length(pieces).to_numpy()))].tolist()
-        return [self._encode(column[i].as_py().encode()) if special else ids[cuts[i] : cuts[i + 1]] for i, special in enumerate(whole)]
+        ids, sizes = self._gather(places[numbers])
+        cuts = np.append(0, np.cumsum(sizes))[np.cumsum(np.append(0, pc.list_value_length(pieces).to_numpy()))]
+        if not whole.any():
+            return ids, cuts
+        parts = [self._encode(column[i].as_py().encode()) if special else ids[cuts[i] : cuts[i + 1]] for i, special in enumerate(whole)]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def of(self, texts: Sequence[bytes | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        ids, cuts = self.flat(pa.array(texts, pa.binary()).cast(pa.string())) if texts else (np.zeros(0), np.zeros(1, np.int64))
+        return [ids[a:b].astype(np.uint32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _by_size(column: pa.Array) -> Iterator[pa.Array]:
@@ -176,7 +182,16 @@ def _by_size(column: pa.Array) -> Iterator[pa.Array]:
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full windows, then the rest."""
-    return [(i, min(capacity, n - i)) for i in range(0, n, capacity)]
+    _, start, length = _cuts(np.array([n]), capacity)
+    return list(zip(start.tolist(), length.tolist(), strict=True))
+
+
+def _cuts(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length) of the pieces of documents of such sizes, as by :func:`cut_points`."""
+    counts = -(-sizes // capacity)
+    document = np.repeat(np.arange(len(sizes)), counts)
+    start = (np.arange(len(document)) - np.repeat(np.cumsum(counts) - counts, counts)) * capacity
+    return document, start, np.minimum(capacity, sizes[document] - start)
 
 
 _PIECE = T.ArrayType(T.StructType([
@@ -199,17 +214,24 @@ def tokenize_and_cut(docs: DataFrame, tokenizer_path: str, text: str = "text", c
     def start():
         ids_of = worker_cache(name, lambda: TokenIds(shared.value))
 
+        def cut_group(group: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+            ids, cuts = ids_of.flat(group)
+            full = np.insert(ids.astype("<u4"), cuts[1:], end_id)
+            sizes = np.diff(cuts) + 1
+            document, begin, length = _cuts(sizes, capacity)
+            raw, at = memoryview(full).cast("B"), 4 * ((np.cumsum(sizes) - sizes)[document] + begin)
+            spans = list(zip(at.tolist(), (at + 4 * length).tolist(), strict=True))
+            checks = pa.array([crc32(raw[a:b]) for a, b in spans], pa.int64())
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(document, minlength=len(sizes)))), pa.int32())
+            piece = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(length, pa.int64()), checks], names=["start", "length", "ids_crc32"])
+            kept = pa.nulls(len(sizes), pa.list_(pa.binary()))
+            if with_ids:
+                kept = pa.ListArray.from_arrays(offsets, pa.array([bytes(raw[a:b]) for a, b in spans], pa.binary()))
+            return pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, piece), kept
+
         def cut(column):
-            totals, pieces, kept = [], [], []
-            for group in _by_size(column):
-                for ids in ids_of.of(group):
-                    full = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    spans = cut_points(len(full), capacity)
-                    raw = [full[s : s + n].tobytes() for s, n in spans]
-                    totals.append(len(full))
-                    pieces.append([{"start": s, "length": n, "ids_crc32": crc32(r)} for (s, n), r in zip(spans, raw, strict=True)])
-                    kept.append(raw if with_ids else None)
-            return totals, pieces, kept
+            made = [cut_group(group) for group in _by_size(column)]
+            return [pa.concat_arrays(arrays) for arrays in zip(*made, strict=True)] if made else [[], [], []]
 
         return cut
 
