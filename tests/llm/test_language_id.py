@@ -77,3 +77,81 @@ def test_a_language_with_a_ten_thousandth_of_the_rows_has_its_own_entries(spark)
     assert np.isclose(da, np.log(1.5 / (n_small + 0.5 * (entries + 1)))) and np.isclose(en, np.log((9999 * 20 + 0.5) / (n_large + 0.5 * (entries + 1))))
     predict = model.predictor()
     assert predict("katten sover ved fjorden")[0] == "da" and predict("the cat and the dog")[0] == "en" and predict("fjord is")[0] == "da"
+
+
+def plain_predictions(rows):
+    """Language and score of each text by counting in dictionaries: words first, then n-grams from the longest down."""
+    import math
+    import re
+    from collections import Counter
+    from zlib import crc32
+
+    def words(text):
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or "").lower())
+        return re.findall(r"[a-z\x80-\U0010ffff]+", lowered)
+
+    def grams(word, n):
+        marked = f"<{word}>" if n > 1 else word
+        return [marked[i : i + n] for i in range(max(1, len(marked) - n + 1))]
+
+    counts = {}  # (size, language) -> entries
+    for i, text, lang in rows:
+        if lang is None or text is None or crc32(("" if i is None else str(i)).encode()) % 3 == 1:
+            continue
+        for word in words(text):
+            counts.setdefault((0, lang), Counter())[word] += 1
+            for n in range(1, 6):
+                for g in grams(word, n):
+                    counts.setdefault((n, lang), Counter())[g] += 1
+    names = sorted({lang for _, lang in counts})
+    entries = {n: set().union(*[counts[n, x] for x in names]) for n in range(6)} if names else {}
+
+    def log(n, lang, entry):
+        table = counts[n, lang]
+        return math.log((table[entry] + 0.5) / (sum(table.values()) + 0.5 * (len(entries[n]) + 1)))
+
+    def of_word(word):
+        if word in entries[0]:
+            return [log(0, x, word) for x in names]
+        for n in range(5, 0, -1):
+            known = [g for g in grams(word, n) if g in entries[n]]
+            if known:
+                return [sum(log(n, x, g) for g in known) / len(known) for x in names]
+        return [0.0] * len(names)
+
+    out, seen = [], {}
+    for i, text, _ in rows:
+        if not names or not any(c.isalpha() for c in text or ""):
+            out.append((i, "und", 0.0))
+            continue
+        total = [0.0] * len(names)
+        for word in words(text):
+            if word not in seen:
+                seen[word] = of_word(word)
+            total = [a + b for a, b in zip(total, seen[word], strict=True)]
+        likely = [math.exp(t - max(total)) for t in total]
+        best = likely.index(max(likely))
+        out.append((i, names[best], likely[best] / sum(likely)))
+    return out
+
+
+def test_predictions_equal_plain_counting(spark):
+    """Every document of a small table, held out and not, and odd rows; languages of very different size."""
+    import random
+
+    import pytest
+
+    rng = random.Random(12)
+    syllables = {"aa": "ka to mi lu ne sa".split(), "bb": "xr zo pli ku tan ei".split(), "cc": "ka zo é lu ßa tan".split()}
+    rows = []
+    for i in range(150):
+        lang = rng.choice(["aa"] * 8 + ["bb"] * 2 + ["cc"])
+        text = " ".join("".join(rng.choices(syllables[lang], k=rng.randrange(1, 4))) for _ in range(rng.randrange(1, 40)))
+        rows.append((i, text.title() if i % 3 else text, None if i % 11 == 0 else lang, "a", 1))
+    rows += [r for r in ODD_ROWS if r[0] not in (6, 9)]
+    found = language_id.identify(spark.createDataFrame(rows, DOCUMENT)).collect()
+    expected = plain_predictions([(r[0], r[1], r[2]) for r in rows])
+    by = lambda r: (str(r[0]), str(r[1]), round(r[2], 3))
+    for a, b in zip(sorted(((r.doc_id, r.lang_pred, r.score) for r in found), key=by), sorted(expected, key=by), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-4)
+    assert len({r.lang_pred for r in found}) >= 4

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -108,3 +109,43 @@ def test_calibration_follows_the_share_of_a_margin():
     labels = (rng.random(4000) < linear.sigmoid(0.7 * margins - 0.4)).astype(float)
     slope, offset = linear.calibrate(margins, labels)
     assert abs(slope - 0.7) < 0.1 and abs(offset + 0.4) < 0.15
+
+
+def plain_co_training(texts, metadata, labels, rounds, confident, per_round):
+    """The exchange told one row at a time, on the same fits."""
+    rows = [linear.sparse_row(linear.hashed_ngrams(t)) for t in texts]
+    known = {i: float(y) for i, y in enumerate(labels) if y is not None}
+    of_text, of_metadata = dict(known), dict(known)
+    share = sum(known.values()) / len(known)
+    unknown = [i for i in range(len(texts)) if i not in known]
+    for turn in range(rounds + 1):
+        weights, bias = linear.fit_text([rows[i] for i in of_text], np.array(list(of_text.values())))
+        dense = linear.fit_dense(metadata[list(of_metadata)], np.array(list(of_metadata.values())))
+        if turn == rounds:
+            return weights, bias, dense
+        told = {"text": {}, "metadata": {}}
+        for i in unknown:
+            told["text"][i] = float(linear.sigmoid(bias + weights[rows[i][0]] @ rows[i][1]))
+            told["metadata"][i] = float(linear.sigmoid(metadata[i] @ dense[:-1] + dense[-1]))
+        for teacher, learner in (("text", of_metadata), ("metadata", of_text)):
+            for label in (1.0, 0.0):
+                sure = {i: p if label else 1 - p for i, p in told[teacher].items()}
+                room = int(per_round * len(unknown) * (share if label else 1 - share))
+                for i in sorted(unknown, key=lambda i: -sure[i])[:room]:
+                    if sure[i] >= confident:
+                        learner[i] = label
+
+
+def test_cotraining_equals_a_plain_version(table):
+    rows = table("documents").orderBy("doc_id").collect()
+    marks = {r.doc_id: int(r.quality > 0) for r in table("labels").collect()}
+    texts = [r.text for r in rows]
+    metadata = np.array([cotraining.metadata_row(r.text, r.lang, r.source, r.n_chars) for r in rows])
+    labels = [marks.get(r.doc_id) if i % 3 else None for i, r in enumerate(rows)]
+    assert 20 < sum(y is not None for y in labels) < len(rows) / 2
+    mine = cotraining.co_train(texts, metadata, labels, 3, 0.7, 0.25)
+    plain = plain_co_training(texts, metadata, labels, 3, 0.7, 0.25)
+    for a, b in zip(mine, plain, strict=True):
+        assert np.allclose(a, b, atol=1e-4)
+    alone = cotraining.co_train(texts, metadata, labels, 0, 0.7, 0.25)
+    assert not np.allclose(mine[2], alone[2], atol=1e-3)  # labels were exchanged
