@@ -220,7 +220,8 @@ def score_documents(docs: DataFrame, model: TwoViews, id_column: str = "doc_id",
                     metadata: Sequence[str] = METADATA, keep_from: float = KEEP_FROM) -> DataFrame:
     """One row per document: doc_id, text_p, metadata_p, quality_p and kept (quality_p at least ``keep_from``).
 
-    Null and empty texts, and null metadata, are scored like any others. Nothing is shuffled.
+    Null and empty texts, and null metadata, are scored like any others; repeated rows get equal scores; texts of any length
+    are read whole. Nothing is shuffled. An empty table gives no rows; other columns are not looked at, whatever their names.
     """
     chosen = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in metadata])
     return _scored(_packed(chosen, text, metadata), model).select(

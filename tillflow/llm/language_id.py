@@ -214,7 +214,11 @@ def held_out(id_column: Column, folds: int = 3, fold: int = 1) -> Column:
 
 
 def identify(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred and score, learned from what is not held out."""
+    """One row per row of ``docs``: doc_id, held_out, lang_pred and score, learned from what is not held out.
+
+    Repeated rows count each, in learning too. Texts of any length are read whole. Without a row to learn from every text
+    is ``und``; an empty table gives no rows; other columns are not looked at, whatever their names.
+    """
     fold = held_out(F.col(f"`{id_column}`"))
     model = train(docs.where(~fold), lang, text, **options)
     narrow = docs.select(F.col(f"`{id_column}`").alias("doc_id"), fold.alias("held_out"), F.col(f"`{text}`").alias("text"))

@@ -287,7 +287,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text:
 
     Documents are cut at every ``capacity`` ids, so full pieces are sequences of their own; the rests are dealt into
     groups of about ``group_pieces`` by their position in the written table of pieces, whatever their ids or texts are,
-    and each group is differenced in a task. Repeated rows are packed each for itself.
+    and each group is differenced in a task. Repeated rows are packed each for itself. A null, empty or blank text is one
+    id. A very long text is one step of a task, which holds it and a few copies of its ids. An empty table gives no rows;
+    other columns are not looked at, whatever their names.
     """
     narrow = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     cut = tokenize_and_cut(narrow, tokenizer_path, "text", capacity, end_id, with_ids)

@@ -136,7 +136,8 @@ def quality_report(docs: DataFrame, model: TextModel, id_column: str = "doc_id",
                    keep_from: float = KEEP_FROM) -> DataFrame:
     """One row per document: its id as doc_id, the statistics, base_failed, quality (the calibrated probability) and kept.
 
-    Null and empty texts have no words and fail. Nothing is shuffled; equal rows have equal results.
+    Null and empty texts have no words and fail. Nothing is shuffled; equal rows have equal results, and texts of any length are
+    read whole. An empty table gives no rows; other columns are not looked at, whatever their names.
     """
     narrow = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return _judged(narrow, model, keep_from).select(

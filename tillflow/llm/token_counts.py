@@ -136,6 +136,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Da
 
 
 def token_report(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text: str = "text", limit: int = LIMIT_TOKENS) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens)."""
+    """One row per row of ``docs``: doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens).
+
+    Repeated rows count each; a text of any length is counted whole, in one task; other columns are not looked at, whatever
+    their names; an empty table gives no rows.
+    """
     narrow = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return count_tokens(narrow, tokenizer_path).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
