@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from checks.workspace import COPY_OFFSET, Workspace, workspace
 from tillflow.operators import basket, cleaning, dates, features, filters, loading, rfm
 from tillflow.operators.filters import Selection
-from tillflow.plans import business, dashboard, exploration, refresh, views
+from tillflow.plans import business, dashboard, exploration, refresh, rollup, views
 from tillflow.schema import RAW_NUMERIC_COLUMNS, TRIMMED_COLUMNS
 from tillflow.scratch import new_path
 from tillflow.sources import csv_files, warehouse
@@ -226,6 +226,24 @@ SELECTED_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "shipping_distribution": exploration.shipping_distribution,
 }
 
+# ---- the same reports from a roll-up ---------------------------------------------------------
+
+ROLLED_ORDER_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "executive_kpis": rollup.executive_kpis,
+    "vw_monthly_sales": rollup.monthly_sales,
+    "vw_region_performance": rollup.region_performance,
+    "vw_category_performance": rollup.category_performance,
+    "vw_shipping_analysis": rollup.shipping_analysis,
+    "shipping_efficiency": rollup.shipping_efficiency,
+    "discount_impact": rollup.discount_impact,
+}
+ROLLED_SELECTED_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "dash_kpis": rollup.kpis,
+    "dash_region": rollup.region,
+    "dash_weekend": rollup.weekend,
+    "shipping_distribution": rollup.shipping_distribution,
+}
+
 # Reports that also run on the narrow selection, and on the table refreshed from raw files.
 NARROW_REPORTS = (
     "dash_kpis", "mom_growth", "dash_segment_category", "dash_weekend", "basket_pairs", "rfm_segment", "segment_share",
@@ -248,6 +266,14 @@ def _on_refreshed_selected(report: Callable[[DataFrame], DataFrame]) -> Build:
     return lambda ws: report(filters.select_orders(ws.refreshed_orders))
 
 
+def _on_rolled(report: Callable[[DataFrame], DataFrame]) -> Build:
+    return lambda ws: report(ws.rolled)
+
+
+def _on_rolled_selected(report: Callable[[DataFrame], DataFrame], selection: Selection) -> Build:
+    return lambda ws: report(filters.select_orders(ws.rolled, selection))
+
+
 def _fine_money(ws: Workspace) -> DataFrame:
     """All lines of the processed table, with sales that differ in the third and fourth place as well."""
     lines = _enriched_raw(ws)
@@ -273,6 +299,9 @@ def builds() -> dict[str, Build]:
         **{f"{n}_narrow": _on_selected(SELECTED_REPORTS[n], NARROW) for n in NARROW_REPORTS},
         **{f"{n}_refreshed": _on_refreshed(r) for n, r in ORDER_REPORTS.items()},
         **{f"{n}_refreshed": _on_refreshed_selected(r) for n, r in SELECTED_REPORTS.items()},
+        **{f"{n}_rolled": _on_rolled(r) for n, r in ROLLED_ORDER_REPORTS.items()},
+        **{f"{n}_rolled": _on_rolled_selected(r, Selection()) for n, r in ROLLED_SELECTED_REPORTS.items()},
+        **{f"{n}_rolled_narrow": _on_rolled_selected(r, NARROW) for n, r in ROLLED_SELECTED_REPORTS.items()},
     }
 
 

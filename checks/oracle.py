@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from checks.catalog import NARROW, NARROW_REPORTS, ORDER_REPORTS, SELECTED_REPORTS
+from checks.catalog import (
+    NARROW, NARROW_REPORTS, ORDER_REPORTS, ROLLED_ORDER_REPORTS, ROLLED_SELECTED_REPORTS, SELECTED_REPORTS,
+)
 from checks.workspace import COPY_OFFSET
 
 # Fixed values, stated here again so that a wrong one in the library shows: columns, texts for "no value", labels.
@@ -554,6 +556,7 @@ def statements() -> dict[str, str]:
     on_selected = _with(LINES, WAREHOUSE, all_options)
     on_narrow = _with(LINES, WAREHOUSE, narrow)
     on_refreshed_selected = _with(LINES, RAW, CLEAN, REFRESHED, all_options)
+    on_refreshed_narrow = _with(LINES, RAW, CLEAN, REFRESHED, narrow)
     return {
         **OTHER_SQL,
         **ENRICHED_SQL,
@@ -562,4 +565,7 @@ def statements() -> dict[str, str]:
         **{f"{n}_narrow": on_narrow(SELECTED_SQL[n]) for n in NARROW_REPORTS},
         **{f"{n}_refreshed": on_refreshed(ORDER_SQL[n]) for n in ORDER_REPORTS},
         **{f"{n}_refreshed": on_refreshed_selected(SELECTED_SQL[n]) for n in SELECTED_REPORTS},
+        **{f"{n}_rolled": on_refreshed(ORDER_SQL[n]) for n in ROLLED_ORDER_REPORTS},
+        **{f"{n}_rolled": on_refreshed_selected(SELECTED_SQL[n]) for n in ROLLED_SELECTED_REPORTS},
+        **{f"{n}_rolled_narrow": on_refreshed_narrow(SELECTED_SQL[n]) for n in ROLLED_SELECTED_REPORTS},
     }

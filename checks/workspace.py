@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tillflow.operators.cleaning import normalize_headers, null_tokens
 from tillflow.operators.features import engineer_features
 from tillflow.operators.filters import Selection, select_orders
+from tillflow.operators.rollup import append_rollup, write_rollup
 from tillflow.plans.refresh import refresh_warehouse
 from tillflow.schema import BASE_TYPES, RAW_HEADERS
 from tillflow.scratch import new_path, settle
@@ -138,6 +139,13 @@ class Workspace:
         refresh_warehouse(self.spark, self.raw_path, self._table("refreshed"))
         return scan_warehouse(self.spark, self._table("refreshed"))
 
+    @cached_property
+    def rolled(self) -> DataFrame:
+        """Roll-up of the refreshed table, made in two loads that share orders."""
+        path, late = new_path(self.spark, "rollup"), F.col("row_id") % 3 == 0
+        write_rollup(self.refreshed_orders.where(~late), path)
+        return append_rollup(self.refreshed_orders.where(late), path)
+
     def selected(self, selection: Selection = Selection()) -> DataFrame:
         return select_orders(self.orders, selection)
 
