@@ -70,6 +70,31 @@ def test_hot_text_spread_over_cells(spark, monkeypatch):
     assert cells.agg(F.max("rows")).first()[0] < 30
 
 
+def test_rows_that_agree_in_id_and_text_are_spread(spark, monkeypatch):
+    """A third of the rows has neither id nor text, and a sixth one id and one text."""
+    monkeypatch.setattr(sharding, "CELL_ROWS", 20)
+    rng = random.Random(4)
+    made = [
+        (None, None, None, None, None) if i % 3 == 0 else (7, "hot", None, None, None) if i % 6 == 1
+        else (i, f"text {rng.randrange(400)} " * rng.randrange(1, 30), None, None, None)
+        for i in range(1500)
+    ]
+    docs = spark.createDataFrame(made, DOCUMENT)
+    check(docs)
+    starts = sharding._starts(sharding._keyed(docs, "doc_id", "text", 75))
+    runs = sharding._keyed(docs, "doc_id", "text", 75).groupBy(*sharding._CELL, "id_hash", "copy").count()
+    assert runs.agg(F.max("count")).first()[0] < 30 and starts.count() == runs.count()
+
+
+def test_slots_go_by_text_part_and_id(table):
+    docs = table("documents")
+    found = sharding.assign_shards(docs).select("doc_id", "shard", "slot").collect()
+    value = F.coalesce("text", F.lit(""))
+    order = [F.xxhash64(value), F.crc32(value), F.col("doc_id")]  # one part at this size
+    wanted = [r.doc_id for r in docs.orderBy(*order).select("doc_id").collect()]
+    assert [r.doc_id for r in sorted(found, key=lambda r: (r.shard, r.slot))] == wanted
+
+
 def test_empty_table(none):
     assert sharding.assign_shards(none).count() == 0
 

@@ -14,6 +14,7 @@ CELL_ROWS = 4096  # rows that one cell or block holds on average, also of a text
 MAX_BLOCK_BITS = 16  # at most so many bits of the text's hash name a block, so the list of blocks is no longer than 2^16
 PROBES = 32  # capacities tried at once
 _WIDTH = 64
+_CELL = ["hash", "text_crc32", "part"]
 
 
 class _Ordered:
@@ -90,14 +91,17 @@ class _Ordered:
 
 
 def _keyed(docs: DataFrame, id_column: str, text: str, parts: int) -> DataFrame:
-    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    """Ids spread the rows of a text over its parts; where they are, copies, those of one id."""
+    value, id_hash = F.coalesce(F.col(f"`{text}`"), F.lit("")), F.xxhash64(F.col(f"`{id_column}`"))
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.col(f"`{id_column}`").alias("doc_id"),
         (F.octet_length(value) + 1).cast("long").alias("size"),
         F.crc32(value).alias("text_crc32"),
         F.xxhash64(value).alias("hash"),
-        F.pmod(F.xxhash64(F.col(f"`{id_column}`")), F.lit(parts)).alias("part"),
+        F.pmod(id_hash, F.lit(parts)).alias("part"),
+        id_hash.alias("id_hash"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(parts)).alias("copy"),
     )
 
 
@@ -107,7 +111,7 @@ def _ordered_cells(rows: DataFrame, block_bits: int) -> DataFrame:
     end_bytes is where the cell's group ends, bytes_before and rows_before what lies before the cell. A text that very
     many rows share has as many cells as there are parts, and blocks are ranges of a hash, so no window is large.
     """
-    group, cell = ["hash", "text_crc32"], ["hash", "text_crc32", "part"]
+    group, cell = _CELL[:-1], _CELL
     # The highest bits of the signed hash, in the order of the hash.
     block = F.shiftright("hash", _WIDTH - block_bits) if block_bits else F.lit(0).cast("long")
     cells = rows.groupBy(*cell).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).withColumn("block", block)
@@ -121,6 +125,14 @@ def _ordered_cells(rows: DataFrame, block_bits: int) -> DataFrame:
     )
 
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """Rows of the cell that lie before those of an id and copy, by id. Rows that agree in id and text are as many groups as
+    there are copies, and so no window's or task's alone, whatever share of the table they are."""
+    runs = rows.groupBy(*_CELL, "id_hash", "copy").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    before = Window.partitionBy(*_CELL).orderBy("least", "id_hash", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    return runs.select(*_CELL, "id_hash", "copy", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+
+
 def _lookup(position: Column, values: list[int]) -> Column:
     return F.get(F.array(*[F.lit(v).cast("long") for v in values]), position)
 
@@ -133,13 +145,14 @@ def assign_shards(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     ``shards`` runs whose largest is as small as can be. A size is the UTF-8 bytes of the text and 1; a null text counts as
     empty. Slots number a shard's rows from 0 without gaps, by text and then by part and id. Rows that agree in id and
     text get different slots. An empty table gives no rows; fewer groups than shards leave shards empty.
+
+    What is known of each row, with ``carry`` all of it, is written once: which copy a row is follows from its place.
     """
     n = docs.count()
     parts = max(1, ceil(n / CELL_ROWS))
     bits = min(MAX_BLOCK_BITS, max(0, ceil(log2(parts))))
     rows = _keyed(docs, id_column, text, parts)
-    if not carry:
-        rows = rows.drop("_row")
+    rows = settle(rows if carry else rows.drop("_row"), "keyed")
     cells = settle(_ordered_cells(rows, bits), "cells")
     ordered = _Ordered(cells)
     ends = ordered.cuts(shards) if ordered.blocks else [0] * shards
@@ -154,11 +167,12 @@ def assign_shards(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     shard = sum([(end > F.lit(c)).cast("int") for c in inner], F.lit(0))
     placed = (
         cells.join(F.broadcast(bases), "block")  # a row per block
-        .select("hash", "text_crc32", "part", shard.alias("shard"), (F.col("block_rows") + F.col("rows_before")).alias("first"))
+        .select(*_CELL, shard.alias("shard"), (F.col("block_rows") + F.col("rows_before")).alias("first"))
     )
-    cell = ["hash", "text_crc32", "part"]
-    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("doc_id")) - 1
-    return rows.withColumn("inside", inside).join(placed, cell).select(
+    run = [*_CELL, "id_hash", "copy"]
+    runs = _starts(rows).join(placed, _CELL).select(*run, "shard", (F.col("first") + F.col("start")).alias("first"))
+    inside = F.row_number().over(Window.partitionBy(*run).orderBy("doc_id")) - 1
+    return rows.withColumn("inside", inside).join(runs, run).select(
         *(["_row"] if carry else []),
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("first") - _lookup(F.col("shard"), first_rows) + F.col("inside")).cast("long").alias("slot"),
