@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from checks.workspace import COPY_OFFSET, Workspace, workspace
-from tillflow.operators import basket, cleaning, dates, features, filters, loading, rfm
+from tillflow.operators import basket, cleaning, copies, dates, features, filters, loading, rfm
 from tillflow.operators.filters import Selection
 from tillflow.plans import business, dashboard, exploration, refresh, rollup, views
 from tillflow.schema import RAW_NUMERIC_COLUMNS, TRIMMED_COLUMNS
@@ -135,6 +135,7 @@ CLEANING: dict[str, Build] = {
     "parse_mixed_dates": lambda ws: dates.parse_mixed_dates(ws.exports, by=["export"]).select("row_id", "order_date", "ship_date"),
     "trim_text": lambda ws: _standardized(ws).select("row_id", *TRIMMED_COLUMNS),
     "dedup_ignoring_row_id": lambda ws: cleaning.dedup_ignoring_row_id(_standardized(ws)),
+    "dedup_by_digest": lambda ws: copies.fold_copies_by_digest(_standardized(ws)).drop(cleaning.COPIES),
     "duplicate_rows": _report_columns("duplicate_rows"),
     "missing_values": lambda ws: cleaning.missing_by_column(_report(ws)).select("column_name", "missing"),
     "missing_percent": lambda ws: cleaning.missing_by_column(_report(ws))
@@ -143,6 +144,9 @@ CLEANING: dict[str, Build] = {
     **{name: _report_columns(name) for name in INVALID},
     "row_counts": _report_columns("source_rows", "rows_after_cleaning"),
     "quality_report": _report_columns("source_rows", "rows_after_cleaning", "duplicate_rows", *INVALID),
+    "quality_report_by_digest": lambda ws: cleaning.quality_report(copies.fold_copies_by_digest(_standardized(ws))).select(
+        "source_rows", "rows_after_cleaning", "duplicate_rows", *INVALID
+    ),
     "clean": lambda ws: cleaning.clean(ws.raw),
 }
 

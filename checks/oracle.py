@@ -514,12 +514,14 @@ OTHER_SQL = {
     "coerce_dates": on_clean(_portable(("row_id", "order_date", "ship_date"), "standard")),
     "trim_text": on_clean(_portable(("row_id", *TRIMMED), "standard")),
     "dedup_ignoring_row_id": on_clean(_portable(BASE, "cleaned")),
+    "dedup_by_digest": on_clean(_portable(BASE, "cleaned")),
     "duplicate_rows": _report("duplicate_rows"),
     "missing_values": _missing("missing", "missing", "true"),
     "missing_percent": _missing("CAST(printf('%.2f', missing / n * 100) AS DOUBLE)", "missing_percent", "missing > 0"),
     **{name: _report(name) for name in _INVALID},
     "row_counts": _report("source_rows", "rows_after_cleaning"),
     "quality_report": _report("source_rows", "rows_after_cleaning", "duplicate_rows", *_INVALID),
+    "quality_report_by_digest": _report("source_rows", "rows_after_cleaning", "duplicate_rows", *_INVALID),
     "clean": _enriched((*BASE, *CLEANING_FEATURES)),
     **{name: _enriched(("row_id", name)) for name in FEATURE_SQL},
     "engineer_features": on_enriched(_portable(EXPECTED_COLUMNS, "enriched")),
