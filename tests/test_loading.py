@@ -176,6 +176,29 @@ def test_year_bounds_skip_loads(spark, tmp_path):
     assert "product_name" not in plan.split("ReadSchema")[1]
 
 
+def test_features_are_derived_after_the_shuffle(spark):
+    from tillflow.operators.features import engineer_features
+
+    cleaned = typed(text_rows(spark, {"order_date": "2017-05-01"}, {"row_id": "2", "order_date": None}))
+    base = cleaned.drop("order_year", "order_month", "order_month_name", "order_quarter", "weekend_flag", "shipping_days")
+    warehouse.load_warehouse(base, "t_derived", before_write=engineer_features)
+    rows = warehouse.scan_warehouse(spark, "t_derived").orderBy("row_id").collect()
+    assert sorted((r.order_year or 0, r.order_month_name or "") for r in rows) == [(0, ""), (2017, "May")]
+
+
+def test_refresh_moves_only_rows_that_may_have_copies(spark, tmp_path, monkeypatch):
+    """Whole rows pass no shuffle on their way from the raw file to the table."""
+    from tillflow.plans import refresh
+
+    seen, load = [], refresh.load_warehouse
+    monkeypatch.setattr(refresh, "load_warehouse", lambda rows, *a, **k: (seen.append((rows, k)), load(rows, *a, **k)))
+    refresh_warehouse(spark, write_rows(tmp_path / "raw.csv", [{"Row ID": "1"}, {"Row ID": "2"}, {"Row ID": "3", "Sales": "7"}]), "t_moves")
+    rows, options = seen[0]
+    union = rows._jdf.queryExecution().executedPlan().toString().split("Union", 1)[1]
+    assert options["in_place"] and union.index("FileScan csv") < union.index("fun=min" if "fun=min" in union else "min(row_id")
+    assert warehouse.scan_warehouse(spark, "t_moves").count() == 2
+
+
 def loads(spark, table):
     base = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")) / f"{table}.versions" / "data"
     return sorted(p.name for p in base.iterdir()) if base.exists() else []
