@@ -43,3 +43,13 @@ def test_refresh_finds_the_format(spark, tmp_path):
     path = write_rows(tmp_path / "raw.csv", changes)
     rows = refresh(spark, path, date_format=None)[0].orderBy("row_id").collect()
     assert [(str(r.order_date), r.shipping_days) for r in rows] == [("2017-03-14", 3), ("2017-02-01", 2)]
+
+
+def test_each_text_is_read_once_however_often_it_occurs(spark):
+    """Texts are counted before they are parsed, and the formats are not found again when rows are read."""
+    rows = spark.range(100).selectExpr("'a' AS f", "'1/25/2017' AS order_date", "'1/31/2017' AS ship_date")
+    plan = dates.date_formats(rows, by=["f"])._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert "_text#" in next(text for text in reversed(plan) if "HashAggregate" in text).split("functions=")[0]
+    parsed = dates.parse_mixed_dates(rows, by=["f"])
+    assert parsed._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    assert parsed.where("order_date IS NOT NULL").count() == 100
