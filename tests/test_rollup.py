@@ -95,6 +95,16 @@ def test_empty_table(spark, warehouse):
     assert [r.distinct_orders for r in rollup.summarize(rolled).collect()] == [0]
 
 
+def test_lines_travel_to_their_number_and_to_their_bitmap_only(spark, warehouse, conf):
+    """Where the join with the numbers shuffles, sums by order need no shuffle of their own."""
+    conf(spark__sql__autoBroadcastJoinThreshold=-1)
+    lines, numbers = warehouse(*made(50)), spark.createDataFrame([("O-hot", 1)], "order_id string, number long")
+    plan = rollup.roll_up(lines, numbers)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [text for text in plan.splitlines() if "Exchange hashpartitioning" in text]
+    assert len(exchanges) == 4  # lines and numbers to the join, lines without an order, and sums to bitmaps
+    assert not any("order_id#" in text and "order_date#" in text for text in exchanges), exchanges
+
+
 def test_bitmaps_are_made_after_the_shuffle(spark, warehouse):
     """A bitmap of 4 KB per map task and group would be the larger part of the shuffle."""
     lines = warehouse(*made(50))
