@@ -1,3 +1,5 @@
+import numpy as np
+
 from tests.llm.conftest import DOCUMENT, ODD_ROWS
 from tillflow.llm import language_id
 
@@ -155,3 +157,13 @@ def test_predictions_equal_plain_counting(spark):
     for a, b in zip(sorted(((r.doc_id, r.lang_pred, r.score) for r in found), key=by), sorted(expected, key=by), strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-4)
     assert len({r.lang_pred for r in found}) >= 4
+
+
+def test_unseen_words_together_equal_one_by_one(table, monkeypatch):
+    """New words of a text are looked up in bulk; words without any known n-gram have zeros."""
+    model = language_id.train(table("documents").limit(100), word_share=1e-3)
+    words = ["hunde", "strasse", "x", "世界", "zzzzqqqq", "the", "café"] * 3
+    monkeypatch.setattr(language_id, "_UNSEEN_AT_ONCE", 4)
+    np.testing.assert_allclose(model.unseen_rows(words), [model.unseen(w) for w in words], rtol=1e-6)
+    monkeypatch.setattr(model, "unseen", None)  # a text's new words do not go one by one
+    assert model.predictor()("hunde strasse zzzzqqqq")[0] in model.names

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable
 from itertools import repeat
 
@@ -22,6 +22,8 @@ ADDED = 0.5
 UNKNOWN = "und"
 _CACHED_WORDS = 1 << 18
 _FLUSH = 1 << 19
+_UNSEEN_AT_ONCE = 1 << 12
+_WORDS_AT_ONCE = 1 << 13
 
 _LETTER = regex.compile(r"\p{L}")
 _ASCII = bytes(b if 97 <= b <= 122 or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -42,8 +44,8 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
 
-def _counted(df: DataFrame, update: Callable[[Counter, pa.RecordBatch], None], fields: str) -> DataFrame:
-    """(lang, .., n) rows counted in each task first, with a bounded table, then over all tasks."""
+def _counted(df: DataFrame, update: Callable[[Counter, pa.RecordBatch], None], fields: str, at_once: int = 256) -> DataFrame:
+    """(lang, .., n) rows counted in each task first, ``at_once`` rows at a time with a bounded table, then over all tasks."""
     keys = [f.split()[0] for f in fields.split(",")]
 
     def run(batches):
@@ -54,8 +56,8 @@ def _counted(df: DataFrame, update: Callable[[Counter, pa.RecordBatch], None], f
 
         seen: Counter = Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                update(seen, batch.slice(at, 256))
+            for at in range(0, batch.num_rows, at_once):
+                update(seen, batch.slice(at, at_once))
                 if len(seen) > _FLUSH:
                     yield rows(seen)
                     seen = Counter()
@@ -65,16 +67,26 @@ def _counted(df: DataFrame, update: Callable[[Counter, pa.RecordBatch], None], f
 
 
 def _count_words(seen: Counter, batch: pa.RecordBatch) -> None:
+    own: defaultdict[str, Counter] = defaultdict(Counter)
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        for word, n in Counter(words_of(text)).items():
+        own[lang].update(words_of(text))
+    for lang, words in own.items():
+        for word, n in words.items():
             seen[lang, word] += n
 
 
 def _count_grams(longest: int) -> Callable[[Counter, pa.RecordBatch], None]:
     def update(seen: Counter, batch: pa.RecordBatch) -> None:
+        own: dict[str, list[defaultdict[str, int]]] = {}
         for lang, word, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            for size in range(1, longest + 1):
+            if lang not in own:
+                own[lang] = [defaultdict(int) for _ in range(longest)]
+            for size, grams in enumerate(own[lang], 1):
                 for gram in grams_of(word, size):
+                    grams[gram] += n
+        for lang, sizes in own.items():
+            for size, grams in enumerate(sizes, 1):
+                for gram, n in grams.items():
                     seen[lang, size, gram] += n
 
     return update
@@ -111,6 +123,25 @@ class Languages:
                 return self.table[known].mean(axis=0)
         return np.zeros(len(self.names), np.float32)
 
+    def unseen_rows(self, words: list[str]) -> np.ndarray:
+        """:meth:`unseen` of many words, summed together."""
+        out = np.zeros((len(words), len(self.names)), np.float32)
+        tables = [(size, self.grams[size].get) for size in sorted(self.grams, reverse=True)]
+        for low in range(0, len(words), _UNSEEN_AT_ONCE):
+            places, starts, rows = [], [], []
+            for row, word in enumerate(words[low : low + _UNSEEN_AT_ONCE], low):
+                for size, get in tables:
+                    known = [i for g in grams_of(word, size) if (i := get(g)) is not None]
+                    if known:
+                        starts.append(len(places))
+                        rows.append(row)
+                        places += known
+                        break
+            if rows:
+                sizes = np.diff([*starts, len(places)]).astype(np.float32)
+                out[rows] = np.add.reduceat(self.table[places], starts, axis=0) / sizes[:, None]
+        return out
+
     def predictor(self) -> Callable[[str | None], tuple[str, float]]:
         """A function that gives a text's language and its posterior probability with equal priors."""
         known = len(self.table)
@@ -123,10 +154,9 @@ class Languages:
             if used + len(new) > len(rows):
                 index, used = dict(self.words), known
                 new = [w for w in dict.fromkeys(words) if w not in index]
-            for word in new:
-                rows[used] = self.unseen(word)
-                index[word] = used
-                used += 1
+            rows[used : used + len(new)] = self.unseen_rows(new)
+            index.update(zip(new, range(used, used + len(new))))
+            used += len(new)
 
         def predict(text: str | None) -> tuple[str, float]:
             if not self.names or not has_letter(text):
@@ -181,7 +211,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
     model = Languages(sorted(totals))
     model.add(None, _kept(words, "word", totals, word_share), totals)
-    grams = settle(_counted(words.select("lang", "word", "n"), _count_grams(longest), "lang string, size int, gram string"), "language_grams")
+    grams = settle(_counted(words.select("lang", "word", "n"), _count_grams(longest), "lang string, size int, gram string", _WORDS_AT_ONCE), "language_grams")
     of_size: dict[int, dict[str, int]] = {}
     for r in grams.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect():
         of_size.setdefault(r["size"], {})[r["lang"]] = r["n"]
