@@ -105,6 +105,15 @@ def test_nested_passages_of_several_blocks_go(spark):
         assert len(clean) == 5 and not any("open" in r.text or "close" in r.text for r in clean)
 
 
+@pytest.mark.parametrize(("block_bytes", "most"), [(decontaminate.BLOCK_BYTES, 1), (40, 0)])
+def test_a_stage_has_one_pass_in_python(spark, odd, block_bytes, most):
+    """Two passes in a stage take twice the Python workers, which Spark keeps for all that follows."""
+    benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
+    clean = decontaminate.decontaminate(odd, benchmark, block_bytes=block_bytes)
+    plan = clean._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == most, plan
+
+
 def test_a_set_of_some_megabytes_is_small():
     """4 MB of test text, half of its windows shared by two items: memory while it is built, kept, and sent."""
     import pickle

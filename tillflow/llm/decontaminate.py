@@ -132,8 +132,11 @@ _FIELDS = [
 ]
 
 
+_CLEAN, _CUT = T.StructField("clean", T.StringType()), T.StructField("cut", T.BooleanType())
+
+
 def mark_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
-               item_text: str = "text", window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+               item_text: str = "text", window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
     """(row, words, spans, items): each whole document row with its number of words, the word ranges that lie inside
     an occurrence of a test window, and the ids of the test items that occur.
 
@@ -145,6 +148,8 @@ def mark_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     spark: SparkSession = docs.sparkSession
     out = packed(docs, text=F.col(f"`{text}`"), spans=F.array().cast(_SPAN), items=F.array().cast("array<string>"))
     blocks = _blocks(benchmark, item, item_text, block_bytes)
+    if clean and len(blocks) > 1:
+        raise ValueError("Texts are cut in the same pass for a set of one block only.")
     for i, block in enumerate(blocks):
         rows = [(r["item"], (r["text"] or "").encode()) for r in block.collect()]  # of bounded size, see _blocks
         windows = spark.sparkContext.broadcast(vars(WindowSet(rows, window)))
@@ -153,26 +158,25 @@ def mark_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
             chosen = WindowSet.of(windows.value)
 
             def scan(texts, spans, items):
-                counts, ranges, ids = [], [], []
+                counts, ranges, ids, texts_left = [], [], [], []
                 for t, before, known in zip(text_bytes(texts), spans.to_pylist(), items.to_pylist(), strict=True):
                     words = words_of(t)
                     found, owners = chosen.scan(words)
                     counts.append(len(words))
                     ranges.append([{"start": a, "stop": b} for a, b in _merged(found + [(s["start"], s["stop"]) for s in before])])
                     ids.append(sorted(owners.union(known) - {None}))
-                return counts, ranges, ids
+                    if clean:
+                        texts_left.append(without_spans(t.decode(), chosen) if found else t and t.decode())
+                return (counts, ranges, ids, texts_left) if clean else (counts, ranges, ids)
 
             return scan
 
-        out = add_python_columns(out, ["text", "spans", "items"], _FIELDS, start)
+        out = add_python_columns(out, ["text", "spans", "items"], [*_FIELDS, _CLEAN] if clean else _FIELDS, start)
         if i < len(blocks) - 1:
             out = settle(out, "spans").drop("words")
     return out
 
 
-_CLEAN, _CUT = T.StructField("clean", T.StringType()), T.StructField("cut", T.BooleanType())
-
-
 def _hit() -> F.Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
 
@@ -213,29 +217,16 @@ def without_spans(text: str, windows: WindowSet) -> str:
         raw = b"".join([*kept, raw[last:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
-                  drop_share: float = DROP_SHARE, **options) -> DataFrame:
-    """``docs`` without what they share with the test set, all columns kept.
-
-    Words inside occurrences are cut from the text and ``n_chars`` is counted anew. A document goes as a whole if more
-    than ``drop_share`` of its words lie inside. Other rows, null and empty texts included, stay as they are. Spans are
-    cut block by block, until a pass over all blocks finds nothing; a pass after the first reads only the rows that the
-    one before it has cut.
-    """
-    spark = docs.sparkSession
-    names = docs.columns
-    marked = mark_spans(docs, benchmark, text, **options)
-    kept = marked.where(_hit() <= F.col("words") * drop_share).select(
-        "_row", F.col("text").alias("clean"), (F.size("spans") > 0).alias("changed")
-    )
-    item, item_text = options.get("item", "item_id"), options.get("item_text", "text")
-    blocks = _blocks(benchmark, item, item_text, options.get("block_bytes", BLOCK_BYTES))
-    open_, finished = kept.withColumn("open", F.col("changed")), []
+def _cut_all(kept: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
+    """(_row, clean, changed) with the spans of all blocks cut from ``clean``. Each block's pass is written, so that a stage
+    holds the Python workers of one pass, however many blocks there are."""
+    spark = kept.sparkSession
+    open_, finished = settle(kept.withColumn("open", F.col("changed")), "marked"), []
     while True:
-        open_ = open_.withColumn("cut", F.lit(False))
+        passed = open_.withColumn("cut", F.lit(False))
         for block in blocks:
             rows = [(r["item"], (r["text"] or "").encode()) for r in block.collect()]
-            windows = spark.sparkContext.broadcast(vars(WindowSet(rows, options.get("window", WINDOW_WORDS))))
+            windows = spark.sparkContext.broadcast(vars(WindowSet(rows, window)))
 
             def start(windows=windows):
                 chosen = WindowSet.of(windows.value)
@@ -247,16 +238,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_c
 
                 return cut
 
-            open_ = add_python_columns(open_, ["clean", "open", "cut"], [_CLEAN, _CUT], start)
-        if len(blocks) == 1:
-            finished.append(open_)
-            break
-        passed = settle(open_, "cut")
+            passed = settle(add_python_columns(passed, ["clean", "open", "cut"], [_CLEAN, _CUT], start), "cut")
         finished.append(passed.where(~F.col("cut")))
         open_ = passed.where("cut").drop("cut")
         if open_.isEmpty():
             break
-    kept = reduce(DataFrame.unionByName, [f.select("_row", "clean", "changed") for f in finished])
+    return reduce(DataFrame.unionByName, [f.select("_row", "clean", "changed") for f in finished])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
+                  drop_share: float = DROP_SHARE, **options) -> DataFrame:
+    """``docs`` without what they share with the test set, all columns kept.
+
+    Words inside occurrences are cut from the text and ``n_chars`` is counted anew. A document goes as a whole if more
+    than ``drop_share`` of its words lie inside. Other rows, null and empty texts included, stay as they are. Spans are
+    cut block by block, until a pass over all blocks finds nothing; a pass after the first reads only the rows that the
+    one before it has cut.
+    """
+    names = docs.columns
+    item, item_text = options.get("item", "item_id"), options.get("item_text", "text")
+    blocks = _blocks(benchmark, item, item_text, options.get("block_bytes", BLOCK_BYTES))
+    single = len(blocks) == 1
+    marked = mark_spans(docs, benchmark, text, clean=single, **options)
+    kept = marked.where(_hit() <= F.col("words") * drop_share).select(
+        "_row", F.col("clean" if single else "text").alias("clean"), (F.size("spans") > 0).alias("changed")
+    )
+    if not single:
+        kept = _cut_all(kept, blocks, options.get("window", WINDOW_WORDS))
     columns = {text: F.col("clean")}
     if n_chars in names:
         columns[n_chars] = F.when(F.col("changed"), F.char_length("clean").cast("long")).otherwise(F.col(f"_row.`{n_chars}`"))
