@@ -199,6 +199,24 @@ def test_refresh_moves_only_rows_that_may_have_copies(spark, tmp_path, monkeypat
     assert warehouse.scan_warehouse(spark, "t_moves").count() == 2
 
 
+def test_lines_with_their_order_pass_no_shuffle(spark, conf, monkeypatch):
+    """On their way from the joins to the table, where no side of a join is broadcast."""
+    from checks import workspace
+    from tests.conftest import SMALL
+
+    conf(spark__sql__autoBroadcastJoinThreshold=-1)
+    seen = []
+    monkeypatch.setattr(workspace, "load_warehouse", lambda rows, *a, **k: seen.append((rows, k)))
+    workspace.Workspace(spark, SMALL).table
+    rows, options = seen[0]
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = rows._jdf.queryExecution().explainString(mode)
+    moved = [part.split("Input", 1)[1].split("\n")[0] for part in plan.split("\n(") if ") Exchange\n" in part]
+    lines = [columns for columns in moved if "l_partkey" in columns]
+    assert len(lines) == 1 and "c_name" not in "".join(c for c in moved if "row_id" in c or "l_orderkey" in c), moved
+    assert options["in_place"]
+
+
 def loads(spark, table):
     base = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")) / f"{table}.versions" / "data"
     return sorted(p.name for p in base.iterdir()) if base.exists() else []

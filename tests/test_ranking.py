@@ -131,6 +131,16 @@ def test_row_numbers(spark, conf, kind):
     assert [(r.v, r.id) for r in rows] == sorted((r.v, r.id) for r in rows)
 
 
+def test_row_numbers_beside_chosen_columns(spark, conf):
+    """What only orders the rows is not written."""
+    shuffle_without_coalescing(conf)
+    df = table(spark, "ties", 3000)
+    order = [F.col("v").asc(), F.col("id").asc()]
+    whole, kept = number_rows(df, order, "n"), number_rows(df, order, "n", keep=["id"])
+    assert kept.columns == ["n", "id"] and kept.exceptAll(whole.select("n", "id")).count() == 0 and kept.count() == 3000
+    assert "v" not in spark.read.parquet(kept.inputFiles()[0]).columns
+
+
 @pytest.mark.parametrize("kind", KINDS)
 def test_rows_at_positions(spark, conf, kind):
     shuffle_without_coalescing(conf)
