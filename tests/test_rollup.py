@@ -105,6 +105,27 @@ def test_lines_travel_to_their_number_and_to_their_bitmap_only(spark, warehouse,
     assert not any("order_id#" in text and "order_date#" in text for text in exchanges), exchanges
 
 
+def test_written_lines_travel_as_two_numbers_and_bitmaps_stay(spark, warehouse, monkeypatch):
+    """Ten dimensions are two numbers until the cells are written, and cells are written where their bitmaps are made."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows, seen, made_of = made(600), [], rollup.roll_up
+    monkeypatch.setattr(rollup, "roll_up", lambda lines, numbers, dimensions: (seen.append(lines), made_of(lines, numbers, dimensions))[1])
+    monkeypatch.setattr(DataFrame, "repartitionByRange", None)
+    lines = warehouse(*rows)
+    rolled = rollup.write_rollup(lines, new_path(spark, "rollup"))
+    assert not set(seen[0].columns) & set(rollup.DIMENSIONS)
+    assert {c for c, t in seen[0].dtypes if c.startswith("_") and t == "bigint"} == {"_day", "_kind"}
+    for key in ("region", "category", "order_date"):
+        assert got(rolled, key) == wanted(rows, key)
+    plain = made_of(lines, rollup.number_orders(lines))
+    assert rolled.dtypes == plain.dtypes
+    assert rolled.exceptAll(plain).count() == 0 and rolled.count() == plain.count()
+    for file in rolled.inputFiles():
+        days = [r[0] for r in spark.read.parquet(file).coalesce(1).select("order_date").collect()]
+        assert days == sorted(days, key=lambda d: (d is not None, d or dt.date.min))
+
+
 def test_bitmaps_are_made_after_the_shuffle(spark, warehouse):
     """A bitmap of 4 KB per map task and group would be the larger part of the shuffle."""
     lines = warehouse(*made(50))
