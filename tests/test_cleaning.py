@@ -211,3 +211,14 @@ def test_refresh_lazy_and_written_agree(spark, tmp_path):
     assert sorted(lazy.collect()) == sorted(written.collect())
     assert lazy_report.first() == written_report.first()
     assert (tmp_path / "deep" / "out" / "order_year=2017").is_dir()
+
+
+def test_trimming_whatever_stands_at_the_ends(spark):
+    """One look at a row tells whether a value has to be trimmed by the set of white space characters."""
+    values = ["a", "", " a ", "a\n", "\na", "a\r\n", " a", "a ", "\u0085", "é", "日本", "a b", "~", "!", "　é　", "x\x00", None, "a​"]
+    rows = [(v, w) for v in values for w in ("x", values[len(v or "") % 5], None)]
+    df = cleaning.trim_text(spark.createDataFrame(rows, "region string, segment string"))
+    strip = lambda v: v and v.strip()
+    assert [tuple(r) for r in df.collect()] == [(strip(a), strip(b)) for a, b in rows]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.count("CASE WHEN") == 2
